@@ -26,6 +26,18 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shipped(spark: SparkSession, thing):
+    """A function that gives thing again inside a task: its attributes are broadcast, its class goes with the function."""
+    state, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    def again():
+        found = kind.__new__(kind)
+        vars(found).update(state.value)
+        return found
+
+    return again
+
+
 def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Applies a function from columns (lists) to columns to every Arrow batch; make() runs once a task."""
     from pyspark.sql.types import StructType

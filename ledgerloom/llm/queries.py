@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import langid, packing, simhash_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, host, path), as the contract of op2 names them.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's url with the rule that fits and the verdict."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, "page_id")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its SimHash and its component of near-duplicates."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup,)}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of greedy word pieces."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of each document with its place in a sequence of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's predicted language."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op9_language_id)}
 
 ORACLES: dict[str, str] = {}
