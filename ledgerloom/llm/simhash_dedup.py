@@ -196,5 +196,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = reps.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     linked = member.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    named = reps.join(linked.join(least, "root").select("fingerprint", "component"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component"))
+    named = materialized(reps.join(linked.join(least, "root").select("fingerprint", "component"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component")))
     return fps.join(named, "fingerprint", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
