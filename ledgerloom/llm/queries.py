@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, packing, simhash_dedup, token_counts, toxicity, url_filter
+from . import decontam, langid, packing, simhash_dedup, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op6_toxicity, op8_decontamination, op9_language_id)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, as read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op6_toxicity, op8_decontamination, op9_language_id, op10_warc)}
+
+ORACLES = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        r AS (SELECT page_id, cast(octet_length(encode(h)) AS bigint) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+        m AS (SELECT payload_digest AS d, max(page_id) AS first FROM r WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
+        FROM r LEFT JOIN m ON payload_digest = d""",
+}
