@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, packing, simhash_dedup, token_counts, toxicity, url_filter, warc
+from . import decontam, fingerprints, langid, packing, simhash_dedup, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint beside its edited text's and the next document's."""
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and benchmark item that a passage of the document copies, with the passage's place."""
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
@@ -57,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op6_toxicity, op8_decontamination, op9_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op6_toxicity, op7_fingerprints, op8_decontamination, op9_language_id, op10_warc)}
 
 ORACLES = {
     "op10_warc": """
