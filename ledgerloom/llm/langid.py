@@ -9,9 +9,10 @@ hash lies below a threshold made from the language's row count. So the model's s
 fitting stay the same for any input, and no language is shuffled into one task.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .common import by_batch, shipped
@@ -140,3 +141,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, parts, part).alias("held_out"), F.col(text_col).alias("text"))
     return by_batch(rows, f"id {kind}, held_out boolean, lang_pred string, score double, runner_up string, ambiguous boolean", make).withColumnRenamed("id", id_col)
+
+
+def identifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2, per_language: int = 4000):
+    """A column function from texts to (lang_pred, score, ambiguous), as identify() gives them for docs."""
+    model = shipped(docs.sparkSession, fit(docs.where(~held_out(id_col, parts, part)), id_col, text_col, lang_col, per_language))
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = model()
+        for s in texts:
+            found = [m.predict(t) for t in s]
+            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "ambiguous": [x[3] for x in found]})
+
+    return F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")

@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, fingerprints, langid, packing, simhash_dedup, token_counts, toxicity, url_filter, warc
+from . import decontam, fingerprints, langid, license_scan, packing, simhash_dedup, token_counts, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each license notice in the documents with its differences from the template."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path), as the contract of op2 names them.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -62,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op6_toxicity, op7_fingerprints, op8_decontamination, op9_language_id, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_simhash_dedup, op4_token_counts, op5_best_fit_packing, op6_toxicity, op7_fingerprints, op8_decontamination, op9_language_id, op10_warc)}
 
 ORACLES = {
     "op10_warc": """

@@ -8,12 +8,11 @@ for blocks whose bound exceeds its k-th best so far, and the k nearest are exact
 similarity-weighted vote is calibrated on the examples by leave-one-out.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -190,29 +189,36 @@ def choose_terms(rows: DataFrame, terms: int, least_docs: int = 3, least_odds: f
     return [r[0] for r in ranked.orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, terms: int = 2048, k: int = 15) -> DataFrame:
-    """(id_col, held_out, score, predicted, evidence) of every row of docs.
-
-    labels has id_col and label_col (above 0: toxic; of several labels of a document the largest counts).
-    evidence lists the ids and cosines of up to three nearest examples. Null and empty texts have no
-    terms and get the score of texts unlike any example. Without labels of both classes every score is
-    the share of toxic labels (0 without any). Null ids are scored, never learned from; repeated rows
-    keep their rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, part: int, per_class: int, terms: int, k: int, keep: bool = False) -> tuple[Terms, Index, DataFrame]:
+    """The terms, the index, and docs as (id, held_out, terms, counts), kept as a table if keep is true."""
     kind = docs.schema[id_col].dataType.simpleString()
     drawn, weight = examples(docs, labels, id_col, text_col, label_col, parts, part, per_class)
     chosen = Terms(choose_terms(drawn, terms))
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, parts, part).alias("held_out"), F.col(text_col).alias("text"))
-    counted = materialized(_counted(rows, chosen, f"id {kind}, held_out boolean"))
+    counted = _counted(rows, chosen, f"id {kind}, held_out boolean")
+    counted = materialized(counted) if keep else counted
     df = np.zeros(len(chosen.number))
     for t, n in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term
         df[t] = n
-    idf = np.log((1 + counted.count()) / (1 + df)) + 1e-3
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1e-3
     known = sorted(_counted(drawn.select("id", "label", "text"), chosen, f"id {kind}, label int").collect(), key=lambda r: (r["label"], r["id"]))  # the bounded sample
     blank = Index(idf, [], np.zeros(0), np.zeros((0, len(idf))), weight)
     vectors = blank.rows([np.array(r["terms"], np.int64) for r in known], [np.array(r["counts"]) for r in known])
-    again = shipped(spark, Index(idf, [r["id"] for r in known], np.array([r["label"] for r in known], float), vectors, weight, k))
+    return chosen, Index(idf, [r["id"] for r in known], np.array([r["label"] for r in known], float), vectors, weight, k), counted
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, terms: int = 2048, k: int = 15) -> DataFrame:
+    """(id_col, held_out, score, predicted, evidence) of every row of docs.
+
+    labels has id_col and label_col (above 0: toxic; of several labels of a document the largest counts).
+    evidence lists the ids and cosines of up to three nearest examples. Null and empty texts have no
+    terms and get the score of texts unlike any example. Without labels of both classes every score is
+    the share of toxic labels (0 without any). Null ids are scored, never learned from; repeated rows
+    keep their rows; other columns are ignored.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    _, index, counted = fit(docs, labels, id_col, text_col, label_col, parts, part, per_class, terms, k, keep=True)
+    again = shipped(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = again()
@@ -227,3 +233,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(evidence, t)], names=["id", "held_out", "score", "predicted", "evidence"])
 
     return counted.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, evidence array<struct<id:{kind},cosine:double>>").withColumnRenamed("id", id_col)
+
+
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, terms: int = 2048, k: int = 15):
+    """A column function from texts to scores, as score() gives them for docs."""
+    chosen, index, _ = fit(docs, labels, id_col, text_col, label_col, parts, part, per_class, terms, k)
+    terms_again, index_again = shipped(docs.sparkSession, chosen), shipped(docs.sparkSession, index)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count, known = terms_again().counter(), index_again()
+        for s in texts:
+            p = [np.zeros(0)]
+            for at in range(0, len(s), 1024):
+                found = [count(t) for t in s.iloc[at : at + 1024]]
+                p.append(known.score(*known.nearest(known.rows([i.astype(np.int64) for i, _ in found], [n for _, n in found]))))
+            yield pd.Series(np.concatenate(p))
+
+    return F.pandas_udf(run, "double")
