@@ -2,7 +2,7 @@
 
 The test items are taken in blocks of bounded size; each block is broadcast and every document is
 scanned against it. A first scan counts in how many documents each word n-gram of the items occurs. The
-rare ones are seeds, and of every item at least the rarer half, so an item that has leaked everywhere
+rare ones are seeds, and of every item those up to twice its median, so an item that has leaked everywhere
 keeps its seeds. A second scan gathers the seeds' hits by diagonal and aligns the items with the passages
 around them, many passages at once. Only counts of n-grams are ever shuffled.
 """
@@ -64,11 +64,14 @@ class Items:
         return at, code
 
     def keep_rare(self, docs_with: np.ndarray, most: float) -> None:
-        """Seeds are n-grams of at most `most` documents, and of each item those up to its median."""
+        """Seeds are n-grams of at most `most` documents, and of each item those up to twice its median.
+
+        Copies raise the counts of all that an item says alike, so what an edited copy keeps stays below.
+        """
         self.wanted = docs_with <= most
-        for k in range(len(self.words)):
-            own = self.gram[self.item == k]
-            self.wanted[own[docs_with[own] <= np.quantile(docs_with[own], 0.5, method="lower")]] = True
+        order = np.argsort(self.item, kind="stable")
+        for own in np.split(self.gram[order], np.flatnonzero(np.diff(self.item[order])) + 1):
+            self.wanted[own[docs_with[own] <= 2 * np.median(docs_with[own])]] = True
 
     def reader(self, most: int = 400_000):
         """A function from text to word numbers (-1: not in the items); tokens without letter or digit vanish."""
@@ -175,12 +178,12 @@ def leaks(items: Items, texts: list[np.ndarray], threshold: float, at_once: int
     return out
 
 
-def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.0005, threshold: float = 0.6, block_chars: int = 1 << 23) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.0005, rare_docs: int = 20, threshold: float = 0.6, block_chars: int = 1 << 23) -> DataFrame:
     """docs' columns `keep` and leaks: array of (item_id, score, seeds, first_word, last_word) of each row.
 
     score is the best local alignment's score (2 a match, -1 a substitution or gap) against the item's
-    highest possible one; passages from `threshold` on are leaks. rare is the share of documents up to
-    which an n-gram is rare. Items of less than n words, null and empty ones, never match; null and empty
+    highest possible one; passages from `threshold` on are leaks. An n-gram is rare in up to rare_docs
+    documents or the share `rare` of all. Items of less than n words, null and empty ones, never match; null and empty
     texts have no leaks. Repeated rows and null ids keep their rows; repeated items each match; `keep`
     must not hold a column named leaks. Items are read block by block, block_chars characters each, and
     every block scans all rows, so nothing depends on the number of items but time.
@@ -214,7 +217,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
         for g, c in docs.select(text_col).mapInArrow(count_grams, "gram int, docs long").groupBy("gram").agg(F.sum("docs")).collect():  # a row for each n-gram of the block
             docs_with[g] = c
         total = docs.count() if total is None else total
-        block.keep_rare(docs_with, rare * total)
+        block.keep_rare(docs_with, max(rare_docs, rare * total))
         seeded = shipped(spark, block)
 
         def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
