@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,17 @@ from pyspark.sql.types import StructType
 
 from .common import shipped
 
-_SIGNS = re.compile(r"[\W_]+")
+#: ASCII signs other than letters, digits and white space, and all other signs beyond ASCII.
+_SIGNS = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
+_FAR_SIGNS = re.compile(r"[^\w\x00-\x7f]")
 
 
-def normal(token: str) -> str:
-    """A token's letters and digits in lower case: what counts as equal wording."""
-    return _SIGNS.sub("", token).lower()
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words as they count for equal wording: letters and digits in lower case, in UTF-8."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _FAR_SIGNS.sub(lambda m: " " if m[0].isspace() else "", text)
+    return text.encode("utf-8", "surrogatepass").translate(None, _SIGNS).split()
 
 
 class Items:
@@ -32,7 +38,7 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None], n: int):
         self.n, self.number = n, {}
-        words = [[w for w in map(normal, (t or "").split()) if w] for t in texts]
+        words = [words_of(t) for t in texts]
         for w in (w for item in words for w in item):
             self.number.setdefault(w, len(self.number))
         # items shorter than n words can't be recognized by n-grams; they are left out
@@ -73,26 +79,10 @@ class Items:
         for own in np.split(self.gram[order], np.flatnonzero(np.diff(self.item[order])) + 1):
             self.wanted[own[docs_with[own] <= 2 * np.median(docs_with[own])]] = True
 
-    def reader(self, most: int = 400_000):
-        """A function from text to word numbers (-1: not in the items); tokens without letter or digit vanish."""
-        number = self.number
-
-        class Known(dict):
-            def __missing__(known, token: str) -> int:
-                if len(known) >= most:
-                    known.clear()
-                w = normal(token)
-                found = known[token] = number.get(w, -1) if w else -2
-                return found
-
-        known = Known()
-
-        def read(text: str | None) -> np.ndarray:
-            tokens = (text or "").split()
-            ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-            return ids[ids > -2]
-
-        return read
+    def read(self, text: str | None) -> np.ndarray:
+        """A text as word numbers, -1 for words that no item has."""
+        words = words_of(text)
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, number of the n-gram) of the wanted n-grams in a text."""
@@ -205,10 +195,10 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
 
         def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = plain()
-            read, sums = known.reader(), np.zeros(len(known.codes), np.int64)
+            sums = np.zeros(len(known.codes), np.int64)
             for x in batches:
                 for text in x.column(0).to_pylist():
-                    _, g = known.hits(read(text))
+                    _, g = known.hits(known.read(text))
                     sums[np.unique(g)] += 1
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["gram", "docs"])
@@ -222,12 +212,11 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
 
         def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = seeded()
-            read = known.reader()
             for whole in batches:
                 for at in range(0, whole.num_rows, 2000):
                     x = whole.slice(at, 2000)
                     old = x.column("leaks")
-                    found = leaks(known, [read(t) for t in x.column(text_col).to_pylist()], threshold)
+                    found = leaks(known, [known.read(t) for t in x.column(text_col).to_pylist()], threshold)
                     new = pa.array([a + f for a, f in zip(old.to_pylist(), found)], old.type) if any(found) else old
                     yield x.set_column(x.schema.get_field_index("leaks"), "leaks", new)
 
