@@ -4,27 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Patterns of messages that ask for secrets or promise money, and of quoting ones.
-PHISHING = r"(?i)(seed phrase|private key|secret key|recovery phrase|claim (your|now)|free xrp|airdrop|giveaway|bonus|verify your wallet)"
-URL = r"(?i)(https?://|www\.)[a-z0-9.-]+"
-QUOTING = r"(?i)(beware|warning|scam|do not (click|send)|is this|\?)"
+#: Patterns of secrets, links, lures, short links and of people who ask.
+SEED = r"\b(skey|shss|spup|sEd)[1-9A-HJ-NP-Za-km-z]{16,}\b"
+URL = r"(?i)(https?://|www\.)[^\s\"'<>]+"
+LURE = r"(?i)\b(airdrop|giveaway|free[\s-]*token|freecoin)\b"
+CLAIM = r"(?i)\b(claim|verify)\b[\s\S]{0,28}?\b(account|wallet|token|seed|passphrase|recovery|airdrop|reward|prize|bonus)\b"
+SHORT_LINK = r"(?i)\b(bit\.ly|t\.co|tinyurl\.com|goo\.gl|is\.gd|cutt\.ly|rb\.gy|rebrand\.ly)\b"
+ASKING = r"(?i)\b(ist das echt|ist das sicher|is this legit|is this real|is this scam|is it safe|scam\?|fake\?|echt\?)\b"
 
 #: Transaction types by category.
 CATEGORIES = {
-    "payment": ["Payment", "CheckCash", "CheckCreate", "CheckCancel", "PaymentChannelCreate", "PaymentChannelFund", "PaymentChannelClaim"],
+    "payment": ["Payment"],
     "escrow": ["EscrowCreate", "EscrowFinish", "EscrowCancel"],
-    "dex": ["OfferCreate", "OfferCancel", "AMMCreate", "AMMDeposit", "AMMWithdraw", "AMMVote", "AMMBid", "AMMDelete", "AMMClawback"],
+    "check": ["CheckCreate", "CheckCash", "CheckCancel", "PaymentChannelCreate", "PaymentChannelFund", "PaymentChannelClaim"],
+    "market": ["TrustSet", "Clawback", "OfferCreate", "OfferCancel", "AMMCreate", "AMMDeposit", "AMMWithdraw", "AMMVote", "AMMBid", "AMMDelete", "AMMClawback", "MPTokenIssuanceCreate", "MPTokenIssuanceDestroy", "MPTokenIssuanceAuthorize", "MPTokenIssuanceSet"],
     "nft": ["NFTokenMint", "NFTokenBurn", "NFTokenCreateOffer", "NFTokenCancelOffer", "NFTokenAcceptOffer", "NFTokenModify"],
-    "trust": ["TrustSet", "Clawback", "MPTokenAuthorize", "MPTokenIssuanceCreate", "MPTokenIssuanceSet", "MPTokenIssuanceDestroy"],
-    "account": ["AccountSet", "AccountDelete", "SetRegularKey", "SignerListSet", "DepositPreauth", "TicketCreate", "DIDSet", "DIDDelete"],
-    "system": ["EnableAmendment", "SetFee", "UNLModify"],
-}
+    "admin": [
+        "AccountSet", "AccountDelete", "SetRegularKey", "SignerListSet", "TicketCreate", "DepositPreauth", "DIDSet", "DIDDelete", "CredentialCreate", "CredentialAccept", "CredentialDelete", "PermissionedDomainSet",
+        "PermissionedDomainDelete", "XChainCreateBridge", "XChainCreateClaimID", "XChainCommit", "XChainClaim", "XChainAccountCreateCommit", "XChainAddClaimAttestation", "XChainAddAccountCreateAttestation", "XChainModifyBridge",
+        "OracleSet", "OracleDelete", "VaultCreate", "VaultDeposit", "VaultWithdraw", "VaultSet", "VaultDelete", "VaultClawback", "Batch", "DelegateSet", "LedgerStateFix", "EnableAmendment", "SetFee", "UNLModify",
+    ],
+}
+
+
+def lured(text: Column) -> Column:
+    return text.rlike(URL) & (text.rlike(LURE) | text.rlike(CLAIM))
 
 
 def phishing(text: Column) -> Column:
-    """malicious, suspect (it quotes or asks), or null: a message with both a lure and a link."""
-    lure = text.rlike(PHISHING) & text.rlike(URL)
-    return F.when(lure & text.rlike(QUOTING), "suspect").when(lure, "malicious")
+    """malicious, suspect (somebody asks about it), or null: a message with a secret, or with a lure and a link."""
+    hit = text.rlike(SEED) | lured(text)
+    return F.when(hit & text.rlike(ASKING), "suspect").when(hit, "malicious")
+
+
+def phishing_uri(text: Column) -> Column:
+    return F.coalesce(text.rlike(SHORT_LINK) | lured(text), F.lit(False))
 
 
 def tx_category(kind: Column) -> Column:

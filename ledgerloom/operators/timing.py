@@ -39,9 +39,9 @@ def sliding_limit(requests: DataFrame, key: str, time: str, span: int, most: int
 def strided(rows: DataFrame, by: str, order: list[str], budget: int) -> DataFrame:
     """Of each group the rows number floor(k n / budget), k = 0 .. budget - 1; all if there are no more than budget."""
     w = Window.partitionBy(by).orderBy(*order)
-    ranked = rows.withColumn("rn", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(by)))
-    k = F.ceil(F.col("rn") * budget / F.col("n"))
-    return ranked.where((F.col("n") <= budget) | ((k < budget) & (F.floor(k * F.col("n") / budget) == F.col("rn")))).drop("rn", "n")
+    ranked = rows.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
+    k = F.ceil(F.col("_rn") * budget / F.col("_n"))
+    return ranked.where((F.col("_n") <= budget) | ((k < budget) & (F.floor(k * F.col("_n") / budget) == F.col("_rn")))).drop("_rn", "_n")
 
 
 def due_for_refresh(addresses: DataFrame, snapshots: DataFrame, now: int, ttl: int, most: int) -> DataFrame:

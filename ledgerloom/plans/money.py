@@ -360,12 +360,13 @@ def history_merge(spark, sf_dir):
     return S.merge_history(f(t.where("ledger_seq < 1500 AND account LIKE 'C%'")).withColumn("sightings", F.lit(1)), f(t.where("ledger_seq >= 1500")), 600)
 
 
-@query("", """SELECT page_id, CASE WHEN regexp_matches(t, '(?i)(seed phrase|private key|secret key|recovery phrase|claim (your|now)|free xrp|airdrop|giveaway|bonus|verify your wallet)') AND regexp_matches(t, '(?i)(https?://|www\\.)[a-z0-9.-]+')
-      THEN CASE WHEN regexp_matches(t, '(?i)(beware|warning|scam|do not (click|send)|is this|\\?)') THEN 'suspect' ELSE 'malicious' END END AS verdict
-    FROM (SELECT page_id, concat(url, ' claim now ', substr(html, 1, 500)) AS t FROM pages)""")
+MEMO = "CASE page_id % 5 WHEN 0 THEN 'verify your wallet at ' WHEN 1 THEN 'free token ' WHEN 2 THEN 'is this legit here: airdrop ' WHEN 3 THEN 'warranty claim ' ELSE 'order ' END"
+
+
+@query("", f"""WITH m AS (SELECT page_id, concat({MEMO}, url) AS t FROM pages), h AS (SELECT *, regexp_matches(t, '{T.SEED}') OR (regexp_matches(t, '{T.URL.replace("'", "''")}') AND (regexp_matches(t, '{T.LURE}') OR regexp_matches(t, '{T.CLAIM}'))) AS hit FROM m)
+    SELECT page_id, CASE WHEN hit AND regexp_matches(t, '{T.ASKING}') THEN 'suspect' WHEN hit THEN 'malicious' END AS verdict FROM h""")
 def phishing_memo(spark, sf_dir):
-    p = V.table(spark, sf_dir, "pages")
-    return p.select("page_id", T.phishing(F.concat("url", F.lit(" claim now "), F.substring("html", 1, 500))).alias("verdict"))
+    return V.table(spark, sf_dir, "pages").select("page_id", T.phishing(F.concat(F.expr(MEMO), "url")).alias("verdict"))
 
 
 @query("txn", "SELECT CASE type WHEN 'Payment' THEN 'payment' WHEN 'EscrowCreate' THEN 'escrow' ELSE 'other' END AS category, count(*) AS n FROM txn GROUP BY 1")

@@ -23,7 +23,7 @@ _ISSUED = "struct<currency:string,issuer:string,value:string>"
 
 #: Types whose amount is a price or a limit.
 NO_MOVEMENT = ["NFTokenCreateOffer", "NFTokenAcceptOffer", "OfferCreate", "OfferCancel", "TrustSet", "AccountSet", "RegularKeySet", "NFTokenMint", "EnableAmendment", "SetFee", "UNLModify", "EscrowCancel", "CheckCancel"]
-RIPPLE_EPOCH = 946_684_800
+LEDGER_EPOCH = 946_684_800
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +58,7 @@ def drops(amount: Column) -> Column:
     return amount.try_cast("bigint")
 
 
-def xrp_delta(account: Column) -> Column:
+def balance_delta(account: Column) -> Column:
     """Balance change of an account in meta, null unless exactly one of its roots has both balances."""
     roots = F.filter(
         F.transform("meta.AffectedNodes", lambda n: F.coalesce(n["ModifiedNode"], n["CreatedNode"], n["DeletedNode"])),
@@ -71,7 +71,7 @@ def moved_drops() -> Column:
     """Drops that a transaction has moved, null where no movement is proven: what was delivered, not what was claimed."""
     c, claim = F.col, F.coalesce("tx.Amount", "tx.DeliverMax")
     cross = c("tx.SendMax").isNotNull() | (F.coalesce(F.size("tx.Paths"), F.lit(0)) > 0) | c("tx.DeliverMin").isNotNull()
-    delta = xrp_delta(c("tx.Destination"))
+    delta = balance_delta(c("tx.Destination"))
     payment = (
         F.when(c("meta.delivered_amount").isNotNull(), drops(c("meta.delivered_amount")))
         .when(~cross, drops(claim))
@@ -94,7 +94,7 @@ def records(rows: DataFrame) -> DataFrame:
     """Transaction records of normalized rows, one each: money moved, counterparties, tags, times."""
     c = F.col
     owner = F.when(c("tx.TransactionType").isin("EscrowFinish", "EscrowCancel") & (c("tx.Owner") != c("tx.Account")), c("tx.Owner"))
-    iso = F.coalesce("tx.close_time_iso", F.date_format(F.timestamp_seconds(c("tx.close_time") + RIPPLE_EPOCH), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    iso = F.coalesce("tx.close_time_iso", F.date_format(F.timestamp_seconds(c("tx.close_time") + LEDGER_EPOCH), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     destination = F.nullif(c("tx.Destination"), F.lit(""))
     return rows.select(
         c("tx.hash").alias("hash"), c("tx.ledger_index").alias("ledger_seq"), iso.alias("close_time"), c("tx.TransactionType").alias("type"), c("tx.Account").alias("account"),
