@@ -72,7 +72,7 @@ def test_wash_cycles_guard_refunds_and_spans(spark):
 def test_temporal_burst_counts_both_ends(spark):
     rows = [("x", "y", 1, s) for s in (0, 10, 10, 11, 21)] + [("z", "y", 1, 5)]
     found = {r.account: r for r in M.temporal(tx(spark, rows)).collect()}
-    assert found["x"].burst == 3 and found["x"].median_gap == 5.0 and found["z"].burst == 1 and found["z"].median_gap is None and found["z"].automated is False
+    assert found["x"].burst == 3 and found["x"].median_gap == 5.5 and found["z"].burst == 1 and found["z"].median_gap is None and found["z"].automated is False
 
 
 def roles(spark, rows, flagged):
