@@ -202,3 +202,15 @@ def test_results_do_not_depend_on_row_order(spark):
         shuffled = rows[k:] + rows[:k]
         runs.append(sorted(map(str, G.node_roles(G.flag_edges(tx(spark, shuffled), f)).collect())))
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_node_keys_round_trip(spark):
+    from ledgerloom.functions import keys as K
+    from pyspark.sql import functions as F
+
+    hexes = ["ED" + "0" * 64, "03" + "AB" * 32, "02" + "FF" * 32]
+    df = spark.createDataFrame([(h,) for h in [*hexes, "zz", "AB", None]], "h string").withColumn("k", K.node_key("h"))
+    rows = df.select("h", "k", K.node_hex("k").alias("back")).collect()
+    assert [r.back for r in rows] == [*hexes, None, None, None] and all(r.k.startswith("n") for r in rows[:3])
+    assert K.decode_node_key(rows[0].k[:-1] + ("r" if rows[0].k[-1] != "r" else "p")) is None
+    assert df.where(F.col("k").isNull()).count() == 3
