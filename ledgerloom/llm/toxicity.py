@@ -1,15 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
 Learning takes about `per_class` labelled documents of each class (the documented bound) by a hash
-threshold. Terms are words and their four- and five-letter beginnings; the `terms` ones that tell the
-classes of the examples apart best (chi-square) span the vectors. Document frequencies are counted over
-all documents. Every example block keeps each term's largest weight, so a query computes cosines only
-for blocks whose bound exceeds its k-th best so far, and the k nearest are exact. Their
-similarity-weighted vote is calibrated on the examples by leave-one-out.
+threshold. Terms are all words and their four- and five-letter beginnings, and every vector is divided by
+the norm of its whole text. Document frequencies of all terms are counted over all documents; terms of
+less than the share `rarest` of them weigh as if they had that share, which bounds the table of
+frequencies that is broadcast. A term that tells the examples' classes apart weighs more by a factor of
+one or more (`evidence`); no term is left out. The examples' most frequent terms are dense columns with each block's
+largest weight, the others postings, which a query reads whole. It computes the dense part only for blocks
+whose bound reaches its k-th best so far, and the k nearest are exact. Their similarity-weighted vote is
+calibrated on the examples by leave-one-out.
 """
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -27,95 +31,145 @@ def terms_of(word: str) -> list[str]:
     return [word] + [f"^{word[:n]}" for n in (4, 5) if len(word) > n]
 
 
-class Terms:
-    """Term numbers of words, looked up once for each word."""
+def counter(most: int = 200_000):
+    """A function from a text to (codes of its terms, ascending, and how often each occurs); words are looked up once."""
 
-    def __init__(self, chosen: list[str]):
-        self.number = {t: k for k, t in enumerate(chosen)}
+    class Known(dict):
+        def __missing__(known, word: str) -> list[int]:
+            if len(known) >= most:
+                known.clear()
+            found = known[word] = [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in terms_of(word)]
+            return found
 
-    def counter(self, most: int = 400_000):
-        number = self.number
+    known = Known()
 
-        class Known(dict):
-            def __missing__(known, word: str) -> list[int]:
-                if len(known) >= most:
-                    known.clear()
-                found = known[word] = [number[t] for t in terms_of(word) if t in number]
-                return found
+    def count(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.array([k for found in map(known.__getitem__, _WORD.findall((text or "").lower())) for k in found], np.int64), return_counts=True)
 
-        known = Known()
+    return count
 
-        def count(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-            """(term numbers, ascending, and how often each occurs)."""
-            at = [k for found in map(known.__getitem__, _WORD.findall((text or "").lower())) for k in found]
-            n = np.bincount(at, minlength=1) if at else np.zeros(1, np.int64)
-            ids = np.flatnonzero(n)
-            return ids.astype(np.int32), n[ids].astype(np.int32)
 
-        return count
+def evidence(docs: np.ndarray, toxic: np.ndarray, n: int, n1: float) -> np.ndarray:
+    """Factors of at least 1 for terms of so many examples, toxic ones among them, of n examples, n1 toxic: the root of chi-square above 3, times the log odds ratio."""
+    n0, clean = n - n1, docs - toxic
+    if not n0 or not n1:
+        return np.ones(len(docs))
+    gap = toxic * (n0 - clean) - clean * (n1 - toxic)
+    z = np.abs(gap) * np.sqrt(n / np.maximum(docs * (n - docs) * n0 * n1, 1))
+    odds = np.abs(np.log((toxic + 0.5) * (n0 - clean + 0.5) / ((n1 - toxic + 0.5) * (clean + 0.5))))
+    return 1 + np.maximum(0, z - 3) * odds
+
+
+class Weights:
+    """Weights of the terms (inverse document frequency by evidence), and the columns of those that the examples have (-1: none)."""
+
+    def __init__(self, codes: np.ndarray, idf: np.ndarray, rare: float, examples: list[np.ndarray], labels: np.ndarray, dense: int = 2048):
+        found, inverse, n = np.unique(np.concatenate([np.zeros(0, np.int64), *examples]), return_inverse=True, return_counts=True)
+        toxic = np.bincount(inverse, np.repeat(labels, [len(x) for x in examples]), minlength=len(found))
+        order = np.lexsort((found, -n))
+        #: dense columns are the terms of at least one example in 64
+        self.dense = min(dense, int((n * 64 >= max(1, len(examples))).sum()))
+        self.columns = len(found)
+        self.codes, self.rare = np.union1d(codes, found), np.float32(rare)
+        self.idf, self.column = np.full(len(self.codes), rare, np.float32), np.full(len(self.codes), -1, np.int32)
+        self.idf[np.searchsorted(self.codes, codes)] = idf
+        self.idf[np.searchsorted(self.codes, found)] *= evidence(n.astype(float), toxic, len(examples), float(labels.sum()))
+        self.column[np.searchsorted(self.codes, found[order])] = np.arange(len(found))
+
+    def rows(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """TF-IDF rows, divided by the norm of all terms: the dense columns, and (row, column, weight) of the others that examples have."""
+        out = np.zeros((len(ids), self.dense), np.float32)
+        row, code = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate([np.zeros(0, np.int64), *ids])
+        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        known = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
+        w = (1 + np.log(np.concatenate([np.ones(0), *counts]))) * (np.where(known, self.idf[at], self.rare) if len(self.codes) else self.rare)
+        w = (w / np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]).astype(np.float32)
+        column = np.where(known, self.column[at], -1) if len(self.codes) else np.full(len(code), -1)
+        heavy, light = (column >= 0) & (column < self.dense), column >= self.dense
+        out[row[heavy], column[heavy]] = w[heavy]
+        return out, (row[light], column[light] - self.dense, w[light])
 
 
 class Index:
-    """Examples with their labels, in blocks, and the calibration of their votes."""
+    """Examples with their labels, in blocks, and the calibration of their votes.
+
+    vectors are the dense columns, light (row, column, weight) what the examples have in the `others` other columns.
+    """
 
-    def __init__(self, idf: np.ndarray, ids: list, labels: np.ndarray, vectors: np.ndarray, weight: tuple[float, float], k: int = 15, block: int = 64):
-        self.idf, self.k, self.block = idf.astype(np.float32), k, block
+    def __init__(self, weights, ids: list, labels: np.ndarray, vectors: np.ndarray, weight: tuple[float, float], k: int = 15, block: int = 64, light=None, others: int = 0):
+        self.weights, self.k, self.block = weights, k, block
         # examples with the same heaviest term stand together, which keeps the blocks' bounds tight
-        heaviest = vectors.argmax(axis=1) if len(vectors) and len(idf) else np.zeros(len(vectors), int)
+        heaviest = vectors.argmax(axis=1) if vectors.size else np.zeros(len(vectors), int)
         order = np.lexsort((heaviest, labels))
         self.ids, self.labels = [ids[i] for i in order], labels[order].astype(np.float32)
         self.vectors = vectors[order].astype(np.float32)
-        starts = range(0, len(order), block)
-        self.bounds = np.stack([self.vectors[s : s + block].max(axis=0) for s in starts]) if len(order) else np.zeros((0, len(idf)), np.float32)
+        self.starts = np.arange(0, len(order), block)
+        self.bounds = np.stack([self.vectors[s : s + block].max(axis=0) for s in self.starts]) if len(order) else np.zeros((0, vectors.shape[1]), np.float32)
+        row, column, value = light or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        row = np.argsort(order)[row] if len(row) else row
+        by = np.lexsort((row, column))
+        self.example, self.value = row[by].astype(np.int32), value[by]
+        self.first = np.searchsorted(column[by], np.arange(others + 1))
         self.weight = np.array(weight, np.float32)
         total = float(sum(weight[int(y)] for y in labels))
         self.prior = float(weight[1] * labels.sum() / total) if total else 0.0
-        self.calibration = self._calibrate() if 0 < labels.sum() < len(labels) else None
-
-    def rows(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
-        """Dense TF-IDF rows of unit length (zero where there is no term)."""
-        out = np.zeros((len(ids), len(self.idf)), np.float32)
-        lengths = [len(x) for x in ids]
-        if sum(lengths):
-            at = np.concatenate(ids)
-            out[np.repeat(np.arange(len(ids)), lengths), at] = (1 + np.log(np.concatenate(counts))) * self.idf[at]
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norm, out=out, where=norm > 0)
-
-    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(row, kind="stable")
+        self.calibration = self._calibrate((row[by], column[by], value[by])) if 0 < labels.sum() < len(labels) else None
+
+    def postings(self, n: int, light) -> np.ndarray:
+        """What the columns beside the dense ones add to the similarities of n rows with all examples."""
+        row, column, value = light
+        lo, size = self.first[column], self.first[column + 1] - self.first[column]
+        which = np.repeat(np.arange(len(row)), size)
+        at = np.arange(len(which)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        m = len(self.labels)
+        return np.bincount(row[which] * m + self.example[at], value[which] * self.value[at], minlength=n * m).reshape(n, m).astype(np.float32)
+
+    def nearest(self, rows: np.ndarray, light=None) -> tuple[np.ndarray, np.ndarray]:
         """(similarities, example positions) of the k nearest; position -1 where fewer have a term in common.
 
         Of equal similarities the example that stands first is taken.
         """
         n, k = len(rows), self.k
         best, where = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
-        if not len(self.bounds):
+        if not len(self.bounds) or not n:
             return best, where
         bound = rows @ self.bounds.T + np.float32(1e-5)  # rounding must not prune
+        if light is not None:
+            added = self.postings(n, light)
+            bound += np.maximum.reduceat(added, self.starts, axis=1)
         for b in np.argsort(-bound.max(axis=0), kind="stable"):
-            todo = np.flatnonzero((bound[:, b] > 2e-5) & (bound[:, b] >= best[:, -1]))
+            todo = np.flatnonzero((bound[:, b] > 1e-5) & (bound[:, b] >= best[:, -1]))
             if not len(todo):
                 continue
             lo = b * self.block
             sims = rows[todo] @ self.vectors[lo : lo + self.block].T
+            if light is not None:
+                sims += added[todo, lo : lo + self.block]
             at = np.where(sims > 0, np.arange(lo, lo + sims.shape[1]), -1)
             all_s, all_w = np.concatenate([best[todo], np.maximum(sims, 0)], axis=1), np.concatenate([where[todo], at], axis=1)
             top = np.lexsort((np.where(all_w < 0, 1 << 40, all_w), -all_s), axis=1)[:, :k]
             best[todo], where[todo] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_w, top, 1)
         return best, where
 
+    def of(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of texts, given as codes and counts of their terms."""
+        found = [self.nearest(*self.weights.rows(ids[a : a + 64], counts[a : a + 64])) for a in range(0, len(ids), 64)]
+        return np.concatenate([np.zeros((0, self.k), np.float32), *(s for s, _ in found)]), np.concatenate([np.zeros((0, self.k), np.int64), *(w for _, w in found)])
+
     def vote(self, sims: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Share of toxic examples among the nearest, by similarity and class weight; far neighbours count little."""
         y = np.where(where >= 0, self.labels[where], 0)
         w = np.where(where >= 0, sims**2, 0) * np.where(y > 0, self.weight[1], self.weight[0])
         return (w * y).sum(axis=1) / (w.sum(axis=1) + 0.02 * self.weight.max())
 
-    def _calibrate(self) -> tuple[float, float]:
+    def _calibrate(self, light) -> tuple[float, float]:
         """Slope and shift of a logistic curve over the examples' leave-one-out votes."""
         k, self.k = self.k, self.k + 1
         votes = []
-        for at in range(0, len(self.vectors), 512):
-            sims, where = self.nearest(self.vectors[at : at + 512])
+        for at in range(0, len(self.vectors), 64):
+            a, b = np.searchsorted(light[0], (at, at + 64))
+            sims, where = self.nearest(self.vectors[at : at + 64], (light[0][a:b] - at, light[1][a:b], light[2][a:b]))
             own = where == np.arange(at, at + len(sims))[:, None]
             sims, where = np.where(own, 0, sims), np.where(own, -1, where)
             votes.append(self.vote(sims, where))
@@ -136,12 +190,11 @@ class Index:
         return 1 / (1 + np.exp(-(a * self.vote(sims, where).astype(float) + b)))
 
 
-def _counted(rows: DataFrame, terms: Terms, kept: str) -> DataFrame:
-    """rows (with a column text) with term numbers and counts in its place; kept: the other columns' DDL."""
-    again = shipped(rows.sparkSession, terms)
+def _counted(rows: DataFrame, kept: str) -> DataFrame:
+    """rows (with a column text) with the codes of its terms and their counts in its place; kept: the other columns' DDL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = again().counter()
+        count = counter()
         for b in batches:
             if b.num_rows:
                 found = [count(t) for t in b.column("text").to_pylist()]
@@ -150,7 +203,32 @@ def _counted(rows: DataFrame, terms: Terms, kept: str) -> DataFrame:
                 names = [n for n in b.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids, counts], names=[*names, "terms", "counts"])
 
-    return rows.mapInArrow(run, f"{kept}, terms array<int>, counts array<int>")
+    return rows.mapInArrow(run, f"{kept}, terms array<long>, counts array<long>")
+
+
+def frequencies(texts: DataFrame, least: float, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, ascending, and how many texts have each) of the terms of more than `least` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, held, size = counter(), [], 0
+
+        def summed() -> pa.RecordBatch:
+            terms, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], names=["term", "docs"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.append(count(text)[0])
+                size += len(held[-1])
+                if size >= most:
+                    yield summed()
+                    held, size = [], 0
+        yield summed()
+
+    found = texts.mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") > least).toArrow()
+    codes, n = found.column("term").to_numpy(), found.column("docs").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, part: int, per_class: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -164,50 +242,22 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return materialized(texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))), (1 / share[0], 1 / share[1])
 
 
-def choose_terms(rows: DataFrame, terms: int, least_docs: int = 3, least_odds: float = 0.7) -> list[str]:
-    """The terms of the examples (text, label) that separate the classes best by chi-square.
-
-    A log odds ratio below least_odds is no evidence: such terms rather tell languages or topics apart.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                found = sorted({t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], names=["term", "label"])
-
-    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-    if not n0 or not n1:
-        return []
-    a, c = F.col("toxic"), F.col("docs") - F.col("toxic")
-    gap = a * (n0 - c) - c * (n1 - a)
-    chi = gap * gap * (n0 + n1) / ((a + c) * (n0 + n1 - a - c) * n0 * n1)
-    odds = F.abs(F.log((a + 0.5) * (n0 - c + 0.5) / ((n1 - a + 0.5) * (c + 0.5))))
-    counted = rows.select("text", "label").mapInArrow(run, "term string, label int").groupBy("term").agg(F.count("*").cast("double").alias("docs"), F.sum("label").cast("double").alias("toxic"))
-    ranked = counted.where((F.col("docs") >= least_docs) & (F.col("docs") < n0 + n1)).where(odds >= least_odds).withColumn("chi", chi).where(F.col("chi") >= 10)
-    return [r[0] for r in ranked.orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, part: int, per_class: int, terms: int, k: int, keep: bool = False) -> tuple[Terms, Index, DataFrame]:
-    """The terms, the index, and docs as (id, held_out, terms, counts), kept as a table if keep is true."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, part: int, per_class: int, rarest: float, k: int) -> Index:
     kind = docs.schema[id_col].dataType.simpleString()
     drawn, weight = examples(docs, labels, id_col, text_col, label_col, parts, part, per_class)
-    chosen = Terms(choose_terms(drawn, terms))
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, parts, part).alias("held_out"), F.col(text_col).alias("text"))
-    counted = _counted(rows, chosen, f"id {kind}, held_out boolean")
-    counted = materialized(counted) if keep else counted
-    df = np.zeros(len(chosen.number))
-    for t, n in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term
-        df[t] = n
-    idf = np.log((1 + docs.count()) / (1 + df)) + 1e-3
-    known = sorted(_counted(drawn.select("id", "label", "text"), chosen, f"id {kind}, label int").collect(), key=lambda r: (r["label"], r["id"]))  # the bounded sample
-    blank = Index(idf, [], np.zeros(0), np.zeros((0, len(idf))), weight)
-    vectors = blank.rows([np.array(r["terms"], np.int64) for r in known], [np.array(r["counts"]) for r in known])
-    return chosen, Index(idf, [r["id"] for r in known], np.array([r["label"] for r in known], float), vectors, weight, k), counted
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, terms: int = 2048, k: int = 15) -> DataFrame:
+    total = docs.count()
+    least = max(1.0, rarest * total)
+    idf = lambda n: np.log((1 + total) / (1 + n)) + 1e-3
+    codes, n = frequencies(docs.select(F.col(text_col).alias("text")), least)
+    known = _counted(drawn.select("id", "label", "text"), f"id {kind}, label int").toArrow().sort_by([("label", "ascending"), ("id", "ascending")]).combine_chunks()  # the bounded sample
+    ids, counts = ([x.values.to_numpy() for x in known.column(c)] for c in ("terms", "counts"))
+    known_labels = known.column("label").to_numpy().astype(float)
+    weights = Weights(codes, idf(n), idf(least), ids, known_labels)
+    vectors, light = weights.rows(ids, counts)
+    return Index(weights, known.column("id").to_pylist(), known_labels, vectors, weight, k, light=light, others=weights.columns - weights.dense)
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, rarest: float = 1e-4, k: int = 15) -> DataFrame:
     """(id_col, held_out, score, predicted, evidence) of every row of docs.
 
     labels has id_col and label_col (above 0: toxic; of several labels of a document the largest counts).
@@ -217,36 +267,35 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keep their rows; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    _, index, counted = fit(docs, labels, id_col, text_col, label_col, parts, part, per_class, terms, k, keep=True)
-    again = shipped(docs.sparkSession, index)
+    index_again = shipped(docs.sparkSession, fit(docs, labels, id_col, text_col, label_col, parts, part, per_class, rarest, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = again()
+        count, index = counter(), index_again()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                ids, counts = ([np.array(x, np.int64) for x in b.column(c).to_pylist()] for c in ("terms", "counts"))
-                sims, where = index.nearest(index.rows(ids, counts))
+                found = [count(t) for t in b.column("text").to_pylist()]
+                sims, where = index.of([i for i, _ in found], [n for _, n in found])
                 p = index.score(sims, where)
                 evidence = [[{"id": index.ids[w], "cosine": float(s)} for s, w in zip(x[:3], y[:3]) if w >= 0] for x, y in zip(sims, where)]
                 t = pa.list_(pa.struct([("id", b.schema.field("id").type), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(evidence, t)], names=["id", "held_out", "score", "predicted", "evidence"])
 
-    return counted.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, evidence array<struct<id:{kind},cosine:double>>").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, parts, part).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, evidence array<struct<id:{kind},cosine:double>>").withColumnRenamed("id", id_col)
 
 
-def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, terms: int = 2048, k: int = 15):
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, rarest: float = 1e-4, k: int = 15):
     """A column function from texts to scores, as score() gives them for docs."""
-    chosen, index, _ = fit(docs, labels, id_col, text_col, label_col, parts, part, per_class, terms, k)
-    terms_again, index_again = shipped(docs.sparkSession, chosen), shipped(docs.sparkSession, index)
+    index_again = shipped(docs.sparkSession, fit(docs, labels, id_col, text_col, label_col, parts, part, per_class, rarest, k))
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count, known = terms_again().counter(), index_again()
+        count, known = counter(), index_again()
         for s in texts:
             p = [np.zeros(0)]
             for at in range(0, len(s), 1024):
                 found = [count(t) for t in s.iloc[at : at + 1024]]
-                p.append(known.score(*known.nearest(known.rows([i.astype(np.int64) for i, _ in found], [n for _, n in found]))))
+                p.append(known.score(*known.of([i for i, _ in found], [n for _, n in found])))
             yield pd.Series(np.concatenate(p))
 
     return F.pandas_udf(run, "double")

@@ -92,6 +92,31 @@ def test_nearest_is_exact():
     assert np.allclose(np.where(where >= 0, np.take_along_axis(full, np.maximum(where, 0), 1), 0), sims, atol=1e-5)
 
 
+def test_cosines_count_every_term_of_the_whole_text(spark):
+    texts = [(k, prose(k, 60 if k % 3 else 900), int(k % 2 and k < 80)) for k in range(120)]
+    texts = [(k, t + (" rascal knave" if y else ""), y) for k, t, y in texts] + [(500, "rascal " + prose(500, 2000), 0), (501, "unheard plainly " * 9, 0), (502, "plainly", 0)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    labels = docs.where("doc_id < 120 OR doc_id = 502").select("doc_id", "toxic")
+    index = toxicity.fit(docs, labels, "doc_id", "text", "toxic", 5, 0, 1536, 1e-4, 15)
+    count = toxicity.counter()
+    terms = {k: dict(zip(*(x.tolist() for x in count(t)))) for k, t, _ in texts}
+    df = {}
+    for c in (c for x in terms.values() for c in x):
+        df[c] = df.get(c, 0) + 1
+    known = [i for i, _, _ in texts if i in index.ids]
+    toxic = {k: y for k, _, y in texts}
+    factor = {c: toxicity.evidence(np.array([float(sum(c in terms[i] for i in known))]), np.array([float(sum(c in terms[i] and toxic[i] for i in known))]), len(known), sum(toxic[i] for i in known))[0] for c in df}
+    vector = {k: {c: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[c])) + 1e-3) * factor[c] for c, n in x.items()} for k, x in terms.items()}
+    norm = {k: np.sqrt(sum(v * v for v in x.values())) for k, x in vector.items()}
+    for r in toxicity.score(docs, labels).collect():
+        want = sorted((sum(v * vector[i].get(c, 0) for c, v in vector[r.doc_id].items()) / norm[i] / norm[r.doc_id] for i in known), reverse=True)[:3]
+        assert np.allclose([x.cosine for x in r.evidence], [x for x in want if x > 0], atol=1e-4)
+        if r.doc_id == 500:  # the rest of a long text counts beside its one word of the toxic ones
+            assert r.evidence[0].cosine < 0.9
+        if r.doc_id == 501:  # a word that tells the classes nothing finds its example
+            assert r.evidence[0].id == 502
+
+
 def test_toxicity_edge_rows(spark):
     labels = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 1, "x"), (7, 0, "x"), (8, 0, "x"), (9, 0, "x"), (9, 1, "x"), (12, None, "x"), (None, 1, "x"), (13, 0, "x"), (100, 0, "x")], "doc_id long, toxic int, text string")
     found = toxicity.score(documents(spark), labels).collect()
