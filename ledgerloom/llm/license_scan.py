@@ -1,7 +1,8 @@
 """License scan by conditional compression.
 
-Candidate blocks are the lines that speak of a license, alone and with the lines that follow up to a
-blank line. A block is compressed with zstandard alone and with each template as a raw dictionary; the
+Candidate blocks are the lines that speak of a license, alone, with the lines that follow up to a blank
+line, and with those that follow over blank lines; what stands before and after a confirmed notice in a
+block is searched again. A block is compressed with zstandard alone and with each template as a raw dictionary; the
 templates are ranked by how much smaller the block gets, and the best ones are confirmed, or not, by the
 exact differences in wording.
 """
@@ -56,7 +57,7 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 
 
 def blocks(text: str, longest: int) -> list[tuple[int, int]]:
-    """(from, to) of candidates: every line with a cue, and the lines from it on, up to a blank line or about `longest` characters."""
+    """(from, to) of candidates: every line with a cue, and the lines from it on, up to a blank line and over blank lines, about `longest` characters each."""
     found, lines, at = [], [], 0
     for line in text.split("\n"):
         lines.append((at, at + len(line)))
@@ -69,6 +70,13 @@ def blocks(text: str, longest: int) -> list[tuple[int, int]]:
                 e += 1
             if e > k:
                 found.append((a, lines[e][1]))
+            far = e
+            while far + 1 < len(lines) and lines[far][1] - a < longest:
+                far += 1
+            while far > e and not text[lines[far][0] : lines[far][1]].strip():
+                far -= 1
+            if far > e:
+                found.append((a, lines[far][1]))
     return found
 
 
@@ -117,10 +125,16 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices of a text; of overlapping ones that with more words in common, then the closer."""
-        found = []
-        for a, b in blocks(text, self.longest):
+        found, todo, seen = [], blocks(text, self.longest), set()
+        while todo:
+            a, b = todo.pop()
+            if (a, b) in seen or not _CUE.search(text, a, b):
+                continue
+            seen.add((a, b))
             if one := self.judge(text[a:b]):
-                found.append(one | {"from": one["from"] + a, "to": one["to"] + a})
+                one |= {"from": one["from"] + a, "to": one["to"] + a}
+                found.append(one)
+                todo += [(a, one["from"]), (one["to"], b)]
         kept: list[dict] = []
         for one in sorted(found, key=lambda x: (-x["hit"], -x["similarity"], x["from"], x["template"])):
             if all(one["to"] <= x["from"] or x["to"] <= one["from"] for x in kept):

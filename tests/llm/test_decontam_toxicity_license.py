@@ -150,6 +150,21 @@ def test_license_notices(spark):
     assert license_scan.scan(empty(spark)).collect() == []
 
 
+def test_notices_of_several_paragraphs_and_on_one_line():
+    scanner, wording = license_scan.Scanner(), dict(license_scan.TEMPLATES[::-1])
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        text = next(t for x, t in license_scan.TEMPLATES if x == name)
+        for n in (1, 2, 3):
+            text = text.replace(f" {n}. ", f"\n\n{n}. ")
+        (one,) = scanner.scan(prose(1, 50) + "\n\n" + text + "\n\n" + prose(2, 50))
+        assert (one["license"], one["missing"], one["extra"]) == (name, "", "")
+    apache = license_scan.TEMPLATES[4][1]
+    (one,) = scanner.scan(apache.replace(" You may obtain", "\n\nYou may obtain").replace(" Unless", "\n\nUnless"))
+    assert (one["template"], one["missing"], one["extra"]) == (4, "", "")
+    line = f"{wording['MIT']} {prose(3, 40)} {wording['Apache-2.0']} {prose(4, 40)} Licensed under CC BY-NC 4.0."
+    assert [x["license"] for x in scanner.scan(line)] == ["MIT", "Apache-2.0", "CC-BY-NC-4.0"]
+
+
 def test_every_license_line_of_the_table_is_found(spark):
     docs = table(spark, DATA, "documents")
     lines = {r.doc_id for r in docs.collect() if any(x in r.text for x in ("the Apache License, Version 2.0.", "the MIT License.", "CC BY-NC 4.0.", "General Public License, version 3."))}
