@@ -8,12 +8,12 @@ frequencies that is broadcast. A term that tells the examples' classes apart wei
 one or more (`evidence`); no term is left out. The examples' most frequent terms are dense columns with each block's
 largest weight, the others postings, which a query reads whole. It computes the dense part only for blocks
 whose bound reaches its k-th best so far, and the k nearest are exact. Their similarity-weighted vote is
-calibrated on the examples by leave-one-out.
+calibrated on the examples, in `folds` parts: an index of the other parts, with evidence of theirs alone,
+gives each part's votes, and equal texts stand in one part.
 """
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -23,28 +23,96 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialized, shipped
 from .langid import held_out
 
-_WORD = re.compile(r"\w+")
+_BREAK = re.compile(r"\W")
+_BASE = 0x9E3779B97F4A7C15
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's terms; ^ marks beginnings of longer words."""
-    return [word] + [f"^{word[:n]}" for n in (4, 5) if len(word) > n]
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit numbers that differ in many bits where x differs in few."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def counter(most: int = 200_000):
-    """A function from a text to (codes of its terms, ascending, and how often each occurs); words are looked up once."""
+def _segments(texts: list[str | None], longest: int) -> Iterator[tuple[int, str]]:
+    """(position of the text, lower-cased part of it): long texts are cut where a word ends."""
+    for k, text in enumerate(texts):
+        text, at = (text or "").lower(), 0
+        while len(text) - at > longest and (cut := _BREAK.search(text, at + longest)):
+            yield k, text[at : cut.start()]
+            at = cut.start()
+        yield k, text[at:]
 
-    class Known(dict):
-        def __missing__(known, word: str) -> list[int]:
-            if len(known) >= most:
-                known.clear()
-            found = known[word] = [int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in terms_of(word)]
-            return found
 
-    known = Known()
+def counter(longest: int = 1 << 20, at_once: int = 1 << 16):
+    """A function from a list of texts to (codes of their terms, how often each occurs, where each text's begin and the end); a text's codes ascend.
 
-    def count(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.array([k for found in map(known.__getitem__, _WORD.findall((text or "").lower())) for k in found], np.int64), return_counts=True)
+    Terms are words (runs of letters, digits and underscores, in lower case) and the first four and five
+    letters of longer ones. A code is a 64-bit hash of the term's code points, taken for all terms of
+    about `at_once` letters together, from running sums of letter times position's power.
+    """
+    inside = np.fromiter((c.isalnum() or c == "_" for c in map(chr, range(1 << 16))), bool, 1 << 16)
+    letter = _mixed(np.arange(1 << 16, dtype=np.uint64), 1)
+    none, powers = np.iinfo(np.int64).max, {}
+
+    def power(base: int, n: int) -> np.ndarray:
+        if len(powers.get(base, ())) < n:
+            powers[base] = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(max(n, 2 * at_once), base, np.uint64))])
+        return powers[base][:n]
+
+    def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(where each word begins, its three codes)."""
+        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.zeros(len(point) + 2, bool)
+        word[1:-1] = inside.take(point, mode="clip")
+        value = letter.take(point, mode="clip")
+        if len(far := np.flatnonzero(point > 0xFFFF)):
+            word[far + 1] = [chr(c).isalnum() for c in point[far].tolist()]
+            value[far] = _mixed(point[far].astype(np.uint64), 1)
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(point) + 1, np.uint64)
+        np.cumsum(value * power(_BASE, len(point)), out=sums[1:])
+        back = power(pow(_BASE, -1, 1 << 64), len(point) + 1)[start]
+        out = np.full((len(start), 3), none)
+        out[:, 0] = _mixed((sums[end] - sums[start]) * back, 2).view(np.int64)
+        for k, n in ((1, 4), (2, 5)):
+            longer = np.flatnonzero(end - start > n)
+            a = start[longer]
+            out[longer, k] = _mixed((sums[a + n] - sums[a]) * back[longer], 2 + n).view(np.int64)
+        return start, out
+
+    def count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, sizes, held, owner, size = [], np.zeros(len(texts), np.int64), [], [], 0
+
+        def flush() -> None:
+            nonlocal held, owner, size
+            first = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
+            start, part = codes("\n".join(held))
+            found.append(part)
+            np.add.at(sizes, owner, np.diff(np.searchsorted(start, first), append=len(start)))
+            held, owner, size = [], [], 0
+
+        for k, text in _segments(texts, longest):
+            held.append(text)
+            owner.append(k)
+            size += len(text)
+            if size >= at_once:
+                flush()
+        if held:
+            flush()
+        terms = np.concatenate(found).ravel() if found else np.zeros(0, np.int64)
+        cuts = 3 * np.concatenate([[0], np.cumsum(sizes)])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            terms[a:b].sort()
+        first = np.ones(len(terms), bool)
+        first[1:] = terms[1:] != terms[:-1]
+        first[cuts[:-1][np.diff(cuts) > 0]] = True
+        at = np.flatnonzero(first)
+        n = np.diff(at, append=len(terms))
+        kept = terms[at] != none
+        at, n = at[kept], n[kept]
+        return terms[at], n, np.searchsorted(at, cuts)
 
     return count
 
@@ -63,27 +131,27 @@ def evidence(docs: np.ndarray, toxic: np.ndarray, n: int, n1: float) -> np.ndarr
 class Weights:
     """Weights of the terms (inverse document frequency by evidence), and the columns of those that the examples have (-1: none)."""
 
-    def __init__(self, codes: np.ndarray, idf: np.ndarray, rare: float, examples: list[np.ndarray], labels: np.ndarray, dense: int = 2048):
-        found, inverse, n = np.unique(np.concatenate([np.zeros(0, np.int64), *examples]), return_inverse=True, return_counts=True)
-        toxic = np.bincount(inverse, np.repeat(labels, [len(x) for x in examples]), minlength=len(found))
+    def __init__(self, codes: np.ndarray, idf: np.ndarray, rare: float, terms: np.ndarray, cuts: np.ndarray, labels: np.ndarray, dense: int = 2048):
+        found, inverse, n = np.unique(terms, return_inverse=True, return_counts=True)
+        toxic = np.bincount(inverse, np.repeat(labels, np.diff(cuts)), minlength=len(found))
         order = np.lexsort((found, -n))
         #: dense columns are the terms of at least one example in 64
-        self.dense = min(dense, int((n * 64 >= max(1, len(examples))).sum()))
+        self.dense = min(dense, int((n * 64 >= max(1, len(labels))).sum()))
         self.columns = len(found)
         self.codes, self.rare = np.union1d(codes, found), np.float32(rare)
         self.idf, self.column = np.full(len(self.codes), rare, np.float32), np.full(len(self.codes), -1, np.int32)
         self.idf[np.searchsorted(self.codes, codes)] = idf
-        self.idf[np.searchsorted(self.codes, found)] *= evidence(n.astype(float), toxic, len(examples), float(labels.sum()))
+        self.idf[np.searchsorted(self.codes, found)] *= evidence(n.astype(float), toxic, len(labels), float(labels.sum()))
         self.column[np.searchsorted(self.codes, found[order])] = np.arange(len(found))
 
-    def rows(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def rows(self, code: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """TF-IDF rows, divided by the norm of all terms: the dense columns, and (row, column, weight) of the others that examples have."""
-        out = np.zeros((len(ids), self.dense), np.float32)
-        row, code = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate([np.zeros(0, np.int64), *ids])
+        n = len(cuts) - 1
+        out, row = np.zeros((n, self.dense), np.float32), np.repeat(np.arange(n), np.diff(cuts))
         at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
         known = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        w = (1 + np.log(np.concatenate([np.ones(0), *counts]))) * (np.where(known, self.idf[at], self.rare) if len(self.codes) else self.rare)
-        w = (w / np.sqrt(np.bincount(row, w * w, minlength=len(ids)))[row]).astype(np.float32)
+        w = (1 + np.log(counts)) * (np.where(known, self.idf[at], self.rare) if len(self.codes) else self.rare)
+        w = (w / np.sqrt(np.bincount(row, w * w, minlength=n))[row]).astype(np.float32)
         column = np.where(known, self.column[at], -1) if len(self.codes) else np.full(len(code), -1)
         heavy, light = (column >= 0) & (column < self.dense), column >= self.dense
         out[row[heavy], column[heavy]] = w[heavy]
@@ -113,8 +181,8 @@ class Index:
         self.weight = np.array(weight, np.float32)
         total = float(sum(weight[int(y)] for y in labels))
         self.prior = float(weight[1] * labels.sum() / total) if total else 0.0
-        by = np.argsort(row, kind="stable")
-        self.calibration = self._calibrate((row[by], column[by], value[by])) if 0 < labels.sum() < len(labels) else None
+        #: slope and shift of a logistic curve over votes; without it scores are the prior
+        self.calibration = None
 
     def postings(self, n: int, light) -> np.ndarray:
         """What the columns beside the dense ones add to the similarities of n rows with all examples."""
@@ -125,37 +193,51 @@ class Index:
         m = len(self.labels)
         return np.bincount(row[which] * m + self.example[at], value[which] * self.value[at], minlength=n * m).reshape(n, m).astype(np.float32)
 
-    def nearest(self, rows: np.ndarray, light=None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, rows: np.ndarray, light=None, wave: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(similarities, example positions) of the k nearest; position -1 where fewer have a term in common.
 
-        Of equal similarities the example that stands first is taken.
+        Blocks are read in the order of their bounds, `wave` at a time; of equal similarities the example
+        that stands first is taken.
         """
-        n, k = len(rows), self.k
+        n, k, m = len(rows), self.k, len(self.labels)
         best, where = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
         if not len(self.bounds) or not n:
             return best, where
         bound = rows @ self.bounds.T + np.float32(1e-5)  # rounding must not prune
-        if light is not None:
-            added = self.postings(n, light)
+        added = None if light is None else self.postings(n, light)
+        if added is not None:
             bound += np.maximum.reduceat(added, self.starts, axis=1)
-        for b in np.argsort(-bound.max(axis=0), kind="stable"):
-            todo = np.flatnonzero((bound[:, b] > 1e-5) & (bound[:, b] >= best[:, -1]))
-            if not len(todo):
-                continue
-            lo = b * self.block
-            sims = rows[todo] @ self.vectors[lo : lo + self.block].T
-            if light is not None:
-                sims += added[todo, lo : lo + self.block]
-            at = np.where(sims > 0, np.arange(lo, lo + sims.shape[1]), -1)
-            all_s, all_w = np.concatenate([best[todo], np.maximum(sims, 0)], axis=1), np.concatenate([where[todo], at], axis=1)
-            top = np.lexsort((np.where(all_w < 0, 1 << 40, all_w), -all_s), axis=1)[:, :k]
-            best[todo], where[todo] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_w, top, 1)
+        sims, top = np.zeros((n, m), np.float32), np.zeros((n, k), np.float32)
+        order = np.argsort(-bound.max(axis=0), kind="stable")
+        for at in range(0, len(order), wave):
+            new, least = [top], top.min(axis=1)
+            for b in order[at : at + wave].tolist():
+                todo = np.flatnonzero((bound[:, b] > 1e-5) & (bound[:, b] >= least))
+                if len(todo):
+                    part = slice(self.starts[b], self.starts[b] + self.block)
+                    found = rows[todo] @ self.vectors[part].T
+                    if added is not None:
+                        found += added[todo, part]
+                    sims[todo, part] = found
+                    new.append(sims[:, part])
+            if len(new) > 1:
+                top = np.partition(np.concatenate(new, axis=1), -k, axis=1)[:, -k:]
+        row, column = np.nonzero((sims > 0) & (sims >= top.min(axis=1)[:, None]))
+        value = sims[row, column]
+        by = np.lexsort((column, -value, row))
+        row, column, value = row[by], column[by], value[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < k
+        best[row[kept], rank[kept]], where[row[kept], rank[kept]] = value[kept], column[kept]
         return best, where
 
-    def of(self, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest of texts, given as codes and counts of their terms."""
-        found = [self.nearest(*self.weights.rows(ids[a : a + 64], counts[a : a + 64])) for a in range(0, len(ids), 64)]
-        return np.concatenate([np.zeros((0, self.k), np.float32), *(s for s, _ in found)]), np.concatenate([np.zeros((0, self.k), np.int64), *(w for _, w in found)])
+    def of(self, codes: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of texts, given as counter() counts them."""
+        found = [(np.zeros((0, self.k), np.float32), np.zeros((0, self.k), np.int64))]
+        for at in range(0, len(cuts) - 1, 64):
+            own = cuts[at : at + 65]
+            found.append(self.nearest(*self.weights.rows(codes[own[0] : own[-1]], counts[own[0] : own[-1]], own - own[0])))
+        return np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found])
 
     def vote(self, sims: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Share of toxic examples among the nearest, by similarity and class weight; far neighbours count little."""
@@ -163,25 +245,16 @@ class Index:
         w = np.where(where >= 0, sims**2, 0) * np.where(y > 0, self.weight[1], self.weight[0])
         return (w * y).sum(axis=1) / (w.sum(axis=1) + 0.02 * self.weight.max())
 
-    def _calibrate(self, light) -> tuple[float, float]:
-        """Slope and shift of a logistic curve over the examples' leave-one-out votes."""
-        k, self.k = self.k, self.k + 1
-        votes = []
-        for at in range(0, len(self.vectors), 64):
-            a, b = np.searchsorted(light[0], (at, at + 64))
-            sims, where = self.nearest(self.vectors[at : at + 64], (light[0][a:b] - at, light[1][a:b], light[2][a:b]))
-            own = where == np.arange(at, at + len(sims))[:, None]
-            sims, where = np.where(own, 0, sims), np.where(own, -1, where)
-            votes.append(self.vote(sims, where))
-        self.k = k
-        v, y = np.concatenate(votes).astype(float), self.labels.astype(float)
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fits the curve to votes on labelled texts."""
+        v, y = votes.astype(float), labels.astype(float)
         w = self.weight[y.astype(int)].astype(float)
         w /= w.mean()
         x, beta, ridge = np.stack([v, np.ones_like(v)], axis=1), np.zeros(2), np.diag([0.5, 0.01])
         for _ in range(50):
             p = 1 / (1 + np.exp(-x @ beta))
             beta -= np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (p - y)) + ridge @ beta)
-        return float(max(beta[0], 1e-6)), float(beta[1])
+        self.calibration = float(max(beta[0], 1e-6)), float(beta[1])
 
     def score(self, sims: np.ndarray, where: np.ndarray) -> np.ndarray:
         if self.calibration is None:  # no labels, or of one class only
@@ -197,9 +270,8 @@ def _counted(rows: DataFrame, kept: str) -> DataFrame:
         count = counter()
         for b in batches:
             if b.num_rows:
-                found = [count(t) for t in b.column("text").to_pylist()]
-                cuts = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in found])]).astype(np.int32))
-                ids, counts = (pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1))
+                *found, cuts = count(b.column("text").to_pylist())
+                ids, counts = (pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x)) for x in found)
                 names = [n for n in b.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids, counts], names=[*names, "terms", "counts"])
 
@@ -217,8 +289,8 @@ def frequencies(texts: DataFrame, least: float, most: int = 1 << 21) -> tuple[np
             return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], names=["term", "docs"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append(count(text)[0])
+            for at in range(0, b.num_rows, 1024):
+                held.append(count(b.column(0).slice(at, 1024).to_pylist())[0])
                 size += len(held[-1])
                 if size >= most:
                     yield summed()
@@ -242,27 +314,47 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return materialized(texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))), (1 / share[0], 1 / share[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, part: int, per_class: int, rarest: float, k: int) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, parts: int, part: int, per_class: int, rarest: float, k: int, folds: int = 4) -> Index:
     kind = docs.schema[id_col].dataType.simpleString()
     drawn, weight = examples(docs, labels, id_col, text_col, label_col, parts, part, per_class)
     total = docs.count()
     least = max(1.0, rarest * total)
     idf = lambda n: np.log((1 + total) / (1 + n)) + 1e-3
     codes, n = frequencies(docs.select(F.col(text_col).alias("text")), least)
-    known = _counted(drawn.select("id", "label", "text"), f"id {kind}, label int").toArrow().sort_by([("label", "ascending"), ("id", "ascending")]).combine_chunks()  # the bounded sample
-    ids, counts = ([x.values.to_numpy() for x in known.column(c)] for c in ("terms", "counts"))
-    known_labels = known.column("label").to_numpy().astype(float)
-    weights = Weights(codes, idf(n), idf(least), ids, known_labels)
-    vectors, light = weights.rows(ids, counts)
-    return Index(weights, known.column("id").to_pylist(), known_labels, vectors, weight, k, light=light, others=weights.columns - weights.dense)
+    drawn = drawn.select("id", "label", "text", F.xxhash64("text").alias("hash"))
+    known = _counted(drawn, f"id {kind}, label int, hash long").toArrow().sort_by([("label", "ascending"), ("hash", "ascending"), ("id", "ascending")]).combine_chunks()  # the bounded sample
+    texts = [np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in known.column(c))]) for c in ("terms", "counts")]
+    sizes = np.array([len(x) for x in known.column("terms")], np.int64)
+    marks, names, y = known.column("hash").to_numpy(), known.column("id").to_pylist(), known.column("label").to_numpy().astype(float)
+
+    def some(rows: np.ndarray) -> list[np.ndarray]:
+        which = np.repeat(rows, sizes)
+        return [texts[0][which], texts[1][which], np.concatenate([[0], np.cumsum(sizes[rows])])]
+
+    def index(rows: np.ndarray) -> Index:
+        terms, counts, cuts = some(rows)
+        weights = Weights(codes, idf(n), idf(least), terms, cuts, y[rows])
+        vectors, light = weights.rows(terms, counts, cuts)
+        return Index(weights, [names[k] for k in np.flatnonzero(rows)], y[rows], vectors, weight, k, light=light, others=weights.columns - weights.dense)
+
+    whole = index(np.ones(len(y), bool))
+    if 0 < y.sum() < len(y):
+        part, votes = (marks.view(np.uint64) % np.uint64(folds)).astype(int), np.zeros(len(y))  # equal texts stay together
+        for f in range(folds):
+            if (part == f).any():
+                other = index(part != f)
+                votes[part == f] = other.vote(*other.of(*some(part == f)))
+        whole.calibrate(votes, y)
+    return whole
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, part: int = 0, per_class: int = 1536, rarest: float = 1e-4, k: int = 15) -> DataFrame:
     """(id_col, held_out, score, predicted, evidence) of every row of docs.
 
     labels has id_col and label_col (above 0: toxic; of several labels of a document the largest counts).
-    evidence lists the ids and cosines of up to three nearest examples. Null and empty texts have no
-    terms and get the score of texts unlike any example. Without labels of both classes every score is
+    evidence lists the ids and cosines of the up to k nearest examples, which are those that vote. Null
+    and empty texts have no terms and get the score of texts unlike any example. Examples of equal cosine
+    are taken by a hash of their text, not by id. Without labels of both classes every score is
     the share of toxic labels (0 without any). Null ids are scored, never learned from; repeated rows
     keep their rows; other columns are ignored.
     """
@@ -274,10 +366,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                found = [count(t) for t in b.column("text").to_pylist()]
-                sims, where = index.of([i for i, _ in found], [n for _, n in found])
+                sims, where = index.of(*count(b.column("text").to_pylist()))
                 p = index.score(sims, where)
-                evidence = [[{"id": index.ids[w], "cosine": float(s)} for s, w in zip(x[:3], y[:3]) if w >= 0] for x, y in zip(sims, where)]
+                evidence = [[{"id": index.ids[w], "cosine": float(s)} for s, w in zip(x, y) if w >= 0] for x, y in zip(sims, where)]
                 t = pa.list_(pa.struct([("id", b.schema.field("id").type), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(evidence, t)], names=["id", "held_out", "score", "predicted", "evidence"])
 
@@ -294,8 +385,7 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for s in texts:
             p = [np.zeros(0)]
             for at in range(0, len(s), 1024):
-                found = [count(t) for t in s.iloc[at : at + 1024]]
-                p.append(known.score(*known.of([i for i, _ in found], [n for _, n in found])))
+                p.append(known.score(*known.of(*count(s.iloc[at : at + 1024].tolist()))))
             yield pd.Series(np.concatenate(p))
 
     return F.pandas_udf(run, "double")

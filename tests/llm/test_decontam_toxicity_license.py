@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -99,7 +100,7 @@ def test_cosines_count_every_term_of_the_whole_text(spark):
     labels = docs.where("doc_id < 120 OR doc_id = 502").select("doc_id", "toxic")
     index = toxicity.fit(docs, labels, "doc_id", "text", "toxic", 5, 0, 1536, 1e-4, 15)
     count = toxicity.counter()
-    terms = {k: dict(zip(*(x.tolist() for x in count(t)))) for k, t, _ in texts}
+    terms = {k: dict(zip(*(x.tolist() for x in count([t])[:2]))) for k, t, _ in texts}
     df = {}
     for c in (c for x in terms.values() for c in x):
         df[c] = df.get(c, 0) + 1
@@ -108,15 +109,36 @@ def test_cosines_count_every_term_of_the_whole_text(spark):
     factor = {c: toxicity.evidence(np.array([float(sum(c in terms[i] for i in known))]), np.array([float(sum(c in terms[i] and toxic[i] for i in known))]), len(known), sum(toxic[i] for i in known))[0] for c in df}
     vector = {k: {c: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[c])) + 1e-3) * factor[c] for c, n in x.items()} for k, x in terms.items()}
     norm = {k: np.sqrt(sum(v * v for v in x.values())) for k, x in vector.items()}
+    slope, shift = index.calibration
     for r in toxicity.score(docs, labels).collect():
-        want = sorted((sum(v * vector[i].get(c, 0) for c, v in vector[r.doc_id].items()) / norm[i] / norm[r.doc_id] for i in known), reverse=True)[:3]
-        assert np.allclose([x.cosine for x in r.evidence], [x for x in want if x > 0], atol=1e-4)
+        near = sorted(((sum(v * vector[i].get(c, 0) for c, v in vector[r.doc_id].items()) / norm[i] / norm[r.doc_id], toxic[i]) for i in known), reverse=True)[:15]
+        assert np.allclose([x.cosine for x in r.evidence], [x for x, _ in near if x > 0], atol=1e-4)
+        vote = sum(x * x * y * index.weight[y] for x, y in near) / (sum(x * x * index.weight[y] for x, y in near) + 0.02 * index.weight.max())
+        assert abs(r.score - 1 / (1 + np.exp(-(slope * vote + shift)))) < 1e-3
         if r.doc_id == 500:  # the rest of a long text counts beside its one word of the toxic ones
             assert r.evidence[0].cosine < 0.9
         if r.doc_id == 501:  # a word that tells the classes nothing finds its example
             assert r.evidence[0].id == 502
 
 
+def test_terms_are_words_and_their_beginnings():
+    texts = [r[1] for r in rows()] + ["Straßenbahn über_42 \U00010400\U00010401\U00010402\U00010403\U00010404x été-là \ud800x", "a" * 30 + " " + "bb " * 50, None, ""]
+    whole, pieces = toxicity.counter()(texts), toxicity.counter(longest=7, at_once=5)(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces))
+    code = {}
+    for k, text in enumerate(texts):
+        want = {}
+        for w in re.findall(r"\w+", (text or "").lower()):
+            for term in [w, *("^" + w[:n] for n in (4, 5) if len(w) > n)]:
+                want[term] = want.get(term, 0) + 1
+        got = dict(zip(*(x[whole[2][k] : whole[2][k + 1]].tolist() for x in whole[:2])))
+        assert sorted(got.values()) == sorted(want.values()) and list(got) == sorted(got)
+        for term in want:
+            code.setdefault(term, set()).update(c for c, n in got.items() if n == want[term])
+            code[term] &= {c for c, n in got.items() if n == want[term]}
+    assert all(code.values())  # every term has the same code wherever it occurs
+
+
 def test_toxicity_edge_rows(spark):
     labels = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 1, "x"), (7, 0, "x"), (8, 0, "x"), (9, 0, "x"), (9, 1, "x"), (12, None, "x"), (None, 1, "x"), (13, 0, "x"), (100, 0, "x")], "doc_id long, toxic int, text string")
     found = toxicity.score(documents(spark), labels).collect()
