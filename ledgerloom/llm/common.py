@@ -26,6 +26,14 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shipped(spark: SparkSession, thing):
     """A function that gives thing again inside a task: its attributes are broadcast, its class goes with the function."""
     state, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)

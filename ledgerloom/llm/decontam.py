@@ -2,9 +2,10 @@
 
 The test items are taken in blocks of bounded size; each block is broadcast and every document is
 scanned against it. A first scan counts in how many documents each word n-gram of the items occurs. The
-rare ones are seeds, and of every item those up to twice its median, so an item that has leaked everywhere
-keeps its seeds. A second scan gathers the seeds' hits by diagonal and aligns the items with the passages
-around them, many passages at once. Only counts of n-grams are ever shuffled.
+rare ones are seeds, and of every item those up to twice the median of its n-grams that occur, so an item
+that has leaked everywhere keeps its seeds. A second scan is the join: it finds the seeds' hits, gathers
+them by diagonal and aligns the items with the passages around them, many passages at once. Only counts of
+n-grams are ever shuffled; a shuffle join would move every n-gram of every document.
 """
 
 from __future__ import annotations
@@ -41,8 +42,12 @@ class Items:
         words = [words_of(t) for t in texts]
         for w in (w for item in words for w in item):
             self.number.setdefault(w, len(self.number))
-        # items shorter than n words can't be recognized by n-grams; they are left out
         kept = [k for k, item in enumerate(words) if len(item) >= n]
+        #: items shorter than an n-gram, by their words' numbers
+        self.short: dict[tuple[int, ...], list] = {}
+        for k, item in enumerate(words):
+            if 0 < len(item) < n:
+                self.short.setdefault(tuple(self.number[w] for w in item), []).append(ids[k])
         self.ids = [ids[k] for k in kept]
         self.words = [np.array([self.number[w] for w in words[k]], np.int64) for k in kept]
         self.radix = len(self.number) + 1
@@ -70,14 +75,17 @@ class Items:
         return at, code
 
     def keep_rare(self, docs_with: np.ndarray, most: float) -> None:
-        """Seeds are n-grams of at most `most` documents, and of each item those up to twice its median.
+        """Seeds are n-grams of at most `most` documents, and of each item those up to twice the median of what occurs.
 
-        Copies raise the counts of all that an item says alike, so what an edited copy keeps stays below.
+        Copies raise the counts of all that an item says alike, so what edited copies keep stays below;
+        n-grams that no document has, as edits leave them, do not count for the median.
         """
         self.wanted = docs_with <= most
         order = np.argsort(self.item, kind="stable")
         for own in np.split(self.gram[order], np.flatnonzero(np.diff(self.item[order])) + 1):
-            self.wanted[own[docs_with[own] <= 2 * np.median(docs_with[own])]] = True
+            there = docs_with[own][docs_with[own] > 0]
+            if len(there):
+                self.wanted[own[docs_with[own] <= 2 * np.median(there)]] = True
 
     def read(self, text: str | None) -> np.ndarray:
         """A text as word numbers, -1 for words that no item has."""
@@ -138,7 +146,7 @@ def smith_waterman(item: np.ndarray, passages: list[np.ndarray], match: int = 2,
     return best, end
 
 
-def leaks(items: Items, texts: list[np.ndarray], threshold: float, at_once: int = 1 << 21) -> list[list[dict]]:
+def leaks(items: Items, texts: list[np.ndarray], threshold: float, enough: int, at_once: int = 1 << 21) -> list[list[dict]]:
     """Of every text (as word numbers) its items with their best passage's score, in the order of the items."""
     wanted: dict[int, list[tuple[int, int, int, int]]] = {}
     for d, ids in enumerate(texts):
@@ -146,41 +154,45 @@ def leaks(items: Items, texts: list[np.ndarray], threshold: float, at_once: int
             wanted.setdefault(k, []).append((d, lo, hi, n))
     best: dict[tuple[int, int], dict] = {}
     for k, places in sorted(wanted.items()):
-        item = items.words[k]
+        item, full = items.words[k], 2 * min(enough, len(items.words[k]))
         places.sort(key=lambda x: x[2] - x[1])  # passages of like length are aligned together
         step = max(1, at_once // max(1, places[-1][2] - places[-1][1]))
         for a in range(0, len(places), step):
             part = places[a : a + step]
             score, end = smith_waterman(item, [texts[d][lo:hi] for d, lo, hi, _ in part])
-            good = [x for x, s in enumerate(score) if s >= threshold * 2 * len(item)]
+            good = [x for x, s in enumerate(score) if s >= threshold * full]
             if not good:
                 continue
             _, back = smith_waterman(item[::-1], [texts[part[x][0]][part[x][1] : part[x][1] + end[x]][::-1] for x in good])
             for x, r in zip(good, back):
                 d, lo, _, n = part[x]
-                found = {"item_id": items.ids[k], "score": float(score[x]) / (2 * len(item)), "seeds": n, "first_word": lo + int(end[x] - r), "last_word": lo + int(end[x]) - 1}
+                found = {"item_id": items.ids[k], "score": min(1.0, float(score[x]) / full), "seeds": n, "first_word": lo + int(end[x] - r), "last_word": lo + int(end[x]) - 1}
                 old = best.get((d, k))
                 if old is None or (found["score"], -found["first_word"]) > (old["score"], -old["first_word"]):
                     best[d, k] = found
     out: list[list[dict]] = [[] for _ in texts]
     for (d, _), found in sorted(best.items()):
         out[d].append(found)
+    for d, ids in enumerate(texts):
+        if len(ids) < items.n:
+            out[d] += [{"item_id": i, "score": 1.0, "seeds": 0, "first_word": 0, "last_word": len(ids) - 1} for i in items.short.get(tuple(ids.tolist()), [])]
     return out
 
 
-def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.0005, rare_docs: int = 20, threshold: float = 0.6, block_chars: int = 1 << 23) -> DataFrame:
-    """docs' columns `keep` and leaks: array of (item_id, score, seeds, first_word, last_word) of each row.
+def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, rare: float = 0.0005, threshold: float = 0.6, enough: int = 50, block_chars: int = 1 << 23, out_col: str = "leaks") -> DataFrame:
+    """docs' columns `keep` and out_col: array of (item_id, score, seeds, first_word, last_word) of each row.
 
-    score is the best local alignment's score (2 a match, -1 a substitution or gap) against the item's
-    highest possible one; passages from `threshold` on are leaks. An n-gram is rare in up to rare_docs
-    documents or the share `rare` of all. Items of less than n words, null and empty ones, never match; null and empty
-    texts have no leaks. Repeated rows and null ids keep their rows; repeated items each match; `keep`
-    must not hold a column named leaks. Items are read block by block, block_chars characters each, and
-    every block scans all rows, so nothing depends on the number of items but time.
+    score is the best local alignment's score (2 a match, -1 a substitution or gap) against the highest
+    possible one of the item, or of `enough` words of it where it is longer (1 at most); passages from
+    `threshold` on are leaks, so a long item leaks by a passage of it. An n-gram is rare in up to the
+    share `rare` of documents. Items of less than n words match texts of just these words; null and empty
+    ones never match, and null and empty texts have no leaks. Repeated rows and null ids keep their rows;
+    repeated items each match; `keep` must not hold out_col. Items are read block by block, block_chars
+    characters each, and every block scans all rows, so nothing depends on the number of items but time.
     """
     spark = docs.sparkSession
     kind = items.schema[item_id].dataType.simpleString()
-    out = docs.select(*keep, *([] if text_col in keep else [text_col])).withColumn("leaks", F.array().cast(f"array<struct<item_id:{kind},score:double,seeds:int,first_word:int,last_word:int>>"))
+    out = docs.select(*keep, *([] if text_col in keep else [text_col])).withColumn(out_col, F.array().cast(f"array<struct<item_id:{kind},score:double,seeds:int,first_word:int,last_word:int>>"))
     chars, count = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-chars // block_chars), -(-count // (block_chars // 64)))
     total = None
@@ -189,7 +201,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
         held = items.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == b).select(item_id, item_text).collect()  # a block's worth
         held.sort(key=lambda r: (r[0] is None, r[0], r[1] or ""))
         block = Items([r[0] for r in held], [r[1] for r in held], n)
-        if not len(block.codes):
+        if not len(block.codes) and not block.short:
             continue
         plain = shipped(spark, block)
 
@@ -207,7 +219,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
         for g, c in docs.select(text_col).mapInArrow(count_grams, "gram int, docs long").groupBy("gram").agg(F.sum("docs")).collect():  # a row for each n-gram of the block
             docs_with[g] = c
         total = docs.count() if total is None else total
-        block.keep_rare(docs_with, max(rare_docs, rare * total))
+        block.keep_rare(docs_with, rare * total)
         seeded = shipped(spark, block)
 
         def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +227,10 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
             for whole in batches:
                 for at in range(0, whole.num_rows, 2000):
                     x = whole.slice(at, 2000)
-                    old = x.column("leaks")
-                    found = leaks(known, [known.read(t) for t in x.column(text_col).to_pylist()], threshold)
+                    old = x.column(out_col)
+                    found = leaks(known, [known.read(t) for t in x.column(text_col).to_pylist()], threshold, enough)
                     new = pa.array([a + f for a, f in zip(old.to_pylist(), found)], old.type) if any(found) else old
-                    yield x.set_column(x.schema.get_field_index("leaks"), "leaks", new)
+                    yield x.set_column(x.schema.get_field_index(out_col), out_col, new)
 
         out = out.mapInArrow(align, schema)
-    return out.select(*keep, "leaks")
+    return out.select(*keep, out_col)

@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import by_batch, components, materialized
+from .common import by_batch, components, fresh, materialized
 
 BITS = 64
 
@@ -49,16 +49,17 @@ def simhash_of(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as a signed long) of every row."""
+    """(id, mark, fingerprint as a signed long) of every row; mark is a hash of the text."""
 
     def make():
         def f(cols):
             fps = np.fromiter((simhash_of(t) for t in cols["text"].to_pylist()), np.uint64, len(cols["text"]))
-            return {"id": cols["id"], "fingerprint": fps.view(np.int64)}
+            return {"id": cols["id"], "mark": cols["mark"], "fingerprint": fps.view(np.int64)}
 
         return f
 
-    return by_batch(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, fingerprint long", make)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return by_batch(rows, "id long, mark long, fingerprint long", make)
 
 
 def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -190,11 +191,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id are linked through their fingerprint and get the smallest non-null id of their component
     (null where there is none); repeated rows and ids each keep their row; other columns are ignored.
     """
-    fps = materialized(fingerprints(docs, id_col, text_col))
-    reps = materialized(fps.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    roots = components(links(reps), "a", "b")
+    fps, reps, roots = _linked(docs, id_col, text_col, radius)
     member = reps.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     linked = member.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = materialized(reps.join(linked.join(least, "root").select("fingerprint", "component"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component")))
     return fps.join(named, "fingerprint", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of all rows; distinct ones with the least id and the first row; (node, root) of those with links."""
+    fps = materialized(fingerprints(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "mark")).alias("first")
+    reps = materialized(fps.groupBy("fingerprint").agg(F.min("id").alias("least"), first))
+    return fps, reps, components(links(reps), "a", "b")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (null ids last, equal ids by a hash of the text).
+
+    Rows are told apart by id and text, so of two different texts under one id each is judged by its own
+    fingerprint; of rows with equal id and text one stays. All columns are kept, whatever their names.
+    """
+    _, reps, roots = _linked(docs, id_col, text_col, radius)
+    member = reps.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    key, copy = fresh(docs, "key"), fresh(docs, "copy")
+    pair = lambda i, mark: F.struct(i.cast("long").alias("id"), mark.alias("mark"))
+    kept = member.groupBy("root").agg(F.min("first").alias("first")).select(pair(F.col("first.id"), F.col("first.mark")).alias(key))
+    own = docs.withColumn(key, pair(F.col(id_col), F.xxhash64(text_col))).join(materialized(kept), key, "left_semi")
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "variant", "array", "struct") and f.name not in (id_col, text_col)]
+    copies = Window.partitionBy(key).orderBy(*(others or [F.lit(0)]))
+    return own.withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1).drop(key, copy)

@@ -63,6 +63,36 @@ def test_a_leak_in_every_document_is_still_found(spark):
     assert len(found) == 60 and all(len(r.leaks) == 1 and r.leaks[0].score == 1.0 and r.leaks[0].first_word == 30 for r in found)
 
 
+def test_seeds_lose_nothing_that_whole_alignment_finds(spark):
+    """Every document against every item, unseeded: long items, halves, edited copies, short items."""
+    long = prose(900, 400).split()
+    items = [*ITEMS[:8], (30, " ".join(long)), (31, prose(901, 150)), (32, "two words"), (33, "Single!")]
+    edited = lambda words, n: [w if (k + 1) % n else "changed" for k, w in enumerate(words)]
+    data = [r[:4] for r in [*rows(), *leaking()]]
+    for k, part in enumerate((long[:230], long[100:135], long[300:], edited(long[50:200], 4), edited(long[:60], 5), long[200:212], edited(long[20:90], 3))):
+        data += [(500 + 10 * k + c, " ".join([prose(700 + k + c, 60), *part, prose(800 + k + c, 60)]), "en", "x") for c in range(3)]
+    data += [(600, "Two words.", "en", "x"), (601, "single", "en", "x"), (602, "so two words are no leak", "en", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {(r.doc_id, x.item_id): x.score for r in decontam.scan(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect() for x in r.leaks}
+    block = decontam.Items([i for i, _ in items], [t for _, t in items], 3)
+    want = {(600, 32): 1.0, (601, 33): 1.0}
+    for i, text, *_ in data:
+        ids = block.read(text)
+        for item, name in zip(block.words, block.ids):
+            if len(ids) and i is not None:
+                score = decontam.smith_waterman(item, [ids])[0][0] / (2 * min(50, len(item)))
+                if score >= 0.6:
+                    want[i, name] = max(want.get((i, name), 0), min(1.0, score))
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.15 for k in want)
+    assert sum(k[1] == 30 for k in want) >= 12
+
+
+def test_leaks_under_another_name(spark):
+    docs = spark.createDataFrame([(1, ITEMS[5][1], "mine")], "doc_id long, text string, leaks string")
+    (one,) = decontam.scan(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), docs.columns, out_col="leaks_").collect()
+    assert one.leaks == "mine" and [x.item_id for x in one.leaks_] == [5]
+
+
 def test_decontamination_of_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.scan(empty(spark), items, ["doc_id", "text"]).collect() == []

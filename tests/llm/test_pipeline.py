@@ -1,9 +1,11 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import decontam, langid, packing, simhash_dedup, toxicity
 from ledgerloom.llm.queries import QUERIES, table
 
 from ..conftest import DATA
-from .fixtures import documents, rows
+from .fixtures import documents, prose, rows
 
 
 def test_names():
@@ -28,6 +30,25 @@ def test_pipeline_matches_stages_applied_by_hand(spark):
     assert 0 < len(clean) < len(first) < len(calm) < len(known)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those that stages use inside come out as they went in."""
+    names = ["language", "toxicity", "score", "leaks", "kept", "copy", "key", "id", "mark", "fingerprint"]
+    docs = documents(spark).select("doc_id", "text", "lang", "source", *(F.lit(f"mine {k}").alias(n) for k, n in enumerate(names)), F.create_map(F.lit("a"), F.lit(1)).alias("more"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == ["doc_id", "text", "lang", "source", *names, "more"]
+    kept = docs.collect()
+    assert kept and all([r[n] for n in names] == [f"mine {k}" for k in range(len(names))] for r in kept)
+
+
+def test_different_texts_under_one_id_are_judged_by_themselves(spark):
+    one, two, three = prose(21, 80), prose(22, 80), prose(23, 80)
+    data = [(1, one), (5, one), (5, two), (5, two), (None, three), (None, three), (None, one), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in data], "doc_id long, text string, lang string, source string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()), key=str)
+    assert kept == sorted([(1, one), (5, two), (None, three), (7, None)], key=str)
+
+
 def test_stages_take_edge_rows(spark):
     docs = documents(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
