@@ -8,37 +8,35 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import decontam, langid, packing, simhash_dedup, toxicity
-from ledgerloom.llm.common import shared_dir
+from ledgerloom.llm.common import fresh, shared_dir
 from ledgerloom.llm.queries import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: no letter, or two languages equally likely."""
-    found = langid.identifier(docs)("text")
-    return docs.withColumn("language", found).where("language.lang_pred <> 'und' AND NOT language.ambiguous").select(*docs.columns)
+    found = fresh(docs, "language")
+    named = docs.withColumn(found, langid.identifier(docs)("text"))
+    return named.where((F.col(found)["lang_pred"] != "und") & ~F.col(found)["ambiguous"]).drop(found)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score is 0.5 or more."""
-    score = toxicity.scorer(docs, table(spark, sf_dir, "labels"))("text")
-    return docs.withColumn("toxicity", score).where("toxicity < 0.5").select(*docs.columns)
+    score = fresh(docs, "score")
+    return docs.withColumn(score, toxicity.scorer(docs, table(spark, sf_dir, "labels"))("text")).where(F.col(score) < 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component (one row of it); rows without doc_id stay."""
-    groups = simhash_dedup.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    numbered = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
-    numbered = numbered.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("copy = 1")
-    return numbered.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each component of near-duplicates, that with the smallest doc_id."""
+    return simhash_dedup.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a passage copied from a benchmark item."""
-    return decontam.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns).where("size(leaks) = 0").select(*docs.columns)
+    leaks = fresh(docs, "leaks")
+    return decontam.scan(docs, table(spark, sf_dir, "benchmark"), docs.columns, out_col=leaks).where(F.size(leaks) == 0).drop(leaks)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
