@@ -38,20 +38,3 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             pair = pair.join(hop.select(F.col("node").alias(end), F.col("root").alias("r")), end).drop(end).withColumnRenamed("r", end)
         pair = kept(pair.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return pair.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
-
-
-def walks(start: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """Simple paths of 1 to most hops: start has (node); edges (src, dst). Returns (path array, hops)."""
-    level = start.select(F.array("node").alias("path")).distinct()
-    found = []
-    for hops in range(1, most + 1):
-        step = edges.select("src", "dst").distinct()
-        level = level.join(step, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-        level = kept(level)
-        found.append(level.withColumn("hops", F.lit(hops).cast("bigint")))
-        if level.isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out

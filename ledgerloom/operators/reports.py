@@ -8,13 +8,16 @@ from . import validators as D
 from .serving import account_scores
 
 
-def absent_members(votes: DataFrame, members: DataFrame, need: int) -> DataFrame:
+def absent_members(votes: DataFrame, members: DataFrame, need: int, most: int = 10_000) -> DataFrame:
     """(ledger, master, type) of every member without a vote: missed where the ledger has `need` member votes, else vote-not-observed.
 
-    Members are a set of bounded size (the validator list), which travels as one row.
+    Members are the validator list, which travels as one row; more than `most` of them are refused.
     """
+    members = members.select("master").distinct()
+    if members.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} members")
     listed = members.agg(F.collect_set("master").alias("members"))
-    by = votes.join(members.select("master").distinct(), "master", "left_semi").groupBy("ledger").agg(F.collect_set("master").alias("there"))
+    by = votes.join(members, "master", "left_semi").groupBy("ledger").agg(F.collect_set("master").alias("there"))
     all_ledgers = votes.select("ledger").distinct().join(by, "ledger", "left").withColumn("there", F.coalesce("there", F.array().cast("array<string>")))
     kind = F.when(F.size("there") >= need, "missed").otherwise("vote-not-observed")
     return all_ledgers.crossJoin(F.broadcast(listed)).select("ledger", F.explode(F.array_except("members", "there")).alias("master"), kind.alias("type"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -48,41 +47,70 @@ def fresh_evidence(snapshots: DataFrame, recent: int = 21_600, strict: int = 3)
     return snapshots.where(age.between(0, recent)).withColumn("strict", F.col("sequence") <= strict).select("address", age.alias("age"), "strict")
 
 
-def replay(start: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """Backward walks: from each start (address) to the sender of its earliest in-edge that was not visited yet, most hops at most.
+def replay(start: DataFrame, edges: DataFrame, by: str, most: int = 200, at_once: int = 6) -> DataFrame:
+    """Backward walks: from each start (by, address) to the sender of its earliest in-edge that was not visited yet, `most` hops at most.
 
-    edges: (account, destination, ledger_seq, hash). Returns (address, path, hops, truncated).
+    edges: (by, account, destination, ledger_seq, hash). Returns (by, address, path, hops, truncated);
+    truncated walks could go on. A path of h hops shuts out h senders, so of a node's senders, each with its
+    earliest edge, only the first h + 1 are looked at. State is kept every `at_once` hops.
     """
-    level = kept(start.select("address", F.array("address").alias("path")))
-    step = edges.where("account <> destination").select(F.col("destination").alias("tip"), F.struct("ledger_seq", "hash", "account").alias("e"))
-    done = None
-    for _ in range(most):
-        on = level.withColumn("tip", F.element_at("path", -1)).join(step, "tip", "left")
+    earliest = edges.where("account <> destination").groupBy(by, F.col("destination").alias("tip"), "account").agg(F.min(F.struct("ledger_seq", "hash", "account")).alias("e"))
+    ranked = earliest.withColumn("place", F.row_number().over(Window.partitionBy(by, "tip").orderBy("e"))).where(F.col("place") <= most + 1)
+    step = kept(ranked.select(by, "tip", "place", "e"))
+    level, done = kept(start.select(by, "address", F.array("address").alias("path")).distinct()), None
+    for hop in range(most + 1):
+        on = level.withColumn("tip", F.element_at("path", -1)).join(step.where(F.col("place") <= hop + 1).drop("place"), [by, "tip"], "left")
         usable = F.when(~F.array_contains("path", F.col("e.account")), F.col("e"))
-        on = kept(on.groupBy("address", "path").agg(F.min(usable).alias("e")))
-        ended = on.where("e IS NULL").select("address", "path", F.lit(False).alias("truncated"))
+        on = on.groupBy(by, "address", "path").agg(F.min(usable).alias("e"))
+        if hop % at_once == 0 or hop == most:
+            on = kept(on)
+        ended = on.where("e IS NULL" if hop < most else "true").select(by, "address", "path", F.col("e").isNotNull().alias("truncated"))
         done = ended if done is None else done.unionByName(ended)
-        level = on.where("e IS NOT NULL").select("address", F.concat("path", F.array("e.account")).alias("path"))
-    done = level.select("address", "path", F.lit(True).alias("truncated")) if done is None else done.unionByName(level.select("address", "path", F.lit(True).alias("truncated")))
+        level = on.where("e IS NOT NULL").select(by, "address", F.concat("path", F.array("e.account")).alias("path"))
+        if hop % at_once == 0:
+            done = kept(done)
+            if level.isEmpty():
+                break
     return done.withColumn("hops", (F.size("path") - 1).cast("bigint"))
 
 
-def capped_nodes(edges: DataFrame, by: str, budget: int, candidates: int = 2000) -> DataFrame:
-    """Of each drawing the nodes of its heaviest edges, both ends together, until `budget` nodes are taken.
+def capped_nodes(nodes: DataFrame, edges: DataFrame, by: str, budget: int = 600, floor: int = 120) -> DataFrame:
+    """Of each drawing at most `budget` nodes: (by, address, phase), where all fit with phase all.
 
-    The order decides what still fits, so it is a fold over each drawing's `candidates` heaviest edges,
-    which a ranked window picks before they reach the fold.
+    nodes: (by, address, severity, role, drops); edges: (by, account, destination, amount_drops, ledger_seq,
+    hash). First up to `floor` nodes of evidence (malicious, source, collector, drainer), then both ends of
+    the heaviest edges while they fit, then the gravest nodes. An edge adds nodes only if it is the heaviest
+    of one of its ends, so the `budget` first of these and their running count give what the walk over all
+    edges takes; where one place is left over, the heaviest edge with one end inside fills it.
     """
-    w = Window.partitionBy(by).orderBy(F.desc("amount_drops"), "hash")
-    heavy = edges.withColumn("place", F.row_number().over(w)).where(F.col("place") <= candidates).select(by, "account", "destination", "place")
-    kind = edges.schema[by].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, int] = {}
-        for a, b, place in pdf.sort_values("place")[["account", "destination", "place"]].itertuples(index=False):
-            new = [x for x in dict.fromkeys((a, b)) if x not in taken]
-            if len(taken) + len(new) <= budget:
-                taken.update({x: place for x in new})
-        return pd.DataFrame({by: pdf[by].iloc[0], "address": list(taken), "place": list(taken.values())})
-
-    return heavy.groupBy(by).applyInPandas(fold, f"{by} {kind}, address string, place long")
+    nodes = nodes.withColumn("s", F.when(F.col("severity") == "malicious", 2).when(F.col("severity") == "suspect", 1).otherwise(0)).withColumn("r", F.coalesce(F.array_position(F.array(*map(F.lit, ("relay", "source", "collector", "drainer"))), F.col("role")).cast("int"), F.lit(0)))
+    count = nodes.groupBy(by).agg(F.count("*").alias("nodes"))
+    nodes = kept(nodes.join(count, by))
+    all_fit = nodes.where(F.col("nodes") <= budget).select(by, "address", F.lit("all").alias("phase"))
+    large = nodes.where(F.col("nodes") > budget)
+    rank = lambda *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    proven = large.where("s = 2 OR r >= 2").withColumn("n", rank(F.desc("s"), F.desc("r"), "address")).where(F.col("n") <= min(floor, budget)).select(by, "address")
+    proven = kept(proven)
+    weight = F.greatest(F.coalesce("amount_drops", F.lit(0)), F.lit(0))
+    order = F.struct((-weight).alias("w"), F.coalesce("ledger_seq", F.lit(-1)).alias("l"), "hash", "account", "destination")
+    inside = large.select(by, "address")
+    e = edges.where("account <> destination").select(by, "account", "destination", order.alias("at"))
+    for end in ("account", "destination"):
+        e = e.join(inside.withColumnRenamed("address", end), [by, end], "left_semi")
+    e = kept(e.select(by, "account", "destination", "at"))
+    ends = e.select(by, F.explode(F.array("account", "destination")).alias("address"), "at").groupBy(by, "address").agg(F.min("at").alias("at")).join(proven, [by, "address"], "left_anti")
+    steps = ends.groupBy(by, "at").agg(F.count("*").alias("adds")).withColumn("n", rank("at")).where(F.col("n") <= budget)
+    size = proven.groupBy(by).agg(F.count("*").alias("held"))
+    running = F.sum("adds").over(Window.partitionBy(by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    taken = steps.join(size, by, "left").withColumn("total", F.coalesce("held", F.lit(0)) + running).where(F.col("total") <= budget).select(by, "at")
+    chosen = proven.withColumn("phase", F.lit("evidence")).unionByName(ends.join(taken, [by, "at"], "left_semi").select(by, "address", F.lit("edge").alias("phase")))
+    chosen = kept(chosen)
+    short = chosen.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") == budget - 1).select(by)
+    known = chosen.select(by, "address", F.lit(True).alias("in"))
+    open_ = e.join(short, by, "left_semi").join(known.select(by, F.col("address").alias("account"), F.col("in").alias("a")), [by, "account"], "left").join(known.select(by, F.col("address").alias("destination"), F.col("in").alias("b")), [by, "destination"], "left")
+    last = open_.where("(a IS NULL) <> (b IS NULL)").groupBy(by).agg(F.min(F.struct("at", F.when(F.col("a").isNull(), F.col("account")).otherwise(F.col("destination")).alias("address"))).alias("x"))
+    chosen = kept(chosen.unionByName(last.select(by, F.col("x.address").alias("address"), F.lit("edge").alias("phase"))))
+    left = chosen.groupBy(by).agg(F.count("*").alias("held"))
+    rest = large.join(chosen, [by, "address"], "left_anti").withColumn("n", rank(F.desc("s"), F.desc(F.coalesce("drops", F.lit(0))), "address")).where(F.col("n") <= budget)
+    fill = rest.join(left, by, "left").where(F.col("n") <= budget - F.coalesce("held", F.lit(0))).select(by, "address", F.lit("fill").alias("phase"))
+    return all_fit.unionByName(chosen).unionByName(fill)

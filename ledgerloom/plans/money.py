@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.ranks import ROLES, SEVERITIES, rank_of
 from ..operators import graph as G, motifs as M, rules as R, state as S
-from ..operators.iterate import components, walks
+from ..operators.chains import flow_paths as flows
+from ..operators.iterate import components
 from ..sources import views as V
 from .registry import query
 
@@ -122,14 +123,21 @@ def hub_cut(spark, sf_dir):
     return G.hub_cut(_edges(spark, sf_dir)).select("hash", "account", "destination")
 
 
-@query("handoff", """WITH st AS (SELECT DISTINCT account AS src, destination AS dst FROM handoff WHERE ledger_seq < 400 AND account <> destination),
-    w AS (SELECT [src] AS path, src AS tip, 0 AS hops FROM (SELECT DISTINCT src FROM st WHERE src NOT IN (SELECT dst FROM st))
-      UNION ALL SELECT list_append(path, dst), dst, hops + 1 FROM w JOIN st ON tip = src WHERE hops < 5 AND NOT list_contains(path, dst))
-    SELECT array_to_string(path, '>') AS path, cast(hops AS bigint) AS hops FROM w WHERE hops > 0""")
+@query("handoff", """WITH st AS (SELECT DISTINCT t_ms // 86400000 AS day, account AS src, destination AS dst FROM handoff WHERE account <> destination),
+    en AS (SELECT day, node, sum(i) AS i, sum(o) AS o FROM (SELECT day, src AS node, 0 AS i, 1 AS o FROM st UNION ALL SELECT day, dst, 1, 0 FROM st) GROUP BY 1, 2),
+    nd AS (SELECT day, node, i, o, CASE WHEN i >= 2 * o THEN 'collector' WHEN o >= 3 * i THEN 'source' END AS role FROM en),
+    sx AS (SELECT st.*, coalesce(nd.role = 'collector', false) OR nd.o = 0 AS ends FROM st JOIN nd ON nd.day = st.day AND nd.node = dst),
+    w AS (SELECT day, [node] AS key, [node] AS path, false AS done FROM nd WHERE o > 0 AND coalesce(role, '') <> 'collector' AND (i = 0 OR role = 'source')
+      UNION ALL SELECT w.day, list_append(path, dst), CASE WHEN list_contains(path, dst) THEN path ELSE list_append(path, dst) END, list_contains(path, dst) OR ends OR len(path) >= 5 FROM w JOIN sx ON sx.day = w.day AND src = path[len(path)] WHERE NOT done),
+    k AS (SELECT day, path, min(key) AS key FROM w WHERE done AND len(path) >= 2 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY key) AS n FROM k)
+    SELECT day, array_to_string(path, '>') AS path, cast(len(path) - 1 AS bigint) AS hops FROM r WHERE n <= 4""")
 def flow_paths(spark, sf_dir):
-    step = V.handoff(spark, sf_dir).where("ledger_seq < 400 AND account <> destination").select(F.col("account").alias("src"), F.col("destination").alias("dst")).distinct()
-    start = step.select(F.col("src").alias("node")).distinct().join(step.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    return walks(start, step, 5).select(F.array_join("path", ">").alias("path"), "hops")
+    step = V.handoff(spark, sf_dir).where("account <> destination").select(F.expr("t_ms DIV 86400000").alias("day"), F.col("account").alias("src"), F.col("destination").alias("dst")).distinct()
+    ends = step.select("day", F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(step.select("day", F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    nodes = ends.groupBy("day", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    role = F.when(F.col("i") >= 2 * F.col("o"), "collector").when(F.col("o") >= 3 * F.col("i"), "source")
+    return flows(nodes.select("day", "node", role.alias("role")), step, "day").select("day", F.array_join("path", ">").alias("path"), "hops")
 
 
 @query("handoff", """WITH h AS (SELECT * FROM handoff WHERE account <> destination),
@@ -143,22 +151,34 @@ def funding(spark, sf_dir):
 
 
 RULES = {
-    "dusting": ("txn", "SELECT 'dusting' AS rule_id, 'suspect' AS severity, account AS address, cast(count(DISTINCT destination) AS varchar) AS note FROM txn WHERE amount_drops < 150000 GROUP BY account HAVING count(DISTINCT destination) >= 3"),
-    "payment_burst": ("txn", """WITH p AS (SELECT account, destination, bool_or(amount_drops < 1500000) AS small FROM txn GROUP BY 1, 2)
-        SELECT 'payment-burst' AS rule_id, 'suspect' AS severity, account AS address, concat(count(*) FILTER (small), '/', count(*)) AS note FROM p GROUP BY account HAVING count(*) >= 5 AND count(*) FILTER (small) >= 3 AND count(*) FILTER (small) >= 0.5 * count(*)"""),
+    "dusting": ("txn", """WITH tn AS (SELECT DISTINCT account, destination FROM txn WHERE amount_drops < 150000 AND ledger_seq >= 1200), hs AS (SELECT DISTINCT account, destination FROM txn WHERE amount_drops < 150000 AND ledger_seq < 1200),
+        fr AS (SELECT address FROM (SELECT account AS address, ledger_seq FROM txn UNION ALL SELECT destination, ledger_seq FROM txn) GROUP BY 1 HAVING min(ledger_seq) >= 100),
+        un AS (SELECT account, count(*) AS n FROM (SELECT * FROM tn UNION SELECT * FROM hs) GROUP BY 1), fs AS (SELECT account, count(fr.address) AS k FROM tn LEFT JOIN fr ON fr.address = destination GROUP BY 1)
+        SELECT 'dusting' AS rule_id, 'suspect' AS severity, account AS address, cast(CASE WHEN n >= 3 THEN n ELSE k END AS varchar) AS note FROM fs JOIN un USING (account) WHERE n >= 3 OR k >= 2"""),
 }
 
 
+def _first_seen(tx):
+    both = tx.select(F.col("account").alias("address"), "ledger_seq").unionByName(tx.select(F.col("destination").alias("address"), "ledger_seq"))
+    return both.groupBy("address").agg(F.min("ledger_seq").alias("first_ledger"))
+
+
+def _dusting(tx):
+    old = tx.where("amount_drops < 150000 AND ledger_seq < 1200").select("account", "destination").distinct()
+    return R.dusting(tx.where("ledger_seq >= 1200"), tiny=150_000, history=old, fresh=_first_seen(tx).where("first_ledger >= 100"))
+
+
 @query(*RULES["dusting"])
 def dusting(spark, sf_dir):
-    return R.dusting(V.txn(spark, sf_dir), tiny=150_000)
+    return _dusting(V.txn(spark, sf_dir))
 
 
-@query("txn", """WITH p AS (SELECT account, destination, bool_or(amount_drops < 4000000) AS small FROM txn GROUP BY 1, 2)
-    SELECT 'payment-burst' AS rule_id, 'suspect' AS severity, account AS address, concat(count(*) FILTER (small), '/', count(*)) AS note
-    FROM p GROUP BY account HAVING count(*) >= 5 AND count(*) FILTER (small) >= 3 AND count(*) FILTER (small) >= count(*) - 8""")
+@query("txn flag", """WITH p AS (SELECT account, destination, bool_or(amount_drops < 4000000) AS small FROM txn GROUP BY 1, 2),
+    q AS (SELECT account, count(*) AS n, count(*) FILTER (small) AS k, count(f.address) AS b FROM p LEFT JOIN flag f ON f.address = destination AND f.r = 3 GROUP BY 1)
+    SELECT 'payment-burst' AS rule_id, 'suspect' AS severity, account AS address, concat(k, '/', n) AS note FROM q WHERE n >= 5 AND (k >= 3 OR b > 0) AND k >= n - 8""")
 def payment_burst(spark, sf_dir):
-    return R.payment_burst(V.txn(spark, sf_dir), tiny=4_000_000, slack=8)
+    bad = G.severity_by_address(V.finding(spark, sf_dir)).where("rank = 3")
+    return R.payment_burst(V.txn(spark, sf_dir), tiny=4_000_000, slack=8, bad=bad)
 
 
 @query("txn flag", """WITH h AS (SELECT CASE WHEN a.address IS NOT NULL THEN account ELSE destination END AS actor FROM txn LEFT JOIN flag a ON a.address = account AND a.r = 3
@@ -169,18 +189,23 @@ def known_bad(spark, sf_dir):
     return R.known_bad(V.txn(spark, sf_dir), bad)
 
 
-@query("txn", """WITH p AS (SELECT account, destination, tag, count(*) AS k FROM txn GROUP BY 1, 2, 3 HAVING count(*) >= 2)
-    SELECT 'wash-self-transfer' AS rule_id, 'suspect' AS severity, account AS address, cast(cast(sum(k) AS bigint) AS varchar) AS note FROM p GROUP BY account""")
+@query("txn reg", """WITH n AS (SELECT a.country AS account, pair % 50 AS asset, count(*) AS k FROM txn t JOIN reg a ON a.address = account JOIN reg b ON b.address = destination WHERE a.country = b.country GROUP BY 1, 2)
+    SELECT 'wash-self-transfer' AS rule_id, 'suspect' AS severity, account AS address, cast(max(k) AS varchar) AS note FROM n WHERE k >= 3 GROUP BY account""")
 def self_transfer(spark, sf_dir):
-    return R.self_transfers(V.txn(spark, sf_dir), actor="tag", least=2)
+    """Payments between countries, so that some pay themselves."""
+    g = V.geo(spark, sf_dir)
+    a, b = (g.select(F.col("address").alias(c), F.col("country").alias(f"{c}_country")) for c in ("account", "destination"))
+    t = V.txn(spark, sf_dir).join(a, "account").join(b, "destination")
+    return R.self_transfers(t.select(F.col("account_country").alias("account"), F.col("destination_country").alias("destination"), (F.col("pair") % 50).alias("pair")))
 
 
-@query("txn", """WITH rec AS (SELECT destination AS account, sum(amount_drops) AS received FROM txn WHERE account <> destination GROUP BY 1),
-    o AS (SELECT t.* FROM txn t WHERE account <> destination AND NOT EXISTS (SELECT 1 FROM txn p WHERE p.destination = t.account AND p.account = t.destination)),
-    f AS (SELECT account, amount_drops, row_number() OVER (PARTITION BY account ORDER BY ledger_seq, hash, amount_drops) AS n FROM o)
-    SELECT 'drainer-sweep' AS rule_id, 'suspect' AS severity, account AS address, cast(amount_drops AS varchar) AS note FROM f JOIN rec USING (account) WHERE n = 1 AND amount_drops >= 0.1 * received""")
+@query("txn", """WITH rec AS (SELECT destination AS account, sum(amount_drops) AS received FROM txn GROUP BY 1), fs AS (SELECT address AS account, min(ledger_seq) AS f FROM (SELECT account AS address, ledger_seq FROM txn UNION ALL SELECT destination, ledger_seq FROM txn) GROUP BY 1),
+    o AS (SELECT t.*, f >= 300 AS created FROM txn t JOIN fs USING (account) WHERE f >= 60 AND NOT EXISTS (SELECT 1 FROM txn p WHERE p.destination = t.account AND p.account = t.destination)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ledger_seq, hash, amount_drops) AS n FROM o JOIN rec USING (account) WHERE amount_drops >= 0.9 * received)
+    SELECT 'drainer-sweep' AS rule_id, CASE WHEN created THEN 'malicious' ELSE 'suspect' END AS severity, account AS address, cast(amount_drops AS varchar) AS note FROM h WHERE n = 1""")
 def drainer_sweep(spark, sf_dir):
-    return R.drainer_sweep(V.txn(spark, sf_dir), share=0.1)
+    t = V.txn(spark, sf_dir)
+    return R.drainer_sweep(t, fresh=_first_seen(t).where("first_ledger >= 60").select(F.col("address").alias("account"), (F.col("first_ledger") >= 300).alias("created")))
 
 
 @query("txn", """SELECT 'airdrop-trustset-spam' AS rule_id, 'suspect' AS severity, destination AS address, cast(count(DISTINCT account) AS varchar) AS note FROM txn
@@ -198,27 +223,27 @@ def _fills(spark, sf_dir):
     return V.txn(spark, sf_dir).select(F.when(c, F.col("account")).otherwise(F.col("destination")).alias("account"), (F.col("pair") % 50).alias("pair"), F.when(c, "buy").otherwise("sell").alias("direction"), F.col("amount_drops").alias("notional"), (F.col("price") / F.col("quantity")).alias("rate"), "ledger_seq")
 
 
-@query("txn", FILLS + """, w AS (SELECT account, pair, direction, count(*) AS n, sum(notional) AS v, min(rate) AS lo, max(rate) AS hi, min(ledger_seq) AS f, max(ledger_seq) AS l FROM fills GROUP BY 1, 2, 3 HAVING count(*) >= 1),
-    b AS (SELECT account, pair FROM w GROUP BY 1, 2 HAVING count(*) >= 2 AND min(v) >= 0.5 * max(v) AND max(hi) - min(lo) <= 0.3 * max(hi) AND max(l) - min(f) <= 1500)
+@query("txn", FILLS + """, w AS (SELECT account, pair, direction, count(*) AS n, sum(notional) AS v, min(ledger_seq) AS f, max(ledger_seq) AS l FROM fills GROUP BY 1, 2, 3),
+    b AS (SELECT account, pair FROM w GROUP BY 1, 2 HAVING count(*) >= 2 AND min(n) >= 1 AND min(v) >= 1000000 AND min(v) >= 0.9 * max(v) AND max(v) - min(v) <= 0.1 * max(v) AND max(l) - min(f) <= 1500)
     SELECT 'amm-wash-swap' AS rule_id, 'suspect' AS severity, account AS address, cast(min(pair) AS varchar) AS note FROM b GROUP BY account""")
 def wash_swap(spark, sf_dir):
-    return R.wash_swap(_fills(spark, sf_dir), least=1, alike=0.5, drift=0.3, span=1500)
+    return R.wash_swap(_fills(spark, sf_dir), least=1, span=1500)
 
 
-@query("txn", FILLS + """, m AS (SELECT pair, median(rate) AS mid FROM fills GROUP BY 1 HAVING count(*) >= 5)
-    SELECT 'thin-pool-exploit' AS rule_id, 'suspect' AS severity, account AS address, cast(pair AS varchar) AS note FROM fills JOIN m USING (pair) WHERE rate <= 0.75 * mid GROUP BY account, pair HAVING count(*) >= 2""")
+@query("txn", FILLS + """, m AS (SELECT pair, median(rate) AS mid FROM fills GROUP BY 1 HAVING count(rate) >= 5),
+    h AS (SELECT account, pair FROM fills JOIN m USING (pair) WHERE notional >= 1000000 AND CASE WHEN direction = 'sell' THEN rate - mid ELSE mid - rate END >= 0.25 * mid GROUP BY account, pair HAVING count(*) >= 2 AND max(ledger_seq) - min(ledger_seq) <= 150)
+    SELECT 'thin-pool-exploit' AS rule_id, 'suspect' AS severity, account AS address, cast(min(pair) AS varchar) AS note FROM h GROUP BY account""")
 def thin_pool(spark, sf_dir):
-    return R.thin_pool(_fills(spark, sf_dir))
-
+    return R.thin_pool(_fills(spark, sf_dir).withColumn("up", F.col("direction") == "sell"), floor=1_000_000)
 
-ORDERS = """WITH ord AS (SELECT account, pair % 20 AS book, ledger_seq, hash, CASE WHEN tag % 2 = 1 THEN 'create' ELSE 'cancel' END AS kind FROM txn)"""
 
-
-@query("txn", ORDERS + """, l AS (SELECT *, last_value(CASE WHEN kind = 'create' THEN ledger_seq END IGNORE NULLS) OVER (PARTITION BY account, book ORDER BY ledger_seq, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS made FROM ord)
-    SELECT 'spoof-offer-cycle' AS rule_id, 'suspect' AS severity, account AS address, cast(book AS varchar) AS note FROM l WHERE kind = 'cancel' AND ledger_seq - made <= 75 GROUP BY account, book HAVING count(*) >= 3""")
+@query("txn", """WITH ord AS (SELECT account, pair // 4 % 5 AS sequence, pair % 4 AS book, tag AS level, amount_drops AS notional, ledger_seq, hash, CASE WHEN tag % 2 = 1 THEN 'create' ELSE 'cancel' END AS kind FROM txn),
+    l AS (SELECT *, lag(kind) OVER w AS k, lag(ledger_seq) OVER w AS made FROM ord WINDOW w AS (PARTITION BY account, sequence, book ORDER BY ledger_seq, hash)),
+    b AS (SELECT account, book FROM l WHERE kind = 'cancel' AND k = 'create' AND ledger_seq - made <= 75 AND notional >= 1000000 GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT level) >= 2 AND max(ledger_seq) - min(made) <= 2000)
+    SELECT 'spoof-offer-cycle' AS rule_id, 'suspect' AS severity, account AS address, cast(min(book) AS varchar) AS note FROM b GROUP BY account""")
 def spoof_cycle(spark, sf_dir):
-    orders = V.txn(spark, sf_dir).select("account", (F.col("pair") % 20).alias("book"), "ledger_seq", "hash", F.when(F.col("tag") % 2 == 1, "create").otherwise("cancel").alias("kind"))
-    return R.spoof_cycles(orders)
+    orders = V.txn(spark, sf_dir).select("account", F.expr("pair DIV 4 % 5").alias("sequence"), (F.col("pair") % 4).alias("book"), F.col("tag").alias("level"), F.col("amount_drops").alias("notional"), "ledger_seq", "hash", F.when(F.col("tag") % 2 == 1, "create").otherwise("cancel").alias("kind"))
+    return R.spoof_cycles(orders, floor=1_000_000, span=2000)
 
 
 @query("txn", """WITH bal AS (SELECT concat('C', c_custkey) AS account, cast(round(c_acctbal * 1000) AS bigint) AS balance FROM customer)
@@ -241,9 +266,11 @@ def offer_spam(spark, sf_dir):
     return R.offer_spam(V.txn(spark, sf_dir).select("account", F.when(F.col("type") == "Payment", "offer").alias("kind"), (F.col("quantity") >= 49).alias("filled")))
 
 
-@query("txn", "SELECT 'fake-nft-fraud' AS rule_id, 'suspect' AS severity, account AS address, concat(destination, ':', count(*)) AS note FROM txn GROUP BY account, destination HAVING count(*) >= 5")
+@query("txn", """SELECT 'fake-nft-fraud' AS rule_id, 'suspect' AS severity, account AS address, concat(destination, ':', count(*)) AS note FROM txn GROUP BY account, destination HAVING count(*) >= 5
+    UNION ALL SELECT 'fake-nft-fraud', 'suspect', account, cast(count(*) AS varchar) FROM txn WHERE amount_drops // 1000000 = 0 GROUP BY account HAVING count(*) >= 10""")
 def nft_burst(spark, sf_dir):
-    return R.nft_bursts(V.txn(spark, sf_dir))
+    t = V.txn(spark, sf_dir)
+    return R.nft_bursts(t, accepts=t.select("account", F.expr("amount_drops DIV 1000000").alias("amount_drops")))
 
 
 @query("txn", """WITH fs AS (SELECT destination, min(ledger_seq) AS first_ledger FROM txn GROUP BY 1)
@@ -268,7 +295,7 @@ def pool_drain(spark, sf_dir):
     SELECT rule_id, count(*) AS findings, count(DISTINCT address) AS addresses, round(count(*) * 1000 / (SELECT count(*) FROM txn), 6) AS per_thousand FROM u GROUP BY 1""")
 def rule_rates(spark, sf_dir):
     tx = V.txn(spark, sf_dir)
-    return R.rule_rates(R.together(R.dusting(tx, tiny=150_000), R.delete_sweep(tx)), tx.count())
+    return R.rule_rates(R.together(_dusting(tx), R.delete_sweep(tx)), tx.count())
 
 
 @query("edge", """WITH ends AS (SELECT account AS cluster, hash, ledger_seq, account AS node FROM edge UNION ALL SELECT account, hash, ledger_seq, destination FROM edge),
@@ -318,11 +345,11 @@ def archive_select(spark, sf_dir):
     return S.archived(state, kept, "cluster", evidence).select("cluster", "total_drops", "last_seen")
 
 
-@query("edge", """WITH mem AS (SELECT DISTINCT account AS cluster, destination AS address FROM edge WHERE ledger_seq >= 2000), st AS (SELECT DISTINCT account AS cluster, destination AS address FROM edge WHERE ledger_seq < 100)
+@query("edge", """WITH mem AS (SELECT DISTINCT account AS cluster, destination AS address FROM edge WHERE ledger_seq >= 1200), st AS (SELECT DISTINCT account AS cluster, destination AS address FROM edge WHERE ledger_seq < 1200)
     SELECT m.cluster, coalesce(min(s.cluster), m.cluster) AS target FROM mem m LEFT JOIN st s USING (address) GROUP BY m.cluster""")
 def state_absorb(spark, sf_dir):
     e = _edges(spark, sf_dir).select(F.col("account").alias("cluster"), F.col("destination").alias("address"), "ledger_seq")
-    return S.absorb(e.where("ledger_seq >= 2000").select("cluster", "address").distinct(), e.where("ledger_seq < 100").select("cluster", "address").distinct())
+    return S.absorb(e.where("ledger_seq >= 1200").select("cluster", "address").distinct(), e.where("ledger_seq < 1200").select("cluster", "address").distinct())
 
 
 @query("edge", """WITH m AS (SELECT account AS cluster, destination AS address, max(coalesce(rb, 0)) AS s, count(*) AS n FROM edge GROUP BY 1, 2),
@@ -350,14 +377,14 @@ def history_key(spark, sf_dir):
     return m.select("account", S.history_key(F.col("m")).alias("key"), F.size("m").cast("bigint").alias("members"))
 
 
-@query("txn", """WITH o AS (SELECT account AS key, cast(sum(amount_drops) AS bigint) AS total_drops, min(ledger_seq) AS first_seen, max(ledger_seq) AS last_seen FROM txn WHERE ledger_seq < 1500 AND starts_with(account, 'C') GROUP BY 1),
+@query("txn", """WITH o AS (SELECT account AS key, cast(sum(amount_drops) AS bigint) AS total_drops, min(ledger_seq) AS first_seen, max(ledger_seq) AS last_seen FROM txn WHERE ledger_seq < 1500 GROUP BY 1),
     n AS (SELECT account AS key, cast(sum(amount_drops) AS bigint) AS total_drops, min(ledger_seq) AS first_seen, max(ledger_seq) AS last_seen FROM txn WHERE ledger_seq >= 1500 GROUP BY 1)
     SELECT coalesce(o.key, n.key) AS key, coalesce(n.total_drops, o.total_drops) AS total_drops, least(o.first_seen, n.first_seen) AS first_seen, greatest(o.last_seen, n.last_seen) AS last_seen,
       CASE WHEN o.key IS NULL THEN 1 WHEN n.key IS NULL THEN 1 WHEN n.last_seen - o.last_seen > 600 THEN 2 ELSE 1 END::bigint AS sightings FROM o FULL JOIN n ON o.key = n.key""")
 def history_merge(spark, sf_dir):
     t = V.txn(spark, sf_dir)
     f = lambda d: d.groupBy(F.col("account").alias("key")).agg(F.sum("amount_drops").alias("total_drops"), F.min("ledger_seq").alias("first_seen"), F.max("ledger_seq").alias("last_seen"))
-    return S.merge_history(f(t.where("ledger_seq < 1500 AND account LIKE 'C%'")).withColumn("sightings", F.lit(1)), f(t.where("ledger_seq >= 1500")), 600)
+    return S.merge_history(f(t.where("ledger_seq < 1500")).withColumn("sightings", F.lit(1)), f(t.where("ledger_seq >= 1500")), 600)
 
 
 MEMO = "CASE page_id % 5 WHEN 0 THEN 'verify your wallet at ' WHEN 1 THEN 'free token ' WHEN 2 THEN 'is this legit here: airdrop ' WHEN 3 THEN 'warranty claim ' ELSE 'order ' END"

@@ -169,12 +169,12 @@ def threats(spark, sf_dir):
     return W.threats(G.flag_edges(V.txn(spark, sf_dir), V.finding(spark, sf_dir)))
 
 
-@query("txn", """WITH o AS (SELECT account AS cluster, list_distinct(list(destination)) AS m, cast(sum(amount_drops) AS bigint) AS t FROM txn WHERE ledger_seq < 800 GROUP BY 1), n AS (SELECT account AS cluster, list_distinct(list(destination)) AS m, cast(sum(amount_drops) AS bigint) AS t FROM txn WHERE ledger_seq >= 1800 GROUP BY 1)
+@query("txn", """WITH o AS (SELECT account AS cluster, list_distinct(list(destination)) AS m, cast(sum(amount_drops) AS bigint) AS t FROM txn WHERE ledger_seq < 1200 GROUP BY 1), n AS (SELECT account AS cluster, list_distinct(list(destination)) AS m, cast(sum(amount_drops) AS bigint) AS t FROM txn WHERE ledger_seq >= 1200 GROUP BY 1)
     SELECT coalesce(o.cluster, n.cluster) AS cluster, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.m, []), coalesce(n.m, [])))), ',') AS members, greatest(o.t, n.t) AS total_drops FROM o FULL JOIN n ON o.cluster = n.cluster""")
 def view_merge(spark, sf_dir):
     t = V.txn(spark, sf_dir)
     f = lambda d: d.groupBy(F.col("account").alias("cluster")).agg(F.collect_set("destination").alias("members"), F.sum("amount_drops").alias("total_drops"))
-    return W.merge_views(f(t.where("ledger_seq < 800")), f(t.where("ledger_seq >= 1800"))).withColumn("members", F.array_join("members", ","))
+    return W.merge_views(f(t.where("ledger_seq < 1200")), f(t.where("ledger_seq >= 1200"))).withColumn("members", F.array_join("members", ","))
 
 
 @query("edge", """WITH d AS (SELECT account, list_sort(list_distinct(list(destination))) AS e FROM edge GROUP BY 1) SELECT account, array_to_string(list_transform(e, lambda x, i: concat('E-', i, ' ', x)), ';') AS evidence FROM d""")
@@ -218,12 +218,22 @@ def signers_fingerprint(spark, sf_dir):
     return V.txn(spark, sf_dir).groupBy("account").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("destination")), ","), 256), 1, 16).alias("fingerprint"))
 
 
-@query("txn")
+@query("handoff", """WITH hd AS (SELECT t_ms // 86400000 AS day, account, destination, min((ledger_seq, hash, account)) AS e FROM handoff WHERE account <> destination GROUP BY 1, 2, 3),
+    w AS (SELECT DISTINCT day, destination AS address, [destination] AS path, true AS more FROM hd
+      UNION ALL SELECT w.day, address, CASE WHEN n.a IS NULL THEN path ELSE list_append(path, n.a) END, n.a IS NOT NULL FROM w,
+        LATERAL (SELECT arg_min(hd.account, hd.e) AS a FROM hd WHERE hd.day = w.day AND hd.destination = path[len(path)] AND NOT list_contains(path, hd.account)) n WHERE more)
+    SELECT day, address, array_to_string(path, '>') AS path, cast(len(path) - 1 AS bigint) AS hops, false AS truncated FROM w WHERE NOT more""")
 def replay_archive(spark, sf_dir):
-    t = V.handoff(spark, sf_dir)
-    return W.replay(t.where("ledger_seq > 900").select(F.col("destination").alias("address")).distinct(), t, 6).withColumn("path", F.array_join("path", ">"))
+    """Every account's walk back through each day's archive; a day's walks end long before 200 hops."""
+    t = V.handoff(spark, sf_dir).withColumn("day", F.expr("t_ms DIV 86400000"))
+    start = t.where("account <> destination").select("day", F.col("destination").alias("address")).distinct()
+    return W.replay(start, t, "day").withColumn("path", F.array_join("path", ">"))
 
 
 @query("txn")
 def capped_nodes(spark, sf_dir):
-    return W.capped_nodes(G.flag_edges(V.txn(spark, sf_dir), V.finding(spark, sf_dir)).withColumn("drawing", F.substring("account", 1, 2)), "drawing", 120)
+    """A drawing of at most 120 nodes for each tag; tests hold the operator to a direct walk."""
+    e = G.flag_edges(V.txn(spark, sf_dir), V.finding(spark, sf_dir)).withColumn("drawing", F.col("tag"))
+    ends = e.select("drawing", F.col("account").alias("address"), F.col("from_rank").alias("rank"), "amount_drops").unionByName(e.select("drawing", F.col("destination").alias("address"), F.col("to_rank").alias("rank"), "amount_drops"))
+    nodes = ends.groupBy("drawing", "address").agg(F.max("rank").alias("rank"), F.sum("amount_drops").alias("drops")).select("drawing", "address", F.when(F.col("rank") == 3, "malicious").when(F.col("rank") == 2, "suspect").alias("severity"), F.lit("unknown").alias("role"), "drops")
+    return W.capped_nodes(nodes, e, "drawing", 120, 24)

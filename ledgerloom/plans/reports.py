@@ -12,11 +12,11 @@ from .registry import query
 from .trace import SCOPE, _cells
 
 
-@query("votes", """WITH m AS (SELECT DISTINCT master FROM votes WHERE master LIKE 'V1_'), l AS (SELECT DISTINCT ledger FROM votes), th AS (SELECT DISTINCT ledger, master FROM votes WHERE master IN (SELECT master FROM m)), n AS (SELECT ledger, count(*) AS n FROM th GROUP BY 1)
+@query("votes", """WITH m AS (SELECT DISTINCT master FROM votes), l AS (SELECT DISTINCT ledger FROM votes), th AS (SELECT DISTINCT ledger, master FROM votes WHERE master IN (SELECT master FROM m)), n AS (SELECT ledger, count(*) AS n FROM th GROUP BY 1)
     SELECT l.ledger, m.master, CASE WHEN coalesce(n, 0) >= 1 THEN 'missed' ELSE 'vote-not-observed' END AS type FROM l CROSS JOIN m LEFT JOIN n USING (ledger) WHERE NOT EXISTS (SELECT 1 FROM th WHERE th.ledger = l.ledger AND th.master = m.master)""")
 def absent_votes(spark, sf_dir):
     v = V.votes(spark, sf_dir)
-    return P.absent_members(v, v.where("master LIKE 'V1_'").select("master").distinct(), 1)
+    return P.absent_members(v, v.select("master"), 1)
 
 
 @query("votes", "WITH c AS (SELECT ledger, count(*) AS n FROM votes GROUP BY 1) SELECT CASE WHEN n - 2 <= 0 THEN 0 WHEN n - 2 <= 1 THEN 1 WHEN n - 2 <= 2 THEN 2 WHEN n - 2 <= 3 THEN 3 WHEN n - 2 <= 5 THEN 4 WHEN n - 2 <= 8 THEN 5 ELSE 6 END::bigint AS band, count(*) AS ledgers FROM c GROUP BY 1")

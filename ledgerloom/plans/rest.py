@@ -127,16 +127,16 @@ def reference_window(spark, sf_dir):
     return E.covering_window(V.votes(spark, sf_dir).groupBy("master").agg(F.expr("(max(t_ms) - min(t_ms)) DIV 3600000").alias("hours")), [1, 24, 700])
 
 
-@query("ev", """WITH t AS (SELECT event_type AS type, t_ms // 3600000 AS hour FROM ev WHERE NOT (event_type = 'error' AND event_id < 3000)), f AS (SELECT type, min(hour) AS first FROM t GROUP BY 1), g AS (SELECT type, hour FROM (SELECT DISTINCT hour FROM t), f WHERE hour >= first),
+@query("ev", """WITH t AS (SELECT event_type AS type, t_ms // 3600000 AS hour FROM ev), f AS (SELECT type, min(hour) AS first FROM t GROUP BY 1), g AS (SELECT type, hour FROM (SELECT DISTINCT hour FROM t), f WHERE hour >= first),
     n AS (SELECT type, hour, count(*) AS n FROM t GROUP BY 1, 2) SELECT g.type, g.hour, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (type, hour)""")
 def type_baseline(spark, sf_dir):
-    return E.dense_types(V.events(spark, sf_dir).where("NOT (event_type = 'error' AND event_id < 3000)").select(F.col("event_type").alias("type"), F.expr("t_ms DIV 3600000").alias("hour")), "hour")
+    return E.dense_types(V.events(spark, sf_dir).select(F.col("event_type").alias("type"), F.expr("t_ms DIV 3600000").alias("hour")), "hour")
 
 
-@query("txn", """WITH a AS (SELECT account AS cluster, min(ledger_seq) AS archived_at, max(ledger_seq) AS last_seen, count(*) > 40 AS linked FROM txn WHERE ledger_seq < 2000 GROUP BY 1)
+@query("txn", """WITH a AS (SELECT account AS cluster, min(ledger_seq) AS archived_at, max(ledger_seq) AS last_seen, count(*) > 40 AS linked FROM txn GROUP BY 1)
     SELECT * FROM a WHERE 2500 - greatest(archived_at, last_seen) <= CASE WHEN linked THEN 600 ELSE 520 END""")
 def archive_retention(spark, sf_dir):
-    a = V.txn(spark, sf_dir).where("ledger_seq < 2000").groupBy(F.col("account").alias("cluster")).agg(F.min("ledger_seq").alias("archived_at"), F.max("ledger_seq").alias("last_seen"), (F.count("*") > 40).alias("linked"))
+    a = V.txn(spark, sf_dir).groupBy(F.col("account").alias("cluster")).agg(F.min("ledger_seq").alias("archived_at"), F.max("ledger_seq").alias("last_seen"), (F.count("*") > 40).alias("linked"))
     return E.archive_retention(a, 2500, 520, 600)
 
 

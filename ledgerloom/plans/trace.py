@@ -220,11 +220,11 @@ def day_holes(spark, sf_dir):
     return D.holes(V.votes(spark, sf_dir), "master", 259_200_000)
 
 
-@query("incident", """WITH s AS (SELECT master, median(t_ms) AS m, min(t_ms) + (max(t_ms) - min(t_ms)) // 2 AS seen_ms FROM incident WHERE master LIKE '%1' GROUP BY 1)
+@query("incident", """WITH s AS (SELECT master, median(t_ms) AS m, min(t_ms) + (max(t_ms) - min(t_ms)) // 2 AS seen_ms FROM incident GROUP BY 1)
     SELECT master, count(*) AS new, min(t_ms) AS first_ms, max(t_ms) AS last_ms, count(DISTINCT type) AS types FROM incident JOIN s USING (master) WHERE t_ms > seen_ms GROUP BY 1""")
 def watch_delta(spark, sf_dir):
     i = V.incident(spark, sf_dir)
-    seen = i.where("master LIKE '%1'").groupBy("master").agg((F.min("t_ms") + F.expr("(max(t_ms) - min(t_ms)) DIV 2")).alias("seen_ms"))
+    seen = i.groupBy("master").agg((F.min("t_ms") + F.expr("(max(t_ms) - min(t_ms)) DIV 2")).alias("seen_ms"))
     return D.watch_delta(i, seen)
 
 

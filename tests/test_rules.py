@@ -1,11 +1,13 @@
 """Each rule with a case on its threshold and a guard just below."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import chains as C, entry_rules as E, graph as G, motifs as M, rules as R, timing as W, trace, validators as D
+from ledgerloom.operators import chains as C, entry_rules as E, graph as G, motifs as M, rules as R, timing as W, trace, validators as D, views as V
 from ledgerloom.sources import ledger as L
 
 TX = "account string, destination string, amount_drops long, ledger_seq long, hash string, pair long, type string, tag long"
@@ -30,25 +32,153 @@ def test_payment_burst(spark):
     assert addresses(R.payment_burst(tx(spark, rows), tiny=100)) == ["hit"]
 
 
-def test_drainer_sweep_ignores_payments_back(spark):
-    rows = [("v1", "hit", 500, 1), ("v2", "hit", 500, 2), ("hit", "out", 900, 3), ("v3", "low", 1000, 1), ("low", "out", 899, 2), ("v4", "back", 1000, 1), ("back", "v4", 1000, 2)]
+def test_dusting_counts_history_and_fresh_destinations(spark):
+    rows = [("hit", "d1", 9, 1), ("young", "f1", 9, 1), ("young", "f2", 9, 1), ("one", "f1", 9, 1), ("old", "d1", 9, 1), ("idle", "x", 500, 1)]
+    history = spark.createDataFrame([("hit", "d2"), ("hit", "d3"), ("old", "d1"), ("old", "d2"), *(("idle", f"d{k}") for k in range(5))], "account string, destination string")
+    fresh = spark.createDataFrame([("f1",), ("f2",)], "address string")
+    assert {(r.address, r.note) for r in R.dusting(tx(spark, rows), history=history, fresh=fresh).collect()} == {("hit", "3"), ("young", "2")}
+
+
+def test_payment_burst_to_a_bad_account(spark):
+    rows = [("hit", f"d{k}", 99 if k < 2 else 500, 1) for k in range(3)] + [("hit", "e1", 99, 1), ("hit", "e2", 500, 1)]
+    rows = [("hit", f"d{k}", 99, 1) for k in range(2)] + [("hit", f"e{k}", 500, 1) for k in range(2)] + [("hit", "bad", 500, 1)]
+    bad = spark.createDataFrame([("bad",)], "address string")
+    assert addresses(R.payment_burst(tx(spark, rows), tiny=100, bad=bad)) == []  # two tiny of five: not all but two
+    assert addresses(R.payment_burst(tx(spark, rows), tiny=100, slack=3, bad=bad)) == ["hit"]
+    assert addresses(R.payment_burst(tx(spark, rows), tiny=100, slack=3)) == []
+
+
+def test_self_transfers_are_payments_to_oneself_in_one_asset(spark):
+    rows = [("hit", "hit", 1, k) for k in range(3)] + [("two", "two", 1, k) for k in range(2)] + [("other", "b", 1, k) for k in range(5)]
+    assert addresses(R.self_transfers(tx(spark, rows))) == ["hit"]
+    mixed = tx(spark, rows[:3]).withColumn("pair", F.monotonically_increasing_id() % 2)
+    assert addresses(R.self_transfers(mixed.withColumn("pair", F.col("ledger_seq") % 2))) == []
+
+
+def test_drainer_sweep(spark):
+    rows = [("v1", "hit", 500, 1), ("v2", "hit", 500, 2), ("hit", "small", 10, 3), ("hit", "out", 900, 4), ("v3", "low", 1000, 1), ("low", "out", 899, 2), ("v4", "back", 1000, 1), ("back", "v4", 1000, 2), ("poor", "out", 900, 5)]
     assert addresses(R.drainer_sweep(tx(spark, rows))) == ["hit"]
+    fresh = spark.createDataFrame([("hit", True), ("poor", False), ("low", True)], "account string, created boolean")
+    history = spark.createDataFrame([("poor", 1000)], "account string, funded long")
+    assert {(r.address, r.severity, r.note) for r in R.drainer_sweep(tx(spark, rows), fresh=fresh, history=history).collect()} == {("hit", "malicious", "900"), ("poor", "suspect", "900")}
+    balances = spark.createDataFrame([("h5", 900), ("h3", 5000)], "hash string, balance long")
+    assert addresses(R.drainer_sweep(tx(spark, rows), fresh=fresh, balances=balances)) == ["low"] or addresses(R.drainer_sweep(tx(spark, rows), fresh=fresh, balances=balances)) == ["hit", "low"]
+    assert R.drainer_sweep(tx(spark, rows), fresh=fresh.where("false")).count() == 0
 
 
 def test_spoof_cycles(spark):
     events = []
-    for who, wait in (("hit", 75), ("slow", 76)):
+    for who, wait, notional, levels in (("hit", 75, 10**8, 2), ("slow", 76, 10**8, 2), ("little", 75, 10**8 - 1, 2), ("flat", 75, 10**8, 1)):
         for k in range(3):
-            events += [(who, 1, 1000 * k, f"{who}{k}a", "create"), (who, 1, 1000 * k + wait, f"{who}{k}b", "cancel")]
-    assert addresses(R.spoof_cycles(spark.createDataFrame(events, "account string, book long, ledger_seq long, hash string, kind string"))) == ["hit"]
+            events += [(who, k, 1, k % levels, notional, 70 * k, f"{who}{k}a", "create"), (who, k, 1, None, None, 70 * k + wait, f"{who}{k}b", "cancel")]
+    events += [("twice", 1, 1, k % 2, 10**8, k, f"t{k}", "create" if k == 0 else "cancel") for k in range(4)]  # one order is cancelled once
+    schema = "account string, sequence long, book long, level long, notional long, ledger_seq long, hash string, kind string"
+    assert addresses(R.spoof_cycles(spark.createDataFrame(events, schema))) == ["hit"]
+    assert addresses(R.spoof_cycles(spark.createDataFrame(events, schema), span=214)) == []
 
 
 def test_thin_pool_and_wash_swap(spark):
-    fills = [(f"m{k}", 1, "buy", 100, 10.0, k) for k in range(9)] + [("hit", 1, "buy", 100, 7.5, 1), ("hit", 1, "buy", 100, 7.4, 2), ("once", 1, "buy", 100, 7.0, 2), ("near", 1, "buy", 100, 7.6, 1), ("near", 1, "buy", 100, 7.6, 2)]
-    schema = "account string, pair long, direction string, notional long, rate double, ledger_seq long"
-    assert addresses(R.thin_pool(spark.createDataFrame(fills, schema))) == ["hit"]
-    wash = [("hit", 1, d, 100, 1.0, s) for d, s in (("buy", 1), ("buy", 2), ("sell", 3), ("sell", 151))] + [("wide", 1, d, 100, 1.0, s) for d, s in (("buy", 1), ("buy", 2), ("sell", 3), ("sell", 152))] + [("one", 1, "buy", 100, 1.0, s) for s in range(4)]
-    assert addresses(R.wash_swap(spark.createDataFrame(wash, schema))) == ["hit"]
+    n = 10**7
+    fills = [(f"m{k}", 1, False, 10.0, n, k) for k in range(9)] + [("hit", 1, False, 7.5, n, 1), ("hit", 1, False, 7.4, n, 151), ("once", 1, False, 7.0, n, 2), ("near", 1, False, 7.6, n, 1), ("near", 1, False, 7.6, n, 2)]
+    fills += [("wrong", 1, True, 7.0, n, 1), ("wrong", 1, True, 7.0, n, 2), ("long", 1, False, 7.0, n, 1), ("long", 1, False, 7.0, n, 152), ("little", 1, False, 7.0, n - 1, 1), ("little", 1, False, 7.0, n - 1, 2), ("high", 1, True, 12.5, n, 1), ("high", 1, True, 12.5, n, 2)]
+    fills += [(f"n{k}", 1, False, 10.0, n, k) for k in range(20)]
+    assert addresses(R.thin_pool(spark.createDataFrame(fills, "account string, pair long, up boolean, rate double, notional long, ledger_seq long"))) == ["high", "hit"]
+    ways = lambda last: (("buy", 1), ("buy", 2), ("sell", 3), ("sell", last))
+    wash = [("hit", 1, d, 500_000, s) for d, s in ways(151)] + [("wide", 1, d, 500_000, s) for d, s in ways(152)] + [("one", 1, "buy", 500_000, s) for s in range(4)]
+    wash += [("little", 1, d, 499_999, s) for d, s in ways(9)] + [("uneven", 1, d, 500_000 if d == "buy" else 440_000, s) for d, s in ways(9)]
+    assert addresses(R.wash_swap(spark.createDataFrame(wash, "account string, pair long, direction string, notional long, ledger_seq long"))) == ["hit"]
+
+
+def test_findings_keep_the_first(spark):
+    a, b = (spark.createDataFrame([("r", s, "x", "n")], "rule_id string, severity string, address string, note string") for s in ("suspect", "info"))
+    assert [r.severity for r in R.together(b, a).collect()] == ["info"] and [r.severity for r in R.together(a, b).collect()] == ["suspect"]
+    assert [r.severity for r in R.deduplicated(b.unionByName(a)).collect()] == ["suspect"]
+
+
+def test_bursts_of_free_accepts(spark):
+    accepts = spark.createDataFrame([("hit", 0)] * 10 + [("few", 0)] * 9 + [("paid", 1)] * 10, "account string, amount_drops long")
+    assert addresses(R.nft_bursts(tx(spark, []).limit(0), accepts=accepts)) == ["hit"]
+
+
+def slow_flows(nodes, edges, paths=4, longest=6):
+    role, onward, into = dict(nodes), {}, set()
+    for a, b in sorted({e for e in edges if e[0] != e[1]}):
+        onward.setdefault(a, []).append(b)
+        into.add(b)
+    found = []
+
+    def record(path):
+        if len(path) >= 2 and len(found) < paths and path not in found:
+            found.append(path)
+
+    def walk(path):
+        if len(found) >= paths:
+            return
+        nxt = onward.get(path[-1], [])
+        if role[path[-1]] == "collector" or not nxt or len(path) >= longest:
+            return record(path)
+        for t in nxt:
+            record(path) if t in path else walk([*path, t])
+
+    for n in sorted(role):
+        if n not in into or role[n] == "source":
+            walk([n])
+    return sorted(found)
+
+
+def test_flow_paths_match_a_walk(spark):
+    r = random.Random(5)
+    nodes, edges = [], []
+    for g in range(30):
+        size = r.randint(2, 12)
+        nodes += [(g, f"n{k:02}", r.choice(["unknown", "unknown", "relay", "collector", "source", None])) for k in range(size)]
+        edges += [(g, f"n{r.randrange(size):02}", f"n{r.randrange(size):02}") for _ in range(r.randint(1, 40))]
+    found = C.flow_paths(spark.createDataFrame(nodes, "g long, node string, role string"), spark.createDataFrame(edges, "g long, src string, dst string"), "g").collect()
+    for g in range(30):
+        want = slow_flows([(n, x) for h, n, x in nodes if h == g], [(a, b) for h, a, b in edges if h == g])
+        assert sorted(list(x.path) for x in found if x.g == g) == want
+
+
+def test_replay_matches_a_walk(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(3), f"n{r.randrange(9)}", f"n{r.randrange(9)}", r.randrange(20), f"h{k}") for k in range(90)]
+    df = spark.createDataFrame(edges, "g long, account string, destination string, ledger_seq long, hash string")
+    start = spark.createDataFrame([(g, f"n{k}") for g in range(3) for k in range(10)], "g long, address string")
+    for most in (200, 3):
+        for x in V.replay(start, df, "g", most, at_once=2).collect():
+            path, usable = [x.address], lambda path: sorted((s, h, a) for g, a, b, s, h in edges if g == x.g and b == path[-1] and a not in path)
+            while len(path) <= most and usable(path):
+                path.append(usable(path)[0][2])
+            assert list(x.path) == path and x.hops == len(path) - 1 and x.truncated == (len(path) > most and bool(usable(path)))
+    assert V.replay(start, df, "g").count() == 30
+
+
+def slow_capped(nodes, edges, budget, floor):
+    if len(nodes) <= budget:
+        return {n[0] for n in nodes}
+    sev, rank = {"malicious": 2, "suspect": 1}, {"relay": 1, "source": 2, "collector": 3, "drainer": 4}
+    s, q = {n: sev.get(x, 0) for n, x, _, _ in nodes}, {n: rank.get(x, 0) for n, _, x, _ in nodes}
+    taken = set(sorted((n for n in s if s[n] == 2 or q[n] >= 2), key=lambda n: (-s[n], -q[n], n))[: min(floor, budget)])
+    for _, _, _, a, b in sorted((-(d or 0), -1 if l is None else l, h, a, b) for a, b, d, l, h in edges if a in s and b in s and a != b):
+        new = {a, b} - taken
+        if len(taken) + len(new) <= budget:
+            taken |= new
+    drops = {n: d or 0 for n, _, _, d in nodes}
+    return taken | set(sorted((n for n in s if n not in taken), key=lambda n: (-s[n], -drops[n], n))[: budget - len(taken)])
+
+
+@pytest.mark.parametrize("budget, floor", [(7, 2), (8, 3), (12, 12), (5, 0)])
+def test_capped_nodes_match_a_walk(spark, budget, floor):
+    r = random.Random(budget)
+    nodes, edges = [], []
+    for g in range(40):
+        size = r.randint(3, 25)
+        nodes += [(g, f"n{k:02}", r.choice(["malicious", "suspect", "info", None, "info", "info"]), r.choice(["unknown", "relay", "drainer", "unknown", None, "unknown"]), r.choice([None, 5, 9, 20])) for k in range(size)]
+        edges += [(g, f"n{r.randrange(size + 1):02}", f"n{r.randrange(size + 1):02}", r.choice([None, 3, 3, r.randrange(50)]), r.choice([None, 1, 2]), f"h{r.randrange(99)}") for _ in range(r.randint(0, 30))]
+    found = V.capped_nodes(spark.createDataFrame(nodes, "g long, address string, severity string, role string, drops long"), spark.createDataFrame(edges, "g long, account string, destination string, amount_drops long, ledger_seq long, hash string"), "g", budget, floor).collect()
+    for g in range(40):
+        assert {x.address for x in found if x.g == g} == slow_capped([n[1:] for n in nodes if n[0] == g], [e[1:] for e in edges if e[0] == g], budget, floor)
+    assert len(found) == len({(x.g, x.address) for x in found})
 
 
 def test_waves_and_others(spark):
