@@ -218,14 +218,14 @@ def signers_fingerprint(spark, sf_dir):
     return V.txn(spark, sf_dir).groupBy("account").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set("destination")), ","), 256), 1, 16).alias("fingerprint"))
 
 
-@query("handoff", """WITH hd AS (SELECT t_ms // 86400000 AS day, account, destination, min((ledger_seq, hash, account)) AS e FROM handoff WHERE account <> destination GROUP BY 1, 2, 3),
+@query("handoff", """WITH hd AS (SELECT t_ms // 21600000 AS day, account, destination, min((ledger_seq, hash, account)) AS e FROM handoff WHERE account <> destination GROUP BY 1, 2, 3),
     w AS (SELECT DISTINCT day, destination AS address, [destination] AS path, true AS more FROM hd
       UNION ALL SELECT w.day, address, CASE WHEN n.a IS NULL THEN path ELSE list_append(path, n.a) END, n.a IS NOT NULL FROM w,
         LATERAL (SELECT arg_min(hd.account, hd.e) AS a FROM hd WHERE hd.day = w.day AND hd.destination = path[len(path)] AND NOT list_contains(path, hd.account)) n WHERE more)
     SELECT day, address, array_to_string(path, '>') AS path, cast(len(path) - 1 AS bigint) AS hops, false AS truncated FROM w WHERE NOT more""")
 def replay_archive(spark, sf_dir):
-    """Every account's walk back through each day's archive; a day's walks end long before 200 hops."""
-    t = V.handoff(spark, sf_dir).withColumn("day", F.expr("t_ms DIV 86400000"))
+    """Every account's walk back through each archive of six hours; its walks end long before 200 hops."""
+    t = V.handoff(spark, sf_dir).withColumn("day", F.expr("t_ms DIV 21600000"))
     start = t.where("account <> destination").select("day", F.col("destination").alias("address")).distinct()
     return W.replay(start, t, "day").withColumn("path", F.array_join("path", ">"))
 
