@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -46,6 +47,32 @@ def shipped(spark: SparkSession, thing):
     return again
 
 
+def agreeing(bits: int, radius: int, n: int, room: int) -> list[int]:
+    """Masks of bits such that two numbers of `bits` bits within radius agree on all bits of one mask at least.
+
+    The bits are cut into radius + j blocks, of which j agree; a mask takes j of them. j grows with the
+    count n, so that a mask's values are many enough for n evenly spread numbers to have `room` a value.
+    """
+    for j in range(1, bits - radius + 1):
+        cuts = [bits * k // (radius + j) for k in range(radius + j + 1)]
+        blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+        masks = [sum(some) for some in combinations(blocks, j)]
+        if n <= room << min(m.bit_count() for m in masks):
+            break
+    return masks
+
+
+def signed(x: int) -> int:
+    """A 64-bit number as a signed long."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def with_sizes(rows: DataFrame, sizes: DataFrame, keys: list[str], how: str, most: int = 1 << 20) -> DataFrame:
+    """rows joined with a table of group sizes, which is broadcast only if it has at most `most` rows."""
+    sizes = materialized(sizes)
+    return rows.join(F.broadcast(sizes) if sizes.limit(most + 1).count() <= most else sizes, keys, how)
+
+
 def by_batch(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """Applies a function from columns (lists) to columns to every Arrow batch; make() runs once a task."""
     from pyspark.sql.types import StructType

@@ -2,9 +2,10 @@
 
 A term is a pair of neighbouring words (the word itself in texts of one word); each distinct term votes
 with 1 + ln(occurrences) on the signed bits of its XXH3 hash. The search cuts fingerprints into
-radius + 1 blocks: two fingerprints within the radius agree on a block, so each block's table, keyed by
-the block's value, brings every such pair together. A pair counts in the first table that has it, and
-tables' large groups are dealt in chunks.
+radius + j blocks: two fingerprints within the radius agree on j of them, so the tables of all choices of j
+blocks, keyed by these blocks' values, bring every such pair together; j grows with the number of
+fingerprints, so that keys stay rare. A pair counts in the first table that has it, and tables' large
+groups are dealt in chunks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialized
+from .common import agreeing, materialized, signed, with_sizes
 
 BITS = 128
 
@@ -119,34 +120,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_next(docs, id_col, text_col, parts).mapInArrow(run, "id long, n_chars long, edited_sha256 string, hi long, lo long, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _tables(radius: int) -> list[tuple[str, int, int]]:
-    """(half, lowest bit, width) of radius + 1 blocks that cover both halves."""
-    first = (radius + 2) // 2
-    return [(half, 64 * k // n, 64 * (k + 1) // n - 64 * k // n) for half, n in (("hi", first), ("lo", radius + 1 - first)) for k in range(n)]
-
-
 def within(fps: DataFrame, radius: int = 8, chunk: int = 1024, flush: int = 1 << 15) -> DataFrame:
     """(hi, lo, near): for distinct queries of fps (hi, lo, copies, asked) the copies of all fingerprints within radius.
 
     fps has one row for each fingerprint; asked marks queries; the query's own copies count.
     """
-    tables = _tables(radius)
-    value = lambda half, low, width: F.shiftrightunsigned(F.col(half), low).bitwiseAND(F.lit((1 << width) - 1))
-    rows = fps.withColumn("t", F.explode(F.array(*(F.struct(F.lit(k).alias("table"), value(*b).alias("value")) for k, b in enumerate(tables))))).select("hi", "lo", "copies", "asked", "t.table", "t.value")
-    n = fps.count()
-    limit = max(chunk, -(-2 * n // min(1 << w for *_, w in tables)))
-    sizes = rows.groupBy("table", "value").agg(F.ceil(F.count("*") / limit).cast("int").alias("chunks"), F.max("asked").alias("any")).where("any").drop("any")  # 2^width rows a table at most
+    masks = [(m >> 64, m & ((1 << 64) - 1)) for m in agreeing(BITS, radius, fps.count(), max(1, chunk // 2))]
+    place = lambda k, m: F.struct(F.lit(k).alias("table"), *(F.col(h).bitwiseAND(F.lit(signed(x)).cast("bigint")).alias(f"v{h}") for h, x in zip(("hi", "lo"), m)))
+    rows = fps.withColumn("t", F.explode(F.array(*(place(k, m) for k, m in enumerate(masks))))).select("hi", "lo", "copies", "asked", "t.*")
+    keys = ["table", "vhi", "vlo"]
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.max("asked").alias("any")).where("any").drop("any")
     own = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int")
     places = F.concat(F.array(F.struct(own.alias("part"), F.lit(False).alias("query"))), F.when(F.col("asked"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("part"), F.lit(True).alias("query")))).otherwise(F.array().cast("array<struct<part:int,query:boolean>>")))
-    keys = ["table", "value", "part"]
-    dealt = rows.join(F.broadcast(sizes), ["table", "value"]).withColumn("p", F.explode(places)).select("hi", "lo", "copies", "table", "value", "p.part", "p.query")
+    dealt = with_sizes(rows, sizes, keys, "inner").withColumn("p", F.explode(places)).select("hi", "lo", "copies", *keys, "p.part", "p.query")
+    keys = [*keys, "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = {"hi": [], "lo": []}
-        for half, low, width in tables:
-            for h in masks:
-                masks[h].append(((1 << width) - 1) << low if h == half else 0)
-        mhi, mlo = (np.array(masks[h], np.uint64) for h in ("hi", "lo"))
+        mhi, mlo = (np.array([m[k] for m in masks], np.uint64) for k in (0, 1))
 
         def searched(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
             ids = np.stack([cols[k] for k in keys], axis=1)

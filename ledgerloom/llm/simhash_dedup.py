@@ -1,10 +1,11 @@
 """SimHash near-duplicates: a binary trie self-join under a Hamming error budget.
 
-Distribution. Two fingerprints of 64 bits that differ in at most `radius` bits agree on one of
-radius + 1 blocks, so every fingerprint is dealt once for each block value, and links are looked for
-inside these groups only. A group larger than a chunk is dealt in chunks, one task for each pair of
-chunks, which keeps tasks small however many near copies there are. In a task the sorted fingerprints
-of a group form a binary trie whose nodes are ranges of the array; pairs of nodes descend together,
+Distribution. Fingerprints of 64 bits are cut into radius + j blocks; two that differ in at most `radius`
+bits agree on j of them, so every fingerprint is dealt once for each choice of j blocks, and links are
+looked for inside the groups of equal values only. j grows with the number of fingerprints, so evenly
+spread ones make small groups at any size. A group larger than a chunk is dealt in chunks, one task for
+each pair of chunks, which keeps tasks small however many near copies there are. In a task the sorted
+fingerprints of a group form a binary trie whose nodes are ranges of the array; pairs of nodes descend together,
 add up differing bits and end when the budget is exceeded. Links leave a task as a spanning forest,
 never as all pairs, and connected components are found by table operations.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import by_batch, components, fresh, materialized
+from .common import agreeing, by_batch, components, fresh, materialized, signed, with_sizes
 
 BITS = 64
 
@@ -119,24 +120,33 @@ def trie_components(keys: np.ndarray, starts: np.ndarray, radius: int, leaf: int
     return labels
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of radius + 1 blocks that cover all bits."""
-    cuts = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def dealt(distinct: DataFrame, masks: list[int], col: str, chunk: int) -> DataFrame:
+    """distinct with a row for each mask and task: mask (its number), value, first, second (the chunks of the task).
 
-
-def dealt(distinct: DataFrame, n: int, blocks: list[tuple[int, int]], col: str, chunk: int) -> DataFrame:
-    """distinct with a row for each block and task: block, value, first, second (the chunks of the task).
-
-    The table of group sizes has one row for each block value, 2^width a block at most, so it is broadcast.
+    Only groups beyond a chunk have a row in the table of sizes.
     """
-    value = lambda low, width: F.shiftrightunsigned(F.col(col), low).bitwiseAND(F.lit((1 << width) - 1))
-    rows = distinct.withColumn("dealt", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), value(*b).alias("value")) for k, b in enumerate(blocks))))).select("*", "dealt.block", "dealt.value").drop("dealt")
-    limit = max(chunk, -(-2 * n // min(1 << w for _, w in blocks)))
-    sizes = rows.groupBy("block", "value").agg(F.ceil(F.count("*") / limit).cast("int").alias("chunks"))
+    rows = distinct.withColumn("dealt", F.explode(F.array(*(F.struct(F.lit(k).alias("mask"), F.col(col).bitwiseAND(F.lit(signed(m)).cast("bigint")).alias("value")) for k, m in enumerate(masks))))).select("*", "dealt.mask", "dealt.value").drop("dealt")
+    large = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("mask", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    rows = with_sizes(rows, large, ["mask", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64(col), F.col("chunks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("first"), F.greatest(own, j).alias("second")))
-    return rows.join(F.broadcast(sizes), ["block", "value"]).withColumn("task", F.explode(tasks)).select("*", "task.first", "task.second").drop("task", "chunks")
+    return rows.withColumn("task", F.explode(tasks)).select("*", "task.first", "task.second").drop("task", "chunks")
+
+
+def rolled(fps: np.ndarray, mask: int) -> np.ndarray:
+    """Fingerprints with the mask's bits first; the order of bits within both parts stays."""
+    out, at = np.zeros_like(fps), BITS
+    for part in (mask, ~mask & ((1 << BITS) - 1)):
+        while part:  # runs of bits, from the highest
+            high = part.bit_length()
+            low = high
+            while low and part >> (low - 1) & 1:
+                low -= 1
+            width = high - low
+            at -= width
+            out |= ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)) << np.uint64(at)
+            part &= (1 << low) - 1
+    return out
 
 
 def links(distinct: DataFrame, radius: int = 4, chunk: int = 1024, flush: int = 1 << 16) -> DataFrame:
@@ -144,24 +154,26 @@ def links(distinct: DataFrame, radius: int = 4, chunk: int = 1024, flush: int =
 
     The join of all links connects exactly the fingerprints that a chain of pairs within radius connects.
     """
-    blocks = _blocks(radius)
-    tasks = dealt(distinct.select("fingerprint"), distinct.count(), blocks, "fingerprint", chunk)
-    keys = ["block", "value", "first", "second"]
+    masks = agreeing(BITS, radius, distinct.count(), max(1, chunk // 2))
+    tasks = dealt(distinct.select("fingerprint"), masks, "fingerprint", chunk)
+    keys = ["mask", "value", "first", "second"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            low = np.array([blocks[b][0] + blocks[b][1] for b in ids[:, 0]], np.uint64)
-            rolled = np.where(low == BITS, fps, (fps << (np.uint64(BITS) - low)) | (fps >> (low % np.uint64(BITS))))  # the block comes first
-            order = np.lexsort((rolled, *ids.T[::-1]))
-            ids, fps, rolled = ids[order], fps[order], rolled[order]
+            turned = np.zeros_like(fps)
+            for k in np.unique(ids[:, 0]).tolist():
+                own = ids[:, 0] == k
+                turned[own] = rolled(fps[own], masks[k])
+            order = np.lexsort((turned, *ids.T[::-1]))
+            ids, fps, turned = ids[order], fps[order], turned[order]
             starts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1])
-            root = trie_components(rolled, starts, radius)
-            signed = fps.view(np.int64)
+            root = trie_components(turned, starts, radius)
+            plain = fps.view(np.int64)
             least = np.full(len(fps), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, signed)
+            np.minimum.at(least, root, plain)
             to = least[root]
-            moved = to != signed
-            return pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(to[moved])], names=["a", "b"])
+            moved = to != plain
+            return pa.RecordBatch.from_arrays([pa.array(plain[moved]), pa.array(to[moved])], names=["a", "b"])
 
         kept: list = []
         rows = 0

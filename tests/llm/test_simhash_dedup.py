@@ -1,10 +1,11 @@
+import random
 import re
 
 import numpy as np
 import xxhash
 
 from ledgerloom.llm import simhash_dedup as D
-from ledgerloom.llm.common import components
+from ledgerloom.llm.common import agreeing, components
 
 from .fixtures import documents, empty, prose, rows
 
@@ -66,6 +67,36 @@ def test_hot_groups_are_dealt_in_chunks_without_losing_links(spark):
     assert len(found) == len(fps) and len({r.root for r in found}) == 1
 
 
+def test_masks_and_turned_bits():
+    r = random.Random(2)
+    for bits, radius in ((64, 4), (128, 8)):
+        counts = [len(agreeing(bits, radius, n, 512)) for n in (1, 10**6, 10**9, 10**12)]
+        assert counts[0] == radius + 1 and counts == sorted(counts) and counts[2] > counts[0]
+        for n in (1, 10**9):
+            masks = agreeing(bits, radius, n, 512)
+            assert all(any(x & m == 0 for m in masks) for x in (sum(1 << b for b in r.sample(range(bits), radius)) for _ in range(300)))
+    fps = np.array([r.getrandbits(64) for _ in range(50)], np.uint64)
+    for mask in agreeing(64, 4, 10**9, 512):
+        turned, k = D.rolled(fps, mask), mask.bit_count()
+        for i in range(50):
+            assert (fps[i] ^ fps).tolist().count(0) == (turned[i] ^ turned).tolist().count(0) and turned[i].bit_count() == fps[i].bit_count()
+            same = [bool((int(fps[i]) ^ int(x)) & mask == 0) for x in fps]
+            assert same == [int(turned[i]) >> (64 - k) == int(x) >> (64 - k) for x in turned]
+
+
+def test_pairs_of_blocks_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = set()
+    for _ in range(40):
+        x = int(rng.integers(0, 1 << 63))
+        fps |= {x} | {x ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 5), replace=False)) for _ in range(5)}
+    fps = sorted(fps)
+    monkeypatch.setattr(D, "agreeing", lambda bits, radius, n, room: agreeing(bits, radius, 10**9, 512))
+    found = {r.node: r.root for r in components(D.links(spark.createDataFrame([(f,) for f in fps], "fingerprint long")), "a", "b").collect()}
+    slow = slow_components(fps, fps)
+    assert [found.get(f, f) for f in fps] == slow
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(k, k + 1) for k in range(0, 60)]
     star = [(100, k) for k in range(101, 160)]
