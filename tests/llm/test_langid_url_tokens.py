@@ -32,6 +32,34 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in langid.identify(nothing).collect()} == {"und"}
 
 
+def test_mixed_and_tiny_texts_are_flagged(spark):
+    docs = table(spark, DATA.replace("0.001", "0.01"), "documents")
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    texts = {}
+    for r in docs.where("length(text) BETWEEN 500 AND 4000 AND text RLIKE '[a-z]'").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    r = random.Random(3)
+    mixed, mostly, whole, tiny = [], [], [], []
+    for _ in range(60):
+        a, b = r.sample(sorted(texts), 2)
+        t, u = r.choice(texts[a])[:500], r.choice(texts[b])[:500]
+        mixed.append(model.predict(t + " " + u))
+        mostly.append(model.predict(t + " " + u[:100])[0] == a)
+        whole.append((model.predict(t), a))
+        tiny.append(model.predict(t[:2] + "x"))
+    assert sum(x[3] for x in mixed) > 30 and sum(x[3] for x in tiny) > 30
+    assert sum(x[0] == a and not x[3] for x, a in whole) >= 54 and sum(mostly) >= 54
+    assert sum(x[1] for x in mixed) < sum(x[1] for x, _ in whole) - 10
+
+
+def test_one_language_and_too_many(spark):
+    df = spark.createDataFrame([(k, "words of it", f"l{k % 3}") for k in range(12)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score, r.ambiguous) for r in langid.identify(df.where("lang = 'l1'")).collect()} == {("l1", 1.0, False)}
+    assert {(r.lang_pred, r.ambiguous) for r in langid.identify(df).collect()} == {("l0", True)}  # all alike: the first by name
+    with pytest.raises(ValueError):
+        langid.fit(df, "doc_id", "text", "lang", most_languages=2)
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 9, 30])
 def test_codewords_differ(n):
     code = langid.codewords(n)

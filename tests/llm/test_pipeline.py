@@ -17,7 +17,7 @@ def test_names():
 def test_pipeline_matches_stages_applied_by_hand(spark):
     docs = table(spark, DATA, "documents")
     labels, benchmark = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
-    known = {r.doc_id for r in langid.identify(docs).where("lang_pred <> 'und' AND NOT ambiguous").collect()}
+    known = {r.doc_id for r in docs.select("doc_id", langid.identifier(docs, margin=0.2)("text").alias("x")).where("x.lang_pred <> 'und' AND NOT x.ambiguous").collect()}
     docs = docs.where(docs.doc_id.isin(list(known)))
     calm = {r.doc_id for r in toxicity.score(docs, labels).where("score < 0.5").collect()}
     docs = docs.where(docs.doc_id.isin(list(calm)))
