@@ -16,9 +16,9 @@ from ledgerloom.llm.queries import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letter, or two languages equally likely."""
+    """Rejects documents without a language: no letter, or two languages about equally likely (scores less than 0.2 apart)."""
     found = fresh(docs, "language")
-    named = docs.withColumn(found, langid.identifier(docs)("text"))
+    named = docs.withColumn(found, langid.identifier(docs, margin=0.2)("text"))
     return named.where((F.col(found)["lang_pred"] != "und") & ~F.col(found)["ambiguous"]).drop(found)
 
 
