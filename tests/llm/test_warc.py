@@ -1,7 +1,10 @@
+import base64
+import gzip
 import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import warc
 
@@ -32,7 +35,7 @@ def test_payloads_come_back_from_small_packages(spark):
     folder = warc.archive_folder(spark)
     manifest = warc.write(pages(spark, ROWS), folder, "page_id", "html", roll=300, limit=200)  # several packages, ZIP64 records
     assert manifest.count() > 1
-    back = warc.read(manifest, ranges=2).where("record_type = 'response'").collect()
+    back = warc.read(manifest, span=600).where("record_type = 'response'").collect()
     html = dict(ROWS[:-6])
     assert all(bytes(r.payload).decode() == (html[r.id] or "") for r in back if r.id is not None and r.id < 9)
 
@@ -78,7 +81,69 @@ def test_zip64_files_of_others_are_read():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("packed", "text" * 100)
+        z.writestr(zipfile.ZipInfo("stored"), "as it is", zipfile.ZIP_STORED)
     data = out.getvalue()
-    for bad in (data, b"no zip at all"):
+    found = warc.directory(lambda at, n: data[at : at + n], len(data))
+    assert list(found) == ["stored"]
+    for name in ("packed", "absent"):
         with pytest.raises(ValueError):
-            warc.directory(lambda at, n: bad[at : at + n], len(bad))
+            found[name]
+    with pytest.raises(ValueError):
+        warc.directory(lambda at, n: b"no zip at all"[at : at + n], 13)
+
+
+def foreign_record(kind, url, block, extra="", http=True):
+    digest = base64.b32encode(hashlib.sha1(block.partition(b"\r\n\r\n")[2] if http else block).digest()).decode()
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{url[-1]}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\n{extra}Content-Type: {'application/http; msgtype=response' if http else 'text/plain'}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_packages_of_others_are_read_by_their_indexes(spark, tmp_path):
+    """Compressed page lists, several archives, a gzipped and a plain index, records out of order, revisits, no private header."""
+    import zipfile
+
+    body = [b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello", b"HTTP/1.1 200 OK\r\nX: y\r\n z\r\n\r\nno length", b"just a note"]
+    one = [foreign_record("response", "http://a.example/1", body[0]), foreign_record("response", "http://a.example/2", body[1])]
+    two = [foreign_record("warcinfo", "x", b"software: none", http=False), foreign_record("resource", "http://a.example/3", body[2], http=False), foreign_record("revisit", "http://a.example/4", body[0][:-5], "WARC-Refers-To: <urn:uuid:1>\r\n")]
+    line = lambda u, name, parts, k: f'{warc.search_key(u)} 20200101000000 {{"url": "{u}", "filename": "{name}", "offset": "{sum(map(len, parts[:k]))}", "length": {len(parts[k])}}}'
+    first = "\n".join(['!meta {"format": "cdxj"}', line("http://a.example/2", "one.warc.gz", one, 1), line("http://a.example/1", "one.warc.gz", one, 0)])
+    second = f" CDX N b a m s k r M S V g\nexample,a)/3 20200101000000 http://a.example/3 text/plain 200 X - - {len(two[1])} {len(two[0])} two.warc.gz\nexample,a)/4 20200101000000 http://a.example/4 warc/revisit 200 X - - {len(two[2])} {len(two[0]) + len(two[1])} two.warc.gz"
+    with zipfile.ZipFile(tmp_path / "a.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr(zipfile.ZipInfo("pages/pages.jsonl"), "{}" * 50, zipfile.ZIP_DEFLATED)
+        z.writestr("archive/one.warc.gz", b"".join(one))
+        z.writestr("archive/two.warc.gz", b"".join(two))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(first.encode()))
+        z.writestr("indexes/other.cdx", second)
+        z.writestr("datapackage.json", "{}")
+    found = {r.url: r for r in warc.read(spark.createDataFrame([(str(tmp_path / "a.wacz"),)], "path string")).collect()}
+    assert {u: (r.record_type, r.payload_bytes, bytes(r.payload) if r.payload is not None else None) for u, r in found.items()} == {
+        "http://a.example/1": ("response", 5, b"hello"), "http://a.example/2": ("response", 9, b"no length"), "http://a.example/3": ("resource", 11, b"just a note"), "http://a.example/4": ("revisit", 5, None),
+    }
+    assert found["http://a.example/1"].payload_digest == hashlib.sha1(b"hello").hexdigest() and found["http://a.example/1"].id is None
+
+
+def test_damaged_payloads_are_refused(spark, tmp_path):
+    record = foreign_record("response", "http://a.example/1", b"HTTP/1.1 200 OK\r\n\r\nhello")
+    record = gzip.compress(gzip.decompress(record).replace(b"hello", b"jello"))
+    data = package(warc.BIG, {warc.DATA: record, warc.INDEX: f'k 2020 {{"filename": "data.warc.gz", "offset": 0, "length": {len(record)}}}'.encode()})
+    (tmp_path / "a.wacz").write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        warc.read(spark.createDataFrame([(str(tmp_path / "a.wacz"),)], "path string")).collect()
+
+
+def test_own_records_have_what_the_format_asks_for(spark):
+    folder = warc.archive_folder(spark)
+    (m,) = warc.write(pages(spark, ROWS).coalesce(1), folder, "page_id", "html", F.col("url"), "2024-02-03T04:05:06Z").collect()
+    store, path = warc.filesystem(m.path)
+    with store.open_input_file(path) as f:
+        data = f.read()
+    members = warc.directory(lambda at, n: data[at : at + n], len(data))
+    at, n = members[warc.INDEX]
+    lines = data[at : at + n].splitlines()
+    assert len(lines) == len(ROWS) == m.records and lines == sorted(lines) and all(x.startswith(b"u 20240203040506 {") for x in lines)
+    ids = set()
+    for _, offset, length in map(warc.entries, lines):
+        headers, block = warc.parse_record(data[members[warc.DATA][0] + offset :][:length])
+        assert {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-target-uri"} <= set(headers) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        ids.add(headers["warc-record-id"])
+    assert len(ids) == len(ROWS) - 1  # of two rows of page 9 one name; rows without an id have names of their own
