@@ -166,6 +166,8 @@ def leaks(items: Items, texts: list[np.ndarray], threshold: float, enough: int,
             _, back = smith_waterman(item[::-1], [texts[part[x][0]][part[x][1] : part[x][1] + end[x]][::-1] for x in good])
             for x, r in zip(good, back):
                 d, lo, _, n = part[x]
+                if score[x] < threshold * 2 * min(len(item), r):  # of a long item's passage too much differs
+                    continue
                 found = {"item_id": items.ids[k], "score": min(1.0, float(score[x]) / full), "seeds": n, "first_word": lo + int(end[x] - r), "last_word": lo + int(end[x]) - 1}
                 old = best.get((d, k))
                 if old is None or (found["score"], -found["first_word"]) > (old["score"], -old["first_word"]):
@@ -184,7 +186,8 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
 
     score is the best local alignment's score (2 a match, -1 a substitution or gap) against the highest
     possible one of the item, or of `enough` words of it where it is longer (1 at most); passages from
-    `threshold` on are leaks, so a long item leaks by a passage of it. An n-gram is rare in up to the
+    `threshold` on are leaks, so a long item leaks by a passage of it, if the passage also reaches
+    `threshold` of the score that so many equal words have. An n-gram is rare in up to the
     share `rare` of documents. Items of less than n words match texts of just these words; null and empty
     ones never match, and null and empty texts have no leaks. Repeated rows and null ids keep their rows;
     repeated items each match; `keep` must not hold out_col. Items are read block by block, block_chars

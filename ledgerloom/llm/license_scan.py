@@ -1,8 +1,8 @@
 """License scan by conditional compression.
 
 Candidate blocks are the lines that speak of a license, alone, with the lines that follow up to a blank
-line, and with those that follow over blank lines; what stands before and after a confirmed notice in a
-block is searched again. A block is compressed with zstandard alone and with each template as a raw dictionary; the
+line, and with those that follow over blank lines; of very long lines the stretches around what speaks of a
+license. What stands before and after a confirmed notice in a block is searched again. A block is compressed with zstandard alone and with each template as a raw dictionary; the
 templates are ranked by how much smaller the block gets, and the best ones are confirmed, or not, by the
 exact differences in wording.
 """
@@ -45,9 +45,8 @@ TEMPLATES = [
 ]
 
 #: What candidate lines speak of (fixed values), in lower case.
-CUES = ["license", "licence", "copyright", "permission is hereby", "permission to use", "redistribution and use", "public domain", "free software"]
+CUES = ["license", "licence", "copyright", "permission is hereby", "permission to use", "redistribution and use", "public domain", "free software", "released under", "released into", "under the mit", "creative commons", "cc by", "cc-by", "cc0", "gnu ", "mozilla public"]
 
-_CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -56,37 +55,57 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-def blocks(text: str, longest: int) -> list[tuple[int, int]]:
-    """(from, to) of candidates: every line with a cue, and the lines from it on, up to a blank line and over blank lines, about `longest` characters each."""
+def blocks(text: str, longest: int, cue: re.Pattern) -> list[tuple[int, int]]:
+    """(from, to) of candidates: every line with a cue, and the lines from it on, up to a blank line and over blank lines, about `longest` characters each.
+
+    Of a line of more than twice `longest` characters every stretch of so many around a cue is a candidate.
+    """
     found, lines, at = [], [], 0
     for line in text.split("\n"):
         lines.append((at, at + len(line)))
         at += len(line) + 1
     for k, (a, b) in enumerate(lines):
-        if _CUE.search(text, a, b):
+        if b - a > 2 * longest:
+            last = a - longest
+            for m in cue.finditer(text, a, b):
+                if m.start() >= last + longest // 4 or m.end() == m.start():
+                    last = m.start()
+                    found += [(max(0, last - longest // 2), min(len(text), last + longest)), (last, min(len(text), last + longest))]
+        elif cue.search(text, a, b):
             found.append((a, b))
             e = k
             while e + 1 < len(lines) and text[lines[e + 1][0] : lines[e + 1][1]].strip() and lines[e][1] - a < longest:
                 e += 1
             if e > k:
-                found.append((a, lines[e][1]))
+                found.append((a, min(lines[e][1], a + 2 * longest)))
             far = e
             while far + 1 < len(lines) and lines[far][1] - a < longest:
                 far += 1
             while far > e and not text[lines[far][0] : lines[far][1]].strip():
                 far -= 1
             if far > e:
-                found.append((a, lines[far][1]))
+                found.append((a, min(lines[far][1], a + 2 * longest)))
     return found
 
 
+def cues_of(templates) -> list[str]:
+    """CUES, and of every template without one its distinct words of five letters and more (all words where it has none)."""
+    found = list(CUES)
+    for _, text in templates:
+        if not any(c in text.lower() for c in CUES):
+            words = sorted({w for w, _, _ in words_of(text)})
+            found += [w for w in words if len(w) >= 5] or words
+    return sorted(set(found), key=lambda c: (found.index(c)))
+
+
 class Scanner:
-    """Templates with their compressors and words."""
+    """Templates with their compressors and words; cues are what candidate lines speak of."""
 
-    def __init__(self, templates=TEMPLATES, ranked: int = 3, least: float = 0.8):
+    def __init__(self, templates=TEMPLATES, ranked: int = 3, least: float = 0.8, cues: list[str] | None = None):
         import zstandard as z
 
         self.templates, self.ranked, self.least = templates, ranked, least
+        self.cue = re.compile("|".join(map(re.escape, cues_of(templates) if cues is None else cues)), re.I)
         self.longest = 2 * max(len(t) for _, t in templates)
         data = [t.lower().encode() for _, t in templates]
         self.alone = z.ZstdCompressor(level=3)
@@ -125,10 +144,10 @@ class Scanner:
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices of a text; of overlapping ones that with more words in common, then the closer."""
-        found, todo, seen = [], blocks(text, self.longest), set()
+        found, todo, seen = [], blocks(text, self.longest, self.cue), set()
         while todo:
             a, b = todo.pop()
-            if (a, b) in seen or not _CUE.search(text, a, b):
+            if (a, b) in seen or not self.cue.search(text, a, b):
                 continue
             seen.add((a, b))
             if one := self.judge(text[a:b]):
@@ -142,16 +161,19 @@ class Scanner:
         return sorted(kept, key=lambda x: x["from"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = 0.8, cues: list[str] | None = None) -> DataFrame:
     """A row for each license notice of each document: (id_col, first_char, last_char, license, reduction, similarity, missing, extra, verdict).
 
     reduction is the bytes that the template saves; missing and extra are the words that differ; verdict
-    is exact (none differ) or modified (similarity of words at least `least`). Null and empty texts, and
-    texts without a cue, give no rows; repeated rows and null ids give theirs; other columns are ignored.
+    is exact (none differ) or modified (similarity of words at least `least`). Lines are looked at that
+    have one of `cues` (by default CUES and, for templates that have none of them, their own words). Null
+    and empty texts, and texts without a cue, give no rows; repeated rows and null ids give theirs; other
+    columns are ignored.
     """
+    cues = cues_of(templates) if cues is None else cues
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, least=least)
+        scanner = Scanner(templates, least=least, cues=cues)
         for b in batches:
             rows = []
             for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
@@ -162,8 +184,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), t)], names=["id", "first_char", "last_char", "license", "reduction", "similarity", "missing", "extra", "verdict"])
 
     low, cued = F.lower(text_col), F.lit(False)
-    for cue in CUES:
-        cued |= low.contains(cue)
+    for cue in cues:
+        cued |= low.contains(cue.lower())
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(cued).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, first_char int, last_char int, license string, reduction int, similarity double, missing string, extra string, verdict string").withColumnRenamed("id", id_col)

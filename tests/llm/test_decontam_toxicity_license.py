@@ -1,6 +1,8 @@
 import random
 import re
+import time
 import zlib
+from difflib import SequenceMatcher
 
 import numpy as np
 
@@ -80,9 +82,10 @@ def test_seeds_lose_nothing_that_whole_alignment_finds(spark):
         ids = block.read(text)
         for item, name in zip(block.words, block.ids):
             if len(ids) and i is not None:
-                score = decontam.smith_waterman(item, [ids])[0][0] / (2 * min(50, len(item)))
-                if score >= 0.6:
-                    want[i, name] = max(want.get((i, name), 0), min(1.0, score))
+                best, end = (x[0] for x in decontam.smith_waterman(item, [ids]))
+                length = decontam.smith_waterman(item[::-1], [ids[:end][::-1]])[1][0] if best else 0
+                if best >= 1.2 * min(50, len(item)) and best >= 1.2 * min(len(item), length):
+                    want[i, name] = max(want.get((i, name), 0), min(1.0, best / (2 * min(50, len(item)))))
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.15 for k in want)
     assert sum(k[1] == 30 for k in want) >= 12
 
@@ -217,6 +220,55 @@ def test_notices_of_several_paragraphs_and_on_one_line():
     assert [x["license"] for x in scanner.scan(line)] == ["MIT", "Apache-2.0", "CC-BY-NC-4.0"]
 
 
+def test_own_templates_need_no_cue(spark):
+    own = [("House", "Anyone may copy this text as often as they like, so long as the kitchen stays tidy.")]
+    docs = spark.createDataFrame([(1, prose(1, 40) + "\n" + own[0][1] + "\n" + prose(2, 40)), (2, own[0][1].replace("often", "seldom")), (3, prose(3, 90))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.verdict) for r in license_scan.scan(docs, templates=own).collect()) == [(1, "House", "exact"), (2, "House", "modified")]
+
+
+def test_notices_in_very_long_lines_and_whole_licenses():
+    scanner = license_scan.Scanner()
+    mit, apache = license_scan.TEMPLATES[2][1], license_scan.TEMPLATES[4][1]
+    line = " ".join([prose(5, 9000), mit, prose(6, 9000), apache, prose(7, 9000), "Licensed under CC BY-NC 4.0.", prose(8, 4000), "the license " * 3000])
+    began = time.time()
+    assert [(x["license"], x["missing"], x["extra"]) for x in scanner.scan(line)] == [("MIT", "", ""), ("Apache-2.0", "", ""), ("CC-BY-NC-4.0", "", "")]
+    assert time.time() - began < 60
+    (one,) = scanner.scan(mit.replace(" The above", "\n\nThe above") + "\n\nTHE SOFTWARE IS PROVIDED AS IS.")
+    assert (one["license"], one["missing"], one["extra"]) == ("MIT", "", "")
+
+
+def plain_best(text):
+    """Every template against every stretch of lines, by words in common alone, without compression or cues."""
+    lines, found = text.split("\n"), []
+    for a in range(len(lines)):
+        for b in range(a + 1, min(len(lines), a + 4) + 1):
+            words = [w for w, _, _ in license_scan.words_of("\n".join(lines[a:b]))]
+            for k, (name, template) in enumerate(license_scan.TEMPLATES):
+                own = [w for w, _, _ in license_scan.words_of(template)]
+                at = [m for m in SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size]
+                if at:
+                    hit, span = sum(m.size for m in at), at[-1].b + at[-1].size - at[0].b
+                    if 2 * hit / (len(own) + span) >= 0.8:
+                        found.append((hit, 2 * hit / (len(own) + span), name, a))
+    return max(found)[2] if found else None
+
+
+def test_scan_agrees_with_plain_comparison(spark):
+    r = random.Random(11)
+    texts = []
+    for k in range(60):
+        words = r.choice(license_scan.TEMPLATES)[1].split(" ")
+        for _ in range(r.choice([0, 0, 1, len(words) // 10])):
+            words[r.randrange(len(words))] = r.choice(["changed", "", "thing"])
+        body = " ".join(w for w in words if w)
+        texts.append((k, "\n".join([prose(k, 12), body if k % 3 else prose(900 + k, 30), prose(k + 500, 12)])))
+    got = {}
+    for x in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got.setdefault(x.doc_id, []).append(x.license)
+    for k, text in texts:
+        assert (got.get(k) or [None])[0] == plain_best(text), text
+
+
 def test_every_license_line_of_the_table_is_found(spark):
     docs = table(spark, DATA, "documents")
     lines = {r.doc_id for r in docs.collect() if any(x in r.text for x in ("the Apache License, Version 2.0.", "the MIT License.", "CC BY-NC 4.0.", "General Public License, version 3."))}
