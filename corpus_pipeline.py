@@ -50,10 +50,19 @@ STAGES = [("language ID", language_id), ("toxicity", toxic), ("SimHash near-dedu
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder by Spark's own file system, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; a stage's folder is deleted when the next one's is written, so the last is left."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
