@@ -26,9 +26,12 @@ NO_MOVEMENT = ["NFTokenCreateOffer", "NFTokenAcceptOffer", "OfferCreate", "Offer
 LEDGER_EPOCH = 946_684_800
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of raw entries; fields of the wrong kind become null, broken lines are left out."""
-    return spark.read.schema(ENTRY).json(path, mode="DROPMALFORMED")
+def read_entries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """JSON lines of raw entries; fields of the wrong kind become null, a broken line ends the job (strict) or is left out."""
+    broken = F.expr("try_parse_json(value) IS NULL")
+    stop = F.raise_error(F.concat(F.lit("broken line: "), F.substring("value", 1, 80))).cast("boolean")
+    lines = spark.read.text(path).where("trim(value) <> ''").where(F.when(broken, stop if strict else F.lit(False)).otherwise(F.lit(True)))
+    return lines.select(F.from_json("value", ENTRY).alias("entry")).select("entry.*")
 
 
 def normalized(entries: DataFrame) -> DataFrame:

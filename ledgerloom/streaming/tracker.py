@@ -13,16 +13,16 @@ def tally_stream(votes: DataFrame, grace: str = "20 seconds", cell: str = "10 mi
     """Closed cells of a vote stream (ts, master, hash): voters, the top hash (ties: the smaller), its votes.
 
     A cell closes when the watermark has passed its end by the grace; later votes are dropped by the
-    watermark. A master's repeated votes for one hash count once. Append mode.
+    watermark. Of a master's votes in a cell the last counts, as in the batch form. Append mode.
     """
-    w = F.window("ts", cell)
-    counted = votes.withWatermark("ts", grace).groupBy(w.alias("cell"), "hash").agg(F.size(F.collect_set("master")).cast("bigint").alias("n"))
-    top = F.max(F.struct("n", F.col("hash"))).alias("x")
-    return counted.groupBy(F.window("cell", cell).alias("closed")).agg(F.sum("n").alias("votes"), top).select(F.col("closed.start").alias("start"), "votes", F.col("x.hash").alias("top_hash"), F.col("x.n").alias("top"))
+    last = votes.withWatermark("ts", grace).groupBy(F.window("ts", cell).alias("cell"), "master").agg(F.max(F.struct("ts", "hash")).alias("v"))
+    counted = last.groupBy(F.window("cell", cell).alias("again"), F.col("v.hash").alias("hash")).agg(F.count("*").alias("n"))
+    top = F.min(F.struct((-F.col("n")).alias("less"), "hash", "n")).alias("x")
+    return counted.groupBy(F.window("again", cell).alias("closed")).agg(F.sum("n").alias("votes"), top).select(F.col("closed.start").alias("start"), "votes", F.col("x.hash").alias("top_hash"), F.col("x.n").alias("top"))
 
 
 def shape_stream(tx: DataFrame, grace: str = "20 seconds", cell: str = "1 hour") -> DataFrame:
-    """Tumbling ledger shapes of a transaction stream (ts, hash, account, destination): repeated hashes count once."""
+    """Tumbling ledger shapes of a transaction stream (ts, hash, account, destination): repeated hashes count once; senders and receivers are approximate, unlike the batch form's."""
     once = tx.withWatermark("ts", grace).dropDuplicatesWithinWatermark(["hash"])
     return once.groupBy(F.window("ts", cell).alias("w")).agg(F.count("*").alias("tx_count"), F.approx_count_distinct("account").alias("senders"), F.approx_count_distinct("destination").alias("receivers")).select(F.col("w.start").alias("start"), "tx_count", "senders", "receivers")
 

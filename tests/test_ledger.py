@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import days, ledger as L
@@ -28,7 +30,7 @@ ENTRIES = [
 
 def rows(spark, tmp_path):
     (tmp_path / "in.json").write_text("\n".join(json.dumps(e) for e in ENTRIES) + "\nnot json\n")
-    return L.expand_batches(L.normalized(L.read_entries(spark, str(tmp_path / "in.json"))))
+    return L.expand_batches(L.normalized(L.read_entries(spark, str(tmp_path / "in.json"), strict=False)))
 
 
 def test_records(spark, tmp_path):
@@ -69,3 +71,10 @@ def test_csv_report_has_crlf(spark, tmp_path):
     days.write_csv_report(df.select(csv_line("m", "n", "k").alias("line")), str(tmp_path / "r"), "m,n,k")
     text = b"".join(p.read_bytes() for p in (tmp_path / "r").glob("part*"))
     assert text == b'm,n,k\r\na,"say ""hi""",\r\n"b,c",x,1\r\n'
+
+
+def test_broken_lines_end_the_job(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"TransactionType": "Payment", "Account": "a"}\n{"TransactionType": "Pay\n')
+    assert L.read_entries(spark, str(tmp_path / "bad.json"), strict=False).count() == 1
+    with pytest.raises(Exception, match="broken line"):
+        L.read_entries(spark, str(tmp_path / "bad.json")).collect()

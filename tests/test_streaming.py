@@ -25,9 +25,9 @@ def at(minutes):
 
 def test_tally_closes_cells_after_the_grace(spark, tmp_path):
     schema = "ts timestamp, master string, hash string"
-    parts = [[(at(1), "a", "x"), (at(2), "b", "x"), (at(2), "b", "x"), (at(3), "c", "y")], [(at(11), "a", "z")], [(at(45), "a", "x")], [(at(46), "b", "q")]]
+    parts = [[(at(1), "a", "x"), (at(2), "b", "x"), (at(2), "b", "x"), (at(3), "c", "x"), (at(4), "c", "y")], [(at(11), "a", "z"), (at(12), "b", "w")], [(at(45), "a", "x")], [(at(46), "b", "q")]]
     found = {r.start: (r.votes, r.top_hash, r.top) for r in drained(spark, S.tally_stream(source(spark, tmp_path, "v", parts, schema)), "tally").collect()}
-    assert found[at(0)] == (3, "x", 2) and found[at(10)] == (1, "z", 1) and at(40) not in found
+    assert found[at(0)] == (3, "x", 2) and found[at(10)] == (2, "w", 1) and at(40) not in found
 
 
 def test_shapes_count_a_hash_once(spark, tmp_path):
