@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -36,15 +38,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shipped(spark: SparkSession, thing):
-    """A function that gives thing again inside a task: its attributes are broadcast, its class goes with the function."""
-    state, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
-
-    def again():
-        found = kind.__new__(kind)
-        vars(found).update(state.value)
-        return found
-
-    return again
+    """A function that gives thing again inside a task: it is broadcast with its classes, which executors need not have on their path."""
+    state = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(state.value)
 
 
 def agreeing(bits: int, radius: int, n: int, room: int) -> list[int]:

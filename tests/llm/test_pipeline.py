@@ -1,7 +1,12 @@
+import os
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import decontam, langid, packing, simhash_dedup, toxicity
+from ledgerloom.llm.common import shipped
 from ledgerloom.llm.queries import QUERIES, table
 
 from ..conftest import DATA
@@ -14,6 +19,28 @@ def test_names():
     assert [f"op{n}_" for n in range(1, 11)] == [k[: k.index("_") + 1] for k in QUERIES] and "pipeline" in __spark_entry__.queries()
 
 
+def test_models_are_read_where_the_package_is_not_installed(spark):
+    """What tasks get holds its classes: a Python that can't import this package reads it."""
+    sent = []
+
+    class Context:
+        def broadcast(self, value):
+            sent.append(value)
+
+    class Session:
+        sparkContext = Context()
+
+    docs = documents(spark)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (8, 0), (9, 0)], "doc_id long, toxic int")
+    shipped(Session(), toxicity.fit(docs, labels, "doc_id", "text", "toxic", 5, 0, 1536, 1e-4, 15))
+    shipped(Session(), decontam.Items([1], ["some words of an item"], 3))
+    shipped(Session(), langid.fit(docs, "doc_id", "text", "lang"))
+    for value in sent:
+        code = "import pickle, sys; x = pickle.load(sys.stdin.buffer); assert 'ledgerloom' not in sys.modules, sys.modules; print(type(x).__name__)"
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", code], input=value, cwd="/", env=env, check=True, capture_output=True)
+
+
 def test_pipeline_matches_stages_applied_by_hand(spark):
     docs = table(spark, DATA, "documents")
     labels, benchmark = table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
