@@ -323,8 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     codes, n = frequencies(docs.select(F.col(text_col).alias("text")), least)
     drawn = drawn.select("id", "label", "text", F.xxhash64("text").alias("hash"))
     known = _counted(drawn, f"id {kind}, label int, hash long").toArrow().sort_by([("label", "ascending"), ("hash", "ascending"), ("id", "ascending")]).combine_chunks()  # the bounded sample
-    texts = [np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in known.column(c))]) for c in ("terms", "counts")]
-    sizes = np.array([len(x) for x in known.column("terms")], np.int64)
+    texts = [np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy() for x in known.column(c).chunks)]) for c in ("terms", "counts")]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy() for x in known.column("terms").chunks)]).astype(np.int64)
     marks, names, y = known.column("hash").to_numpy(), known.column("id").to_pylist(), known.column("label").to_numpy().astype(float)
 
     def some(rows: np.ndarray) -> list[np.ndarray]:
@@ -337,13 +337,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         vectors, light = weights.rows(terms, counts, cuts)
         return Index(weights, [names[k] for k in np.flatnonzero(rows)], y[rows], vectors, weight, k, light=light, others=weights.columns - weights.dense)
 
+    part = (marks.view(np.uint64) % np.uint64(folds)).astype(int)  # equal texts stay together
+
+    def votes_of(f: int) -> np.ndarray:
+        other = index(part != f)
+        return other.vote(*other.of(*some(part == f)))
+
+    votes = np.zeros(len(y))
+    if 0 < y.sum() < len(y):
+        for f in np.unique(part).tolist():
+            votes[part == f] = votes_of(f)  # one index at a time is held
     whole = index(np.ones(len(y), bool))
     if 0 < y.sum() < len(y):
-        part, votes = (marks.view(np.uint64) % np.uint64(folds)).astype(int), np.zeros(len(y))  # equal texts stay together
-        for f in range(folds):
-            if (part == f).any():
-                other = index(part != f)
-                votes[part == f] = other.vote(*other.of(*some(part == f)))
         whole.calibrate(votes, y)
     return whole
 
