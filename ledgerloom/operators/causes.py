@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import rate
-
 
 def vote_latency(votes: DataFrame, steady_ms: int = 2500) -> DataFrame:
     """Of each master: delays against the first vote of the ledger, and whether they are a steady offset."""
@@ -76,12 +74,27 @@ def signature_cohort(incidents: DataFrame, tags: DataFrame) -> DataFrame:
     return n.join(tags.distinct(), "ledger").groupBy("tag").agg(F.count("*").alias("ledgers"), F.percentile(F.col("k"), 0.5).alias("median"), F.max("k").alias("largest"))
 
 
-def health_alerts(daily: DataFrame, floor: float, least: int) -> DataFrame:
-    """daily (master, day, ok, total): days whose agreement is below floor, or dropped by half, with enough votes."""
-    w = Window.partitionBy("master").orderBy("day")
-    a = daily.withColumn("agreement", rate(F.col("ok"), F.col("total"))).withColumn("before", F.lag("agreement").over(w))
-    alerts = F.array_compact(F.array(F.when(F.col("agreement") < floor, "low-agreement"), F.when(F.col("agreement") < 0.5 * F.col("before"), "drop")))
-    return a.where(F.col("total") >= least).withColumn("alert", F.explode(alerts)).select("master", "day", "alert", F.round("agreement", 6).alias("agreement"))
+def health_alerts(info: DataFrame, at: str, least: int = 200, score: float = 0.95, missed: float = 0.05) -> DataFrame:
+    """(master, at, alert, severity, value, threshold) of the snapshots of each master.
+
+    info: (master, at, revoked, score, missed, total, incomplete, signing_key, list). Scores count from
+    `least` votes on and if complete; keys and lists are compared with the snapshot just before.
+    """
+    c, w = F.col, Window.partitionBy("master").orderBy(at)
+    sound = (c("total") >= least) & ~F.coalesce("incomplete", F.lit(False))
+    share, none = c("missed") / F.nullif("total", F.lit(0)), F.lit(None).cast("double")
+
+    def alert(test, name: str, severity: str = "suspect", value=none, threshold=none):
+        return F.when(test, F.struct(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), value.alias("value"), threshold.cast("double").alias("threshold")))
+
+    alerts = F.array(
+        alert(c("revoked"), "validator-revoked", "malicious"),
+        alert(sound & (c("score") < score), "agreement-drop", "suspect", c("score"), F.lit(score)),
+        alert(sound & (share > missed), "missed-surge", "suspect", F.round(share * 1000) / 10, F.lit(missed * 100)),
+        alert(c("signing_key") != F.lag("signing_key").over(w), "signing-key-rotated"),
+        alert(c("list") != F.lag("list").over(w), "unl-membership-changed"),
+    )
+    return info.withColumn("found", F.array_compact(alerts)).select("master", at, F.explode("found").alias("x")).select("master", at, "x.*")
 
 
 def audit(checks: dict[str, DataFrame]) -> DataFrame:

@@ -90,16 +90,53 @@ def retrace(incidents: DataFrame, network: int = 5) -> DataFrame:
     return incidents.join(by, "ledger").select("ledger", "master", "t_ms", "type", scope.alias("scope"), *peers)
 
 
-#: What to check for a tag's family.
-GUIDANCE = {"load": "capacity", "close": "clock and network", "hash": "software version", "no-quorum": "reachability of peers"}
-
-
-def guidance(tags: DataFrame) -> DataFrame:
-    """(tag, check): what the tag's family asks to be checked, in the catalog's order; others: logs."""
-    out = F.lit("logs")
-    for family, check in reversed(GUIDANCE.items()):
-        out = F.when(F.col("tag").startswith(family), check).otherwise(out)
-    return tags.select("tag", out.alias("check"))
+#: What a tag of the ledger asks to be checked.
+GUIDANCE = {
+    "hash-split": "report-split",
+    "load-spike": "load-backlog",
+    "load-extreme": "load-backlog",
+    "amendment-activity": "version-state",
+    "unl-change": "unl-membership",
+    "new-tx-type": "parser-version",
+    "quorum-thin": "quorum-margin",
+    "drainer-fanout": "attack-drainer",
+    "sweep-window": "attack-drainer",
+    "sender-burst": "attack-burst",
+    "offer-flood": "attack-spam",
+    "nft-spam": "attack-spam",
+    "account-create-burst": "attack-spam",
+    "failure-spike": "attack-failed-tx",
+    "batch-amplify": "attack-amplify",
+    "fee-spike": "attack-fee",
+    "feature-change": "version-state",
+    "vote-late": "late-signing-path",
+}
+
+
+def guidance(incidents: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """(ledger, master, type, check): what to look at next, each check once.
+
+    incidents: (ledger, master, type, scope, closed), closed null where it is not known; hypotheses:
+    (ledger, master, tag, strength, continuous). A stall of the network is only suspected where the
+    ledger is known not to have closed, or at a gap within a continuous index.
+    """
+    c = F.col
+    table = F.create_map(*(F.lit(x) for pair in GUIDANCE.items() for x in pair))
+    by_tag = F.when(c("tag").startswith("type-burst:"), "attack-type-burst").when((c("tag") == "close-gap") & c("continuous"), "network-stall").otherwise(F.try_element_at(table, c("tag")))
+    grouped = hypotheses.groupBy("ledger", "master").agg(F.collect_set(by_tag).alias("by_tag"), F.bool_or(c("strength").isin("measured", "correlated")).alias("explained"))  # as many as there are checks at most
+    stalled = c("closed").eqNullSafe(F.lit(False))
+    own = F.array(
+        F.when(c("scope") == "network", F.when(stalled, "network-stall").otherwise("capture-window")),
+        F.when(c("scope") == "cohort", "cohort-network"),
+        F.when(c("scope") == "capture-cohort", "capture-window"),
+        F.when(c("scope") == "solo", "solo-peering"),
+        F.when(c("scope") == "solo", "solo-resources"),
+        F.when(c("type") == "wrong-hash", "version-state"),
+        F.when(~F.coalesce("explained", F.lit(False)), "unknown-cause"),
+    )
+    one = incidents.select("ledger", "master", "type", "scope", "closed").distinct().join(grouped, ["ledger", "master"], "left")
+    checks = F.array_distinct(F.concat(F.array_compact(own), F.coalesce("by_tag", F.array().cast("array<string>"))))
+    return one.withColumn("check", F.explode(checks)).select("ledger", "master", "type", "check").distinct()
 
 
 def lift_for(tags: DataFrame, risk: DataFrame) -> DataFrame:

@@ -88,11 +88,18 @@ def truth_windows(spark, sf_dir):
     return C.truth(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), now, [24, 168, 720])
 
 
-@query("votes", """WITH d AS (SELECT master, t_ms // 86400000 AS day, count(*) FILTER (type = 'ok') AS ok, count(*) AS total FROM votes GROUP BY 1, 2), a AS (SELECT *, ok / total AS ag, lag(ok / total) OVER (PARTITION BY master ORDER BY day) AS b FROM d)
-    SELECT master, day, 'low-agreement' AS alert, round(ag, 6) AS agreement FROM a WHERE total >= 2 AND ag < 0.4 UNION ALL SELECT master, day, 'drop', round(ag, 6) FROM a WHERE total >= 2 AND ag < 0.5 * b""")
+@query("votes", """WITH d AS (SELECT master, t_ms // 86400000 AS day, count(*) FILTER (type = 'ok') AS ok, count(*) FILTER (type = 'missed') AS missed, count(*) AS total, max(type) AS k, min(type) AS l FROM votes GROUP BY 1, 2),
+    a AS (SELECT *, k <> lag(k) OVER w AS rotated, l <> lag(l) OVER w AS moved FROM d WINDOW w AS (PARTITION BY master ORDER BY day))
+    SELECT master, day, 'validator-revoked' AS alert, 'malicious' AS severity, NULL::double AS value, NULL::double AS threshold FROM a WHERE missed = total
+    UNION ALL SELECT master, day, 'agreement-drop', 'suspect', ok / total, 0.95::double FROM a WHERE total >= 2 AND ok / total < 0.95
+    UNION ALL SELECT master, day, 'missed-surge', 'suspect', round(missed / total * 1000) / 10, 5.0::double FROM a WHERE total >= 2 AND missed / total > 0.05
+    UNION ALL SELECT master, day, 'signing-key-rotated', 'suspect', NULL, NULL FROM a WHERE rotated UNION ALL SELECT master, day, 'unl-membership-changed', 'suspect', NULL, NULL FROM a WHERE moved""")
 def health_alerts(spark, sf_dir):
-    daily = V.votes(spark, sf_dir).groupBy("master", F.expr("t_ms DIV 86400000").alias("day")).agg(F.count_if(F.col("type") == "ok").alias("ok"), F.count("*").alias("total"))
-    return C.health_alerts(daily, 0.4, 2)
+    """A day is a snapshot: its last type by name stands for the key, its first for the list; all missed: revoked."""
+    t = F.col("type")
+    daily = V.votes(spark, sf_dir).groupBy("master", F.expr("t_ms DIV 86400000").alias("day")).agg(F.count_if(t == "ok").alias("ok"), F.count_if(t == "missed").alias("missed"), F.count("*").alias("total"), F.max("type").alias("signing_key"), F.min("type").alias("list"))
+    info = daily.withColumn("score", F.col("ok") / F.col("total")).withColumn("revoked", F.col("missed") == F.col("total")).withColumn("incomplete", F.lit(False))
+    return C.health_alerts(info, "day", least=2)
 
 
 @query("ev", """WITH i AS (SELECT event_id, user_id, t_ms FROM ev WHERE event_type = 'error'), s AS (SELECT user_id, t_ms, event_id AS snapshot FROM ev WHERE event_type = 'signup')

@@ -97,9 +97,19 @@ def retrace(spark, sf_dir):
     return E.retrace(V.incident(spark, sf_dir))
 
 
-@query("votes", CELL + """ SELECT tag, CASE WHEN starts_with(tag, 'load') THEN 'capacity' WHEN starts_with(tag, 'close') THEN 'clock and network' WHEN starts_with(tag, 'hash') THEN 'software version' WHEN starts_with(tag, 'no-quorum') THEN 'reachability of peers' ELSE 'logs' END AS "check" FROM tags GROUP BY 1""")
+@query("votes incident", CELL + """, s AS (SELECT ledger, count(DISTINCT master) AS m FROM incident GROUP BY 1), o AS (SELECT DISTINCT ledger FROM votes WHERE type = 'ok'),
+    i AS (SELECT DISTINCT i.ledger, master, type, CASE WHEN s.m >= 5 THEN 'network' WHEN s.m > 1 THEN 'cohort' ELSE 'solo' END AS scope, o.ledger IS NOT NULL AS closed FROM incident i JOIN s USING (ledger) LEFT JOIN o USING (ledger)),
+    h AS (SELECT DISTINCT ledger, master, tag FROM incident JOIN tags USING (ledger))
+    SELECT ledger, master, type, 'network-stall' AS "check" FROM i WHERE scope = 'network' AND NOT closed UNION SELECT ledger, master, type, 'capture-window' FROM i WHERE scope = 'network' AND closed
+    UNION SELECT ledger, master, type, 'cohort-network' FROM i WHERE scope = 'cohort' UNION SELECT ledger, master, type, unnest(['solo-peering', 'solo-resources']) FROM i WHERE scope = 'solo'
+    UNION SELECT ledger, master, type, 'version-state' FROM i WHERE type = 'wrong-hash' UNION SELECT ledger, master, type, 'load-backlog' FROM i JOIN h USING (ledger, master) WHERE tag IN ('load-spike', 'load-extreme')
+    UNION SELECT ledger, master, type, 'unknown-cause' FROM i WHERE (ledger, master) NOT IN (SELECT (ledger, master) FROM h WHERE tag = 'load-extreme')""")
 def guidance(spark, sf_dir):
-    return E.guidance(_tags(spark, sf_dir).select("tag").distinct())
+    v, i = V.votes(spark, sf_dir), V.incident(spark, sf_dir)
+    ok = v.where("type = 'ok'").select("ledger").distinct().withColumn("closed", F.lit(True))
+    scoped = E.retrace(i).join(ok, "ledger", "left").na.fill(False, ["closed"])
+    found = i.select("ledger", "master").distinct().join(_tags(spark, sf_dir), "ledger").select("ledger", "master", "tag", F.when(F.col("tag") == "load-extreme", "measured").otherwise("context").alias("strength"), F.lit(False).alias("continuous"))
+    return E.guidance(scoped, found)
 
 
 @query("votes", CELL + """, tot AS (SELECT count(*) AS n, count(*) FILTER (failed) AS f FROM cell), gg AS (SELECT tag, count(*) AS w, count(*) FILTER (failed) AS fw FROM tags JOIN cell USING (ledger) GROUP BY 1),

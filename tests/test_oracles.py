@@ -9,7 +9,7 @@ from .conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries whose thresholds find nothing in the smallest tables.
-MAY_BE_EMPTY = {"hub_cut", "flow_paths", "thin_pool", "spoof_cycle", "nft_burst", "trust_spam", "dusting", "alone_hours", "day_holes", "wash_cycles", "sweep_window", "entity_signal", "entity_clusters", "co_failure_clusters", "transit", "offer_spam", "novel_types"}
+MAY_BE_EMPTY = {"confirmed_sweeps", "hub_cut", "flow_paths", "thin_pool", "spoof_cycle", "nft_burst", "trust_spam", "dusting", "alone_hours", "day_holes", "wash_cycles", "sweep_window", "entity_signal", "entity_clusters", "co_failure_clusters", "transit", "offer_spam", "novel_types"}
 
 
 @pytest.fixture(scope="module")
