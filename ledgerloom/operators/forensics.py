@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .parts import overlapping, placed
+
 #: Types that are counted together.
 KINDS = {
     "created": ["AccountCreate", "AccountDelete"],
@@ -14,24 +16,6 @@ KINDS = {
 }
 
 
-def placed(rows: DataFrame, order: str, width: int = 10_000) -> DataFrame:
-    """rows with `place`, their number from 0 on by the distinct column `order`.
-
-    Rows are numbered within stretches of `width` values; only the stretches' counts meet in one window.
-    """
-    cut = rows.withColumn("_cut", F.expr(f"{order} DIV {width}"))
-    before = F.sum("n").over(Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
-    offset = cut.groupBy("_cut").agg(F.count("*").alias("n")).select("_cut", F.coalesce(before, F.lit(0)).alias("_before"))
-    return cut.join(offset, "_cut").withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy("_cut").orderBy(order)) - 1).drop("_cut", "_before")
-
-
-def overlapping(rows: DataFrame, before: int, width: int = 10_000) -> DataFrame:
-    """Placed rows dealt to parts of `width` places; each part also holds the `before` rows before it, marked as guests."""
-    own = F.expr(f"place DIV {width}")
-    parts = F.array_compact(F.array(own, F.when(F.col("place") % width >= width - before, own + 1)))
-    return rows.withColumn("part", F.explode(parts)).withColumn("guest", F.col("part") != own)
-
-
 def forms(tx: DataFrame) -> DataFrame:
     """The form of each ledger of tx (ledger, hash, account, destination, type, fee, inner, failed).
 
@@ -90,9 +74,9 @@ def signatures(
     """
     c, none = F.col, F.lit(None).cast("double")
     row = Window.partitionBy("part").orderBy("place").rowsBetween(1 - base, 0)
-    numbered = placed(form, "ledger", width)
+    numbered = placed(form, "ledger", width=width)
     med = {k: F.percentile(c(k), 0.5).over(row) for k in ("n", "created", "offers", "nfts")}
-    s = overlapping(numbered, base, width).select("*", *(m.alias(f"m_{k}") for k, m in med.items())).where("NOT guest")
+    s = overlapping(numbered, base, width=width).select("*", *(m.alias(f"m_{k}") for k, m in med.items())).where("NOT guest")
     ready = c("place") + 1 >= least
 
     def hit(test, tag, value, baseline=none):
@@ -118,7 +102,7 @@ def signatures(
     at = types.withColumnRenamed("n", "k").join(numbered.select("ledger", "place"), "ledger")
     first = at.groupBy("type").agg(F.min("place").alias("first"))
     near = Window.partitionBy("type", "part").orderBy("place").rangeBetween(1 - base, 0)
-    t = overlapping(at, base, width).withColumn("near", F.sort_array(F.collect_list("k").over(near))).where("NOT guest").join(first, "type")  # `base` entries at most
+    t = overlapping(at, base, width=width).withColumn("near", F.sort_array(F.collect_list("k").over(near))).where("NOT guest").join(first, "type")  # `base` entries at most
     baseline = _median_with_zeros(F.col("near"), F.least(F.lit(base), F.col("place") - F.col("first") + 1))
     burst = t.withColumn("baseline", baseline).where(ready & (c("k") >= of_type) & (c("baseline") > 0) & (c("k") >= ratio * c("baseline")))
     return plain.unionByName(burst.select("ledger", F.concat(F.lit("type-burst:"), "type").alias("tag"), c("k").cast("double").alias("value"), "baseline"))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .parts import overlapping, placed
 
-def detect_patterns(samples: DataFrame, by: str, base: int = 60, least: int = 10, spike_tx: int = 50, spike: float = 3.0, gap_ms: int = 15_000, gap: float = 4.0, burst_findings: int = 5, burst: float = 4.0) -> DataFrame:
+
+def detect_patterns(samples: DataFrame, by: str, base: int = 60, least: int = 10, spike_tx: int = 50, spike: float = 3.0, gap_ms: int = 15_000, gap: float = 4.0, burst_findings: int = 5, burst: float = 4.0, width: int = 10_000) -> DataFrame:
     """Patterns of ledger samples (by, ledger, close_ms, tx_count, findings) against the `base` samples before each.
 
     One row a pattern: by, ledger, type (load-spike, close-gap, fund-burst), value, baseline. Gaps count
-    between consecutive ledgers only. Networks (`by`) are independent partitions.
+    between consecutive ledgers only. Networks (`by`) are independent; a network's samples lie in parts of
+    `width` that overlap by the baseline.
     """
-    order = Window.partitionBy(by).orderBy("ledger")
+    samples = overlapping(placed(samples, "ledger", (by,), width), base, width)
+    order = Window.partitionBy(by, "part").orderBy("ledger")
     before, inner = order.rowsBetween(-base, -1), order.rowsBetween(1 - base, -1)
     gaps = samples.withColumn("gap", F.when(F.lag("ledger").over(order) == F.col("ledger") - 1, F.col("close_ms") - F.lag("close_ms").over(order)))
     median = lambda c, w: F.percentile(F.col(c), 0.5).over(w)
-    known = gaps.withColumn("positive", F.when(F.col("gap") > 0, F.col("gap"))).select("*", F.count("*").over(before).alias("n"), median("tx_count", before).alias("m_tx"), median("positive", inner).alias("m_gap"), median("findings", before).alias("m_f")).where(F.col("n") >= least)
+    known = gaps.withColumn("positive", F.when(F.col("gap") > 0, F.col("gap"))).select("*", F.count("*").over(before).alias("n"), median("tx_count", before).alias("m_tx"), median("positive", inner).alias("m_gap"), median("findings", before).alias("m_f")).where((F.col("n") >= least) & ~F.col("guest"))
     c = F.col
     tests = [
         ("load-spike", c("tx_count"), c("m_tx"), (c("tx_count") >= spike_tx) & (c("tx_count") >= spike * c("m_tx"))),
@@ -38,9 +42,10 @@ def shapes(tx: DataFrame, ledger: str) -> DataFrame:
     return out.join(received, ledger).select(ledger, "tx_count", "senders", "receivers", F.col("busy.account").alias("busiest"), F.col("busy.sent").alias("busiest_tx"), F.col("wide.account").alias("widest"), F.col("wide.dests").alias("fan_out"))
 
 
-def signatures(shape: DataFrame, by: str, base: int = 60, least: int = 10, fan_dests: int = 8, fan_tx: int = 10, burst_tx: int = 25, burst_share: float = 0.4, spike_tx: int = 50, spike: float = 3.0, extreme: float = 10.0) -> DataFrame:
-    """Shapes with their signatures as an array; the baseline takes the last `base` ledgers, the current one included."""
-    w = Window.partitionBy(by).orderBy("ledger").rowsBetween(1 - base, 0)
+def signatures(shape: DataFrame, by: str, base: int = 60, least: int = 10, fan_dests: int = 8, fan_tx: int = 10, burst_tx: int = 25, burst_share: float = 0.4, spike_tx: int = 50, spike: float = 3.0, extreme: float = 10.0, width: int = 10_000) -> DataFrame:
+    """Shapes with their signatures as an array; the baseline takes the last `base` ledgers, the current one included, across overlapping parts."""
+    shape = overlapping(placed(shape, "ledger", (by,), width), base, width)
+    w = Window.partitionBy(by, "part").orderBy("ledger").rowsBetween(1 - base, 0)
     s = shape.withColumn("n", F.count("*").over(w)).withColumn("median_tx", F.percentile(F.col("tx_count"), 0.5).over(w))
     c, known = F.col, F.col("n") >= least
     spiked = known & (c("tx_count") >= spike_tx)
@@ -51,7 +56,7 @@ def signatures(shape: DataFrame, by: str, base: int = 60, least: int = 10, fan_d
             F.when(spiked & (c("tx_count") >= extreme * c("median_tx")), "load-extreme").when(spiked & (c("tx_count") >= spike * c("median_tx")), "load-spike"),
         )
     )
-    return s.withColumn("signatures", found).drop("n")
+    return s.withColumn("signatures", found).where("NOT guest").drop("n", "place", "part", "guest")
 
 
 def sweeps(tx: DataFrame, least: int = 12, window: int = 12) -> DataFrame:
@@ -99,10 +104,11 @@ def tag_patterns(incidents: DataFrame, tags: DataFrame) -> DataFrame:
     return incidents.join(tags, "ledger").groupBy("tag").agg(F.count("*").alias("incidents"), F.countDistinct("master").alias("masters"), F.countDistinct("ledger").alias("ledgers"))
 
 
-def index_gaps(ledgers: DataFrame, by: str) -> DataFrame:
-    """(by, from_ledger, to_ledger) of every jump of the index."""
-    w = Window.partitionBy(by).orderBy("ledger")
-    return ledgers.select(by, "ledger").distinct().withColumn("before", F.lag("ledger").over(w)).where("ledger - before > 1").select(by, (F.col("before") + 1).alias("from_ledger"), (F.col("ledger") - 1).alias("to_ledger"))
+def index_gaps(ledgers: DataFrame, by: str, width: int = 10_000) -> DataFrame:
+    """(by, from_ledger, to_ledger) of every jump of the index. Each part of `width` ledgers knows the last one before it."""
+    one = overlapping(placed(ledgers.select(by, "ledger").distinct(), "ledger", (by,), width), 1, width)
+    w = Window.partitionBy(by, "part").orderBy("ledger")
+    return one.withColumn("before", F.lag("ledger").over(w)).where("NOT guest AND ledger - before > 1").select(by, (F.col("before") + 1).alias("from_ledger"), (F.col("ledger") - 1).alias("to_ledger"))
 
 
 def first_types(tx: DataFrame, established: list[str], after: int) -> DataFrame:

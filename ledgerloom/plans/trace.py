@@ -22,7 +22,7 @@ def _samples(spark, sf_dir):
     UNION ALL SELECT network, ledger, 'close-gap', gap, m_gap FROM m WHERE n >= 10 AND m_gap > 0 AND gap >= 15000 AND gap >= 1.5 * m_gap
     UNION ALL SELECT network, ledger, 'fund-burst', findings, m_f FROM m WHERE n >= 10 AND findings >= 2 AND findings >= 2 * m_f""")
 def detect_patterns(spark, sf_dir):
-    return T.detect_patterns(_samples(spark, sf_dir), "network", spike_tx=4, spike=2.0, gap=1.5, burst_findings=2, burst=2.0)
+    return T.detect_patterns(_samples(spark, sf_dir), "network", spike_tx=4, spike=2.0, gap=1.5, burst_findings=2, burst=2.0, width=100)
 
 
 SHAPE = """WITH h AS (SELECT t_ms // 3600000 AS ledger, account, destination FROM handoff), p AS (SELECT ledger, account, destination, count(*) AS n FROM h GROUP BY 1, 2, 3),
@@ -40,11 +40,11 @@ def tx_shape(spark, sf_dir):
     return _shape(spark, sf_dir)
 
 
-@query("handoff", SHAPE + """, d AS (SELECT *, ledger // 240 AS part FROM shape), m AS (SELECT *, count(*) OVER w AS n, median(tx_count) OVER w AS med FROM d WINDOW w AS (PARTITION BY part ORDER BY ledger ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+@query("handoff", SHAPE + """, m AS (SELECT *, count(*) OVER w AS n, median(tx_count) OVER w AS med FROM shape WINDOW w AS (ORDER BY ledger ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
     SELECT ledger, tx_count, cast(med AS double) AS median_tx, concat_ws(',', CASE WHEN fan_out >= 2 AND busiest_tx >= 3 THEN 'drainer-fanout' END, CASE WHEN busiest_tx >= 3 AND busiest_tx >= 0.2 * tx_count THEN 'sender-burst' END,
       CASE WHEN n >= 10 AND tx_count >= 5 AND tx_count >= 10 * med THEN 'load-extreme' WHEN n >= 10 AND tx_count >= 5 AND tx_count >= 1.4 * med THEN 'load-spike' END) AS signatures FROM m""")
 def shape_signatures(spark, sf_dir):
-    s = T.signatures(_shape(spark, sf_dir).withColumn("part", F.expr("ledger DIV 240")), "part", fan_dests=2, fan_tx=3, burst_tx=3, burst_share=0.2, spike_tx=5, spike=1.4)
+    s = T.signatures(_shape(spark, sf_dir).withColumn("network", F.lit("main")), "network", width=100, fan_dests=2, fan_tx=3, burst_tx=3, burst_share=0.2, spike_tx=5, spike=1.4)
     return s.select("ledger", "tx_count", "median_tx", F.concat_ws(",", "signatures").alias("signatures"))
 
 
