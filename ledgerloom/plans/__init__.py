@@ -1,4 +1,4 @@
 """Queries over the driver tables, each with its SQL oracle where SQL can express it."""
 
-from . import context, forensics, money, more, reports, rest, serving, trace  # noqa: F401
+from . import context, evaluation, forensics, money, more, reports, rest, serving, trace  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
