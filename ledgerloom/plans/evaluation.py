@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..sources import views as V
+from ..streaming.evaluation import ledger_join
 from .registry import query
 
 GRACE, RING, HISTORY, LEAST, SHARE = 1_500_000, 2, 12, 5, 0.3
@@ -83,3 +84,17 @@ def late_ring(spark, sf_dir):
     """Members' votes after their ledger was due, within the ring of later ledgers or outside."""
     j, votes, members = _judged(spark, sf_dir)
     return E.late(j, votes, members, RING).drop("network")
+
+
+@query("ev", SQL + f""", vi AS (SELECT v.ledger, v.master, arg_max(v.hash, (t_ms, v.hash)) AS voted, any_value(c.hash) AS hash FROM v JOIN c USING (ledger) WHERE t_ms BETWEEN close_ms - 1200000 AND close_ms + 1500000 GROUP BY 1, 2),
+    ta AS (SELECT ledger, count(*) AS voters, count(*) FILTER (voted = hash) AS agreeing FROM vi GROUP BY 1),
+    x AS (SELECT hour AS ledger, concat('U', user_id) AS account, concat('H', hour, '-', user_id, '-', event_id % 2) AS tx_hash, cast(round(value * 100) AS bigint) AS drops, t_ms FROM e WHERE event_type <> 'view'),
+    xi AS (SELECT ledger, account, tx_hash, max(drops) AS drops FROM x JOIN c USING (ledger) WHERE t_ms BETWEEN close_ms - 1200000 AND close_ms + 1500000 GROUP BY 1, 2, 3),
+    sh AS (SELECT ledger, count(*) AS tx_count, count(DISTINCT account) AS senders, cast(sum(drops) AS bigint) AS drops FROM xi GROUP BY 1)
+    SELECT c.ledger, c.hash, coalesce(voters, 0) AS voters, coalesce(agreeing, 0) AS agreeing, coalesce(sh.tx_count, 0) AS tx_count, coalesce(senders, 0) AS senders, coalesce(drops, 0) AS drops FROM c LEFT JOIN ta USING (ledger) LEFT JOIN sh USING (ledger)""")
+def ledger_streams(spark, sf_dir):
+    """The join of the vote, close and transaction streams, here over tables."""
+    closes, votes, *_ = _inputs(spark, sf_dir)
+    e = V.events(spark, sf_dir).where("event_type <> 'view'").withColumn("hour", F.expr(f"t_ms DIV {_HOUR}"))
+    txs = e.select(F.lit("main").alias("network"), F.col("hour").alias("ledger"), F.concat(F.lit("H"), "hour", F.lit("-"), "user_id", F.lit("-"), F.col("event_id") % 2).alias("tx_hash"), F.concat(F.lit("U"), "user_id").alias("account"), F.round(F.col("value") * 100).cast("bigint").alias("amount_drops"), "t_ms")
+    return ledger_join(closes, votes, txs, "20 minutes", "25 minutes").drop("network", "closed_at")

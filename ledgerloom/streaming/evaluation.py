@@ -106,3 +106,36 @@ def evaluated_stream(closes: DataFrame, votes: DataFrame, members: list[str], gr
     """
     rows = tagged(closes, votes, delay)
     return rows.groupBy("network", "ledger").transformWithState(Evaluator(members, grace_ms, keep_ms), OUT, "Append", "EventTime")
+
+
+def ledger_join(closes: DataFrame, votes: DataFrame, txs: DataFrame, before: str = "60 seconds", grace: str = "20 seconds", delays: tuple[str, str, str] = ("5 seconds", "5 seconds", "5 seconds")) -> DataFrame:
+    """Each close with its votes and its transactions: (network, ledger, closed_at, hash, voters, agreeing, tx_count, senders, drops).
+
+    Three streams, or three tables, in any mixture: votes and transactions are joined to the close of their ledger within
+    an interval around it, so each side's state ends with the watermarks. Of a member's votes in the interval the
+    last counts, a transaction hash counts once, and sides without rows give zeros. txs: (network, ledger, tx_hash, account,
+    amount_drops, t_ms). Closes with the same ledger and time are one if their hashes are equal.
+    """
+    key = ["network", "ledger"]
+    at = lambda df, col, name, delay: df.withColumn(name, F.timestamp_millis(col)).withWatermark(name, delay)
+    c = at(closes.select(*key, "hash", "close_ms"), "close_ms", "closed_at", delays[0]).drop("close_ms")
+    near = lambda own: (F.col(own) >= F.col("closed_at") - F.expr(f"interval {before}")) & (F.col(own) <= F.col("closed_at") + F.expr(f"interval {grace}"))
+    side = lambda df, own: [F.col(k) == F.col(f"{own}_{k}") for k in key]
+    close = [*key, "closed_at", "hash"]
+
+    v = at(votes.select(F.col("network").alias("v_network"), F.col("ledger").alias("v_ledger"), "master", F.col("hash").alias("voted"), "t_ms"), "t_ms", "voted_at", delays[1])
+    cond = side(v, "v")
+    voted = c.join(v, cond[0] & cond[1] & near("voted_at"), "leftOuter")
+    last = voted.groupBy(*close, "master").agg(F.max(F.struct("voted_at", "voted")).alias("last"))
+    tally = last.groupBy(*close).agg(F.count("master").alias("voters"), F.count(F.when(F.col("last.voted") == F.col("hash"), 1)).alias("agreeing"))
+
+    x = at(txs.select(F.col("network").alias("x_network"), F.col("ledger").alias("x_ledger"), "tx_hash", "account", "amount_drops", "t_ms"), "t_ms", "sent_at", delays[2])
+    cond = side(x, "x")
+    sent = c.join(x, cond[0] & cond[1] & near("sent_at"), "leftOuter")
+    once = sent.groupBy(*close, "account", "tx_hash").agg(F.max("amount_drops").alias("drops"))
+    by_sender = once.groupBy(*close, "account").agg(F.count("tx_hash").alias("n"), F.sum("drops").alias("drops"))
+    shape = by_sender.groupBy(*close).agg(F.sum("n").alias("tx_count"), F.count("account").alias("senders"), F.coalesce(F.sum("drops"), F.lit(0)).alias("drops"))
+    # The last join is on the close's own time, which bounds its state; hashes may be null.
+    right = shape.select(F.col("network").alias("s_network"), F.col("ledger").alias("s_ledger"), F.col("closed_at").alias("s_at"), F.col("hash").alias("s_hash"), "tx_count", "senders", "drops")
+    both = tally.join(right, (F.col("network") == F.col("s_network")) & (F.col("ledger") == F.col("s_ledger")) & (F.col("closed_at") == F.col("s_at")) & F.col("hash").eqNullSafe(F.col("s_hash")))
+    return both.select(*close, "voters", "agreeing", "tx_count", "senders", "drops")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluation as E
-from ledgerloom.streaming.evaluation import evaluated_stream
+from ledgerloom.streaming.evaluation import evaluated_stream, ledger_join
 
 CLOSES = "network string, ledger long, hash string, close_ms long, tx_count long"
 VOTES = "network string, ledger long, master string, hash string, full boolean, t_ms long"
@@ -168,3 +168,29 @@ def test_stream_equals_batch(spark, tmp_path):
         assert mine[:2] == theirs[:2] and mine[1] and sorted(mine[2]) == sorted(theirs[2])
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+TXS = "network string, ledger long, tx_hash string, account string, amount_drops long, t_ms long"
+
+
+def test_three_streams_join_as_tables_do(spark, tmp_path):
+    """Votes, closes and transactions in files of shuffled order give the batch join's rows once the watermarks are past them."""
+    r = random.Random(7)
+    closes, votes = history(9, 30)
+    closes = [c for c in closes for _ in range(2 if c[1] % 9 == 0 else 1)]  # some come twice
+    txs = [("main", c[1], f"t{c[1]}-{k % 7}", f"a{k % 3}", 10 * k if k % 7 else None, c[3] - r.choice([0, 500, 59_000, 61_000])) for c in closes if c[1] % 4 for k in range(r.randint(0, 9))]
+    sides = {"c": (closes, CLOSES, 3), "v": (votes, VOTES, 5), "x": (txs, TXS, 5)}
+    tables = [spark.createDataFrame(rows, schema) for rows, schema, _ in sides.values()]
+    want = sorted(map(str, ledger_join(*tables).collect()))
+    assert len(want) == len({c[1:4] for c in closes}) and any("tx_count=0" in w for w in want) and any("voters=0" not in w for w in want)
+    streams = []
+    for tag, (rows, schema, at) in sides.items():
+        far = {"c": ("other", 1, "h", 10**9, 1), "v": ("other", 1, "m", "h", True, 10**9), "x": ("other", 1, "t", "a", 1, 10**9)}[tag]
+        order = sorted(rows, key=lambda x: x[at] + r.randint(0, 4000))
+        for part in (order[: len(order) // 2], order[len(order) // 2 :], [far]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / tag))
+        streams.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / tag)))
+    q = ledger_join(*streams, delays=("100 seconds",) * 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).where("network = 'main'").collect())) == want
