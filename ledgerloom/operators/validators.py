@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import erfc, p_two_sided, rate, two_proportion_z
-from .iterate import components
+from .iterate import components, kept
+from .order_stats import percentile_row, ranked_values
 
 
 def failure_runs(incidents: DataFrame, strong: int = 3) -> DataFrame:
@@ -84,13 +85,13 @@ def load_curve(ledgers: DataFrame) -> DataFrame:
 def peer_benchmark(votes: DataFrame, outlier: float = 4.0, least: int = 10) -> DataFrame:
     """Of each master: own rate, pooled rate of its peers, mid-rank among them, binomial z with continuity, p, verdict.
 
-    The sorted rates of all masters travel as one row; peers are found by leaving out the own value.
+    Ranks come from the histogram of rates with prefix counts, so no task holds all masters; what is broadcast is one row.
     """
-    own = votes.groupBy("master").agg(F.count("*").alias("n"), F.count_if(F.col("type") != "ok").alias("f")).withColumn("rate", F.col("f") / F.col("n"))
-    all_ = own.agg(F.sum("n").alias("all_n"), F.sum("f").alias("all_f"), F.collect_list("rate").alias("rates"), F.percentile(F.col("rate"), 0.9).alias("p90"))
-    j = own.crossJoin(F.broadcast(all_))
-    below, equal = F.size(F.filter("rates", lambda x: x < F.col("rate"))), F.size(F.filter("rates", lambda x: x == F.col("rate"))) - 1
-    j = j.withColumn("mid_rank", F.round((below + 0.5 * equal) / F.greatest(F.lit(1), F.size("rates") - 1), 6))  # apart from the rounded alias of rate
+    own = kept(votes.groupBy("master").agg(F.count("*").alias("n"), F.count_if(F.col("type") != "ok").alias("f")).withColumn("rate", F.col("f") / F.col("n")))
+    ranked = kept(ranked_values(own.select("rate"), [], "rate"))
+    all_ = own.agg(F.sum("n").alias("all_n"), F.sum("f").alias("all_f")).crossJoin(F.broadcast(percentile_row(ranked, "rate", 0.9, "p90")))  # one row each
+    j = own.join(ranked.select("rate", F.col("n").alias("equal"), "below"), "rate").crossJoin(F.broadcast(all_))
+    j = j.withColumn("mid_rank", F.round((F.col("below") + 0.5 * (F.col("equal") - 1)) / F.greatest(F.lit(1), F.col("total") - 1), 6))
     p = (F.col("all_f") - F.col("f")) / (F.col("all_n") - F.col("n"))
     z = (F.col("f") - F.col("n") * p - 0.5) / F.sqrt(F.col("n") * p * (1 - p))
     verdict = F.when((F.col("rate") > F.col("p90")) & (z >= outlier) & (F.col("f") >= least), "outlier").when(F.col("rate") > F.col("p90"), "elevated").otherwise("baseline")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as E
+from ..operators import criticality as C, evaluation as E
 from ..sources import views as V
 from ..streaming.evaluation import ledger_join
 from .registry import query
@@ -98,3 +98,34 @@ def ledger_streams(spark, sf_dir):
     e = V.events(spark, sf_dir).where("event_type <> 'view'").withColumn("hour", F.expr(f"t_ms DIV {_HOUR}"))
     txs = e.select(F.lit("main").alias("network"), F.col("hour").alias("ledger"), F.concat(F.lit("H"), "hour", F.lit("-"), "user_id", F.lit("-"), F.col("event_id") % 2).alias("tx_hash"), F.concat(F.lit("U"), "user_id").alias("account"), F.round(F.col("value") * 100).cast("bigint").alias("amount_drops"), "t_ms")
     return ledger_join(closes, votes, txs, "20 minutes", "25 minutes").drop("network", "closed_at")
+
+
+CRITICAL = SQL + """, kd AS (SELECT *, close_ms // 86400000 AS day FROM k), cap AS (SELECT t_ms AS at_ms, min(event_type) AS kind FROM e WHERE event_id % 53 = 0 GROUP BY 1),
+    dc AS (SELECT a.ledger, count(x.ledger) AS dn, median(x.votes) AS dm FROM kd a LEFT JOIN kd x ON x.day = a.day AND x.ledger <> a.ledger AND x.closed AND NOT x.capture_gap AND NOT x.stream_open GROUP BY 1),
+    ne AS (SELECT ledger, arg_min(kind, (abs(at_ms - close_ms), at_ms)) AS event_kind, min(abs(at_ms - close_ms)) AS event_delta_ms FROM kd JOIN cap ON at_ms // 86400000 = day AND abs(at_ms - close_ms) <= 600000 GROUP BY 1),
+    ac AS (SELECT ledger, count(*) AS affected, count(*) FILTER (type IN ('missed', 'vote-not-observed', 'no-quorum')) AS absent_count, list(concat(type, '|', master) ORDER BY type, master) AS who FROM i GROUP BY 1),
+    cr AS (SELECT i.ledger, i.master, i.type, votes, needed, top, margin, CASE WHEN NOT closed THEN 'not-closed' WHEN capture_gap THEN 'closed-capture-gap' WHEN closure_conflict THEN 'closed-line-conflict' WHEN has_quorum THEN 'closed-quorum-observed' WHEN reception_thin THEN 'closed-reception-thin' ELSE 'closed-observation-gap' END AS verdict,
+        NOT closed AND needed > 0 AND margin <= 1 AS critical, coalesce(coverage_baseline, CASE WHEN dn >= 5 THEN dm END) AS coverage_level, CASE WHEN coverage_baseline IS NOT NULL THEN 'recorded' WHEN dn >= 5 THEN 'day' END AS coverage_basis, CASE WHEN coverage_baseline IS NULL AND dn >= 5 THEN dn END AS coverage_samples,
+        CASE WHEN closed AND needed > 0 THEN top >= needed END AS capture_complete, CASE WHEN closed AND needed > 0 THEN greatest(0, absent_count - genuine_absent_max) END AS capture_artifact_min, event_kind, event_delta_ms, affected,
+        array_to_string(list_filter(who, lambda x: NOT ends_with(x, concat('|', i.master))), ',') AS others
+        FROM i JOIN kd ON kd.ledger = i.ledger JOIN dc ON dc.ledger = i.ledger JOIN ac ON ac.ledger = i.ledger LEFT JOIN ne ON ne.ledger = i.ledger)"""
+
+
+def _critical(spark, sf_dir):
+    j, _, members = _judged(spark, sf_dir)
+    captures = V.events(spark, sf_dir).where("event_id % 53 = 0").select(F.lit("main").alias("network"), F.col("event_type").alias("kind"), F.col("t_ms").alias("at_ms"))
+    return C.criticality(j, E.incidents(j, members), captures, near_ms=600_000, least=LEAST)
+
+
+@query("ev", CRITICAL + " SELECT * FROM cr")
+def quorum_criticality(spark, sf_dir):
+    """Each incident's verdict chain, coverage without its own ledger, nearest capture event and the others concerned."""
+    r = _critical(spark, sf_dir).withColumn("others", F.array_join(F.zip_with("affected_types", "affected_masters", lambda t, m: F.concat(t, F.lit("|"), m)), ","))
+    return r.select("ledger", "master", "type", "votes", "needed", "top", "margin", "verdict", "critical", "coverage_level", "coverage_basis", "coverage_samples", "capture_complete", "capture_artifact_min", "event_kind", "event_delta_ms", "affected", "others")
+
+
+@query("ev", CRITICAL + """ SELECT master, count(*) AS checked, count(*) FILTER (critical) AS critical, count(*) FILTER (verdict <> 'not-closed') AS closed, count(*) FILTER (verdict = 'closed-capture-gap') AS capture_gaps, count(*) FILTER (verdict = 'closed-reception-thin') AS reception_thin,
+    count(*) FILTER (event_kind IS NOT NULL) AS near_events, count(*) FILTER (NOT capture_complete) AS capture_incomplete, cast(coalesce(sum(capture_artifact_min), 0) AS bigint) AS artifact_min, count(*) FILTER (NOT critical) AS follow_on FROM cr GROUP BY 1""")
+def criticality_summary(spark, sf_dir):
+    """Each member's incidents by verdict."""
+    return C.summary(_critical(spark, sf_dir)).drop("network")
