@@ -46,7 +46,7 @@ def live_branches(spark, sf_dir):
     return r.groupBy("branch", "risk", "reason", "honeypot").agg(F.count("*").alias("events"), F.countDistinct("address").alias("addresses"))
 
 
-@query("txn", SQL + """, k AS (SELECT * FROM r WHERE address IS NOT NULL),
+@query("txn", SQL + """, k AS (SELECT * FROM r WHERE address IS NOT NULL QUALIFY row_number() OVER (PARTITION BY address, hash ORDER BY t_ms, reason, honeypot) = 1),
     x AS (SELECT address, bool_or(risk = 'malicious') FILTER (t_ms < 103680000000) AS early_bad, arg_min(reason, (t_ms, hash, reason, honeypot)) FILTER (t_ms < 103680000000 AND risk = 'malicious') AS er, arg_min(reason, (t_ms, hash, reason, honeypot)) FILTER (risk = 'malicious') AS ar, arg_min(reason, (t_ms, hash, reason, honeypot)) AS fr,
         arg_min(honeypot, (t_ms, hash, reason, honeypot)) FILTER (t_ms < 103680000000 AND risk = 'malicious') AS eh, arg_min(honeypot, (t_ms, hash, reason, honeypot)) FILTER (risk = 'malicious') AS ah, arg_min(honeypot, (t_ms, hash, reason, honeypot)) AS fh, min(t_ms) AS first_seen_ms, count(*) AS events FROM k GROUP BY 1)
     SELECT address, CASE WHEN ar IS NOT NULL THEN 'malicious' ELSE 'suspect' END AS risk, coalesce(er, ar, fr) AS reason, coalesce(eh, ah, fh) AS honeypot, first_seen_ms, events FROM x""")
