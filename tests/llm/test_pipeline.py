@@ -16,7 +16,7 @@ from .fixtures import documents, prose, rows
 def test_names():
     import __spark_entry__
 
-    assert [f"op{n}_" for n in range(1, 11)] == [k[: k.index("_") + 1] for k in QUERIES] and "pipeline" in __spark_entry__.queries()
+    assert [f"op{n}_" for n in range(1, 14)] == [k[: k.index("_") + 1] for k in QUERIES] and "pipeline" in __spark_entry__.queries()
 
 
 def test_models_are_read_where_the_package_is_not_installed(spark):
