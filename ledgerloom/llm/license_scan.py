@@ -2,7 +2,8 @@
 
 Candidate blocks are the lines that speak of a license, alone, with the lines that follow up to a blank
 line, and with those that follow over blank lines; of very long lines the stretches around what speaks of a
-license. What stands before and after a confirmed notice in a block is searched again. A block is compressed with zstandard alone and with each template as a raw dictionary; the
+license. Where that confirms no whole notice, as many words before it as a template has there are taken in, since
+notices are wrapped: what speaks of a license may lie in a later line than the notice's begin, or over a line end. What stands before and after a confirmed notice in a block is searched again. A block is compressed with zstandard alone and with each template as a raw dictionary; the
 templates are ranked by how much smaller the block gets, and the best ones are confirmed, or not, by the
 exact differences in wording.
 """
@@ -10,8 +11,10 @@ exact differences in wording.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -47,44 +50,68 @@ TEMPLATES = [
 #: What candidate lines speak of (fixed values), in lower case.
 CUES = ["license", "licence", "copyright", "permission is hereby", "permission to use", "redistribution and use", "public domain", "free software", "released under", "released into", "under the mit", "creative commons", "cc by", "cc-by", "cc0", "gnu ", "mozilla public"]
 
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+#: What may stand between two words or parts of a word that a line end divides, such as comment signs.
+_BREAK = r"[\s/#*;>|%!-]"
+_WORD = re.compile(rf"[^\W_]+(?:(?:\.|-(?:[ \t]*\n{_BREAK}*)?)[^\W_]+)*")
+_DIVIDED = re.compile(rf"-[ \t]*\n{_BREAK}*")
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
-    """(word in lower case, from, to); points and hyphens inside a word belong to it (2.0, CC-BY)."""
-    return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+    """(word in lower case, from, to); points and hyphens inside a word belong to it (2.0, CC-BY), also at a line end after the hyphen."""
+    return [(_DIVIDED.sub("-", m[0]).lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
-def blocks(text: str, longest: int, cue: re.Pattern) -> list[tuple[int, int]]:
-    """(from, to) of candidates: every line with a cue, and the lines from it on, up to a blank line and over blank lines, about `longest` characters each.
+def cue_pattern(cues: list[str]) -> str:
+    """Any of the cues; where a cue has a space, a text may have a line end with comment signs."""
+    return "|".join(rf"{_BREAK}+".join(map(re.escape, c.split(" "))) for c in cues)
 
-    Of a line of more than twice `longest` characters every stretch of so many around a cue is a candidate.
+
+def back(text: str, at: int, words: int, longest: int) -> int:
+    """Where the `words`-th word before `at` begins, at most `longest` characters before it."""
+    low = max(0, at - longest)
+    begins = [m.start() for m in _WORD.finditer(text, low, at)][-words:] if words else []
+    return begins[0] if begins else at
+
+
+def blocks(text: str, longest: int, cue: re.Pattern) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """Of every line with a cue its candidates (from, to) and where its cues begin.
+
+    Candidates are the line, and the lines from it on, up to a blank line and over blank lines, about `longest` characters each.
+    Of a line of more than twice `longest` characters every stretch of so many around a cue is one, and wide enough. A cue that
+    a line end divides belongs to the line that it begins in.
     """
     found, lines, at = [], [], 0
     for line in text.split("\n"):
         lines.append((at, at + len(line)))
         at += len(line) + 1
-    for k, (a, b) in enumerate(lines):
+    cues: dict[int, list[int]] = {}
+    begins = [a for a, _ in lines]
+    for m in cue.finditer(text):
+        if m.end() > m.start():
+            cues.setdefault(bisect_right(begins, m.start()) - 1, []).append(m.start())
+    for k, starts in cues.items():
+        a, b = lines[k]
         if b - a > 2 * longest:
-            last = a - longest
-            for m in cue.finditer(text, a, b):
-                if m.start() >= last + longest // 4 or m.end() == m.start():
-                    last = m.start()
-                    found += [(max(0, last - longest // 2), min(len(text), last + longest)), (last, min(len(text), last + longest))]
-        elif cue.search(text, a, b):
-            found.append((a, b))
-            e = k
-            while e + 1 < len(lines) and text[lines[e + 1][0] : lines[e + 1][1]].strip() and lines[e][1] - a < longest:
-                e += 1
-            if e > k:
-                found.append((a, min(lines[e][1], a + 2 * longest)))
-            far = e
-            while far + 1 < len(lines) and lines[far][1] - a < longest:
-                far += 1
-            while far > e and not text[lines[far][0] : lines[far][1]].strip():
-                far -= 1
-            if far > e:
-                found.append((a, min(lines[far][1], a + 2 * longest)))
+            last, some = a - longest, []
+            for start in starts:
+                if start >= last + longest // 4:
+                    last = start
+                    some += [(max(0, last - longest // 2), min(len(text), last + longest)), (last, min(len(text), last + longest))]
+            found.append((some, []))
+            continue
+        some, e = [(a, b)], k
+        while e + 1 < len(lines) and text[lines[e + 1][0] : lines[e + 1][1]].strip() and lines[e][1] - a < longest:
+            e += 1
+        if e > k:
+            some.append((a, min(lines[e][1], a + 2 * longest)))
+        far = e
+        while far + 1 < len(lines) and lines[far][1] - a < longest:
+            far += 1
+        while far > e and not text[lines[far][0] : lines[far][1]].strip():
+            far -= 1
+        if far > e:
+            some.append((a, min(lines[far][1], a + 2 * longest)))
+        found.append((some, starts))
     return found
 
 
@@ -98,6 +125,18 @@ def cues_of(templates) -> list[str]:
     return sorted(set(found), key=lambda c: (found.index(c)))
 
 
+def closest(parts: list, own: int) -> list:
+    """The stretch of equal runs of words with the highest similarity to a template of `own` words; single words far off don't stretch a notice."""
+    best = (0.0, 0, 0)
+    for i in range(len(parts)):
+        hit = 0
+        for j in range(i, len(parts)):
+            hit += parts[j].size
+            best = max(best, (2 * hit / (own + parts[j].b + parts[j].size - parts[i].b), i - j, -i))
+    i = -best[2]
+    return parts[i : i - best[1] + 1]
+
+
 class Scanner:
     """Templates with their compressors and words; cues are what candidate lines speak of."""
 
@@ -105,12 +144,15 @@ class Scanner:
         import zstandard as z
 
         self.templates, self.ranked, self.least = templates, ranked, least
-        self.cue = re.compile("|".join(map(re.escape, cues_of(templates) if cues is None else cues)), re.I)
+        self.cue = re.compile(cue_pattern(cues_of(templates) if cues is None else cues), re.I)
         self.longest = 2 * max(len(t) for _, t in templates)
         data = [t.lower().encode() for _, t in templates]
         self.alone = z.ZstdCompressor(level=3)
         self.given = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)) for d in data]
         self.words = [[w for w, _, _ in words_of(t)] for _, t in templates]
+        first = [m.start() if (m := self.cue.search(t)) else 0 for _, t in templates]
+        #: the most words that a template has before its first cue
+        self.lead = max(sum(b < f for _, b, _ in words_of(t)) for f, (_, t) in zip(first, templates))
         #: what the template itself saves: a block that saves as much holds it whole
         self.whole = [max(1, self.saved(d, k)) for k, d in enumerate(data)]
 
@@ -129,31 +171,46 @@ class Scanner:
             parts = [m for m in SequenceMatcher(None, own, [w for w, _, _ in words], autojunk=False).get_matching_blocks() if m.size]
             if not parts:
                 continue
+            parts = closest(parts, len(own))
             lo, hi = parts[0].b, parts[-1].b + parts[-1].size
             hit = sum(m.size for m in parts)
             taken = {i for m in parts for i in range(m.a, m.a + m.size)}
             inside = {i for m in parts for i in range(m.b, m.b + m.size)}
             similarity = 2 * hit / (len(own) + hi - lo)
-            if similarity >= self.least and (best is None or (similarity, hit) > (best["similarity"], best["hit"])):
+            if similarity >= self.least and (best is None or (hit, similarity) > (best["hit"], best["similarity"])):
                 best = {
                     "license": self.templates[k][0], "template": k, "reduction": saved[k], "similarity": similarity, "hit": hit,
                     "missing": " ".join(own[i] for i in range(len(own)) if i not in taken), "extra": " ".join(words[i][0] for i in range(lo, hi) if i not in inside),
-                    "from": words[lo][1], "to": words[hi - 1][2],
+                    "from": words[lo][1], "to": words[hi - 1][2], "front": parts[0].a,
                 }
         return best
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed notices of a text; of overlapping ones that with more words in common, then the closer."""
-        found, todo, seen = [], blocks(text, self.longest, self.cue), set()
-        while todo:
-            a, b = todo.pop()
-            if (a, b) in seen or not self.cue.search(text, a, b):
-                continue
-            seen.add((a, b))
-            if one := self.judge(text[a:b]):
-                one |= {"from": one["from"] + a, "to": one["to"] + a}
-                found.append(one)
-                todo += [(a, one["from"]), (one["to"], b)]
+        found, seen = [], set()
+
+        def search(todo: list[tuple[int, int]]) -> list[dict]:
+            some = []
+            while todo:
+                a, b = todo.pop()
+                if (a, b) in seen or not self.cue.search(text, a, b):
+                    continue
+                seen.add((a, b))
+                if one := self.judge(text[a:b]):
+                    one |= {"from": one["from"] + a, "to": one["to"] + a}
+                    some.append(one)
+                    todo += [(a, one["from"]), (one["to"], b)]
+                    if one["front"]:  # its first words may lie before the candidate
+                        todo.append((back(text, one["from"], 2 * one["front"], self.longest), b))
+            return some
+
+        for some, starts in blocks(text, self.longest, self.cue):
+            one = search(list(some))
+            bare = [c for c in starts if not any(x["from"] <= c < x["to"] and not x["missing"] for x in one)]
+            if bare:  # outside of what is whole
+                begin = back(text, bare[0], self.lead, self.longest)
+                one += search([(begin, b) for _, b in some])
+            found += one
         kept: list[dict] = []
         for one in sorted(found, key=lambda x: (-x["hit"], -x["similarity"], x["from"], x["template"])):
             if all(one["to"] <= x["from"] or x["to"] <= one["from"] for x in kept):
@@ -165,8 +222,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """A row for each license notice of each document: (id_col, first_char, last_char, license, reduction, similarity, missing, extra, verdict).
 
     reduction is the bytes that the template saves; missing and extra are the words that differ; verdict
-    is exact (none differ) or modified (similarity of words at least `least`). Lines are looked at that
-    have one of `cues` (by default CUES and, for templates that have none of them, their own words). Null
+    is exact (none differ) or modified (similarity of words at least `least`). Notices may be wrapped at any width and stand behind
+    comment signs. Lines are looked at that have one of `cues`, over line ends too (by default CUES and, for templates that have none of them, their own words). Null
     and empty texts, and texts without a cue, give no rows; repeated rows and null ids give theirs; other
     columns are ignored.
     """
@@ -184,8 +241,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), t)], names=["id", "first_char", "last_char", "license", "reduction", "similarity", "missing", "extra", "verdict"])
 
     low, cued = F.lower(text_col), F.lit(False)
-    for cue in cues:
-        cued |= low.contains(cue.lower())
+    for cue in sorted(cues, key=lambda c: " " in c):
+        parts = [p for p in cue.lower().split(" ") if p]
+        if parts == [cue.lower()]:
+            cued |= low.contains(parts[0])
+        elif parts:  # over a line end; the pattern is asked where all parts are there
+            cued |= reduce(lambda a, p: a & low.contains(p), parts, F.lit(True)) & low.rlike(cue_pattern([cue.lower()]).replace("\\ ", " "))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(cued).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, first_char int, last_char int, license string, reduction int, similarity double, missing string, extra string, verdict string").withColumnRenamed("id", id_col)

@@ -1,10 +1,12 @@
 import random
 import re
+import textwrap
 import time
 import zlib
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import decontam, license_scan, toxicity
 from ledgerloom.llm.queries import table
@@ -237,11 +239,34 @@ def test_notices_in_very_long_lines_and_whole_licenses():
     assert (one["license"], one["missing"], one["extra"]) == ("MIT", "", "")
 
 
+@pytest.mark.parametrize("sign", ["", "// ", "# ", " * "])
+@pytest.mark.parametrize("width", [20, 30, 40, 60, 72])
+def test_wrapped_notices_are_whole(width, sign):
+    scanner = license_scan.Scanner()
+    for k, (name, wording) in enumerate(license_scan.TEMPLATES):
+        body = "\n".join(sign + x for x in textwrap.wrap(wording, width, break_long_words=False))
+        for text in (body, f"{prose(k, 30)}\n\n{body}\n\n{prose(k + 50, 30)}", f"{prose(k, 30)}\n{body}\n{prose(k + 50, 30)}"):
+            assert [(x["license"], x["missing"], x["extra"]) for x in scanner.scan(text)] == [(name, "", "")], text
+
+
+def test_notices_that_begin_before_what_speaks_of_them(spark):
+    unlicense, mpl, apache = (license_scan.TEMPLATES[k][1] for k in (16, 15, 4))
+    texts = [
+        (1, unlicense.replace("released into", "\nreleased into")),
+        (2, mpl.replace("Mozilla Public", "Mozilla\n// Public")),
+        (3, f"{unlicense.replace('into the public', 'into the' + chr(10) + 'public')} Released under the MIT License."),
+        (4, apache.replace("licenses/", "licen\nses/")),
+        (5, "Mozilla, a\n\npublic body, grants nothing here."),
+    ]
+    got = [(r.doc_id, r.license, r.verdict) for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, "Unlicense", "exact"), (2, "MPL-2.0", "exact"), (3, "MIT", "exact"), (3, "Unlicense", "exact"), (4, "Apache-2.0", "modified")]
+
+
 def plain_best(text):
     """Every template against every stretch of lines, by words in common alone, without compression or cues."""
     lines, found = text.split("\n"), []
     for a in range(len(lines)):
-        for b in range(a + 1, min(len(lines), a + 4) + 1):
+        for b in range(a + 1, min(len(lines), a + 6) + 1):
             words = [w for w, _, _ in license_scan.words_of("\n".join(lines[a:b]))]
             for k, (name, template) in enumerate(license_scan.TEMPLATES):
                 own = [w for w, _, _ in license_scan.words_of(template)]
@@ -261,6 +286,8 @@ def test_scan_agrees_with_plain_comparison(spark):
         for _ in range(r.choice([0, 0, 1, len(words) // 10])):
             words[r.randrange(len(words))] = r.choice(["changed", "", "thing"])
         body = " ".join(w for w in words if w)
+        if k % 2:
+            body = textwrap.fill(body, max(len(body) // 3, 40), break_long_words=False)
         texts.append((k, "\n".join([prose(k, 12), body if k % 3 else prose(900 + k, 30), prose(k + 500, 12)])))
     got = {}
     for x in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
