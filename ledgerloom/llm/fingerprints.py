@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import agreeing, materialized, signed, with_sizes
 
@@ -56,33 +56,73 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def order_hash(text: Column) -> Column:
+    """What orders the texts of one id before the texts themselves do; it can be cut into even stretches."""
+    return F.xxhash64(text)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """docs' id and text dealt in order of id to parts tasks, each followed by the first row of the next task.
+    """docs' id and text dealt in order of id to about parts tasks, each followed by the first row of the next task.
 
     Columns id, text, guest; a task's rows are sorted with guests last. The last task's guest is the very
-    first row. Only cut points and first ids, one a task, pass through the driver.
+    first row. Null ids come first and, as ids that many rows have, are dealt to as many tasks as their share of the rows
+    asks for, by stretches of the texts' hashes. Only cut points, counts and first ids, one a task, pass through the driver.
+    Rows alike in id and text are neighbours in one task.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cuts = sorted(set(rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    at = F.coalesce(F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    low = F.coalesce("id", F.lit(-(1 << 63)))
-    firsts = {r[0]: r[1] for r in rows.select("id").groupBy(at.alias("at")).agg(F.min(low)).collect()}
-    filled = sorted(firsts)
-    if not filled:
+    c = F.col
+    rows = docs.select(c(id_col).cast("long").alias("id"), c(text_col).alias("text"))
+    low, hashed = F.coalesce("id", F.lit(-(1 << 63))), order_hash(c("text"))
+    least, most = -(1 << 63), (1 << 63) - 1
+    points = sorted({max(least, min(most, int(x))) for x in rows.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+
+    def task(cuts: list[int]) -> Column:
+        """0 for null ids, else 1 and the number of cuts up to the id."""
+        passed = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)), lambda x: x <= c("id"))) if cuts else F.lit(0)
+        return F.when(c("id").isNull(), 0).otherwise(passed + 1).cast("int")
+
+    def counted(cuts: list[int]) -> dict:
+        return {r["at"]: r for r in rows.select("id").groupBy(task(cuts).alias("at")).agg(F.count("*").alias("n"), F.min(low).alias("first")).collect()}
+
+    cuts, found = points, counted(points)
+    if not found:
         return rows.withColumn("guest", F.lit(False))
-    first = F.create_map(*(F.lit(x) for k in filled for x in (k, firsts[k])))
+    share = max(1, sum(r["n"] for r in found.values()) // parts)
+    crowded = [k for k, r in found.items() if k and r["n"] > share]
+    alone = set()
+    if crowded:  # ids with more than a share of the rows, fewer than there are parts
+        alone = {r["id"] for r in rows.select("id").where(task(points).isin(crowded)).groupBy("id").agg(F.count("*").alias("n")).where(c("n") > share).collect()}
+    if alone:
+        cuts = sorted({*points, *alone, *(x + 1 for x in alone if x < most)})
+        found = counted(cuts)
+    split = {k: -(-r["n"] // share) for k, r in found.items() if (k == 0 or (k > 1 and cuts[k - 2] in alone)) and r["n"] > share}
+    base, total = {}, 0
+    for k in sorted(found):
+        base[k], total = total, total + split.get(k, 1)
+    at = task(cuts)
+    pick = lambda of: F.create_map(*(F.lit(x) for k, v in of.items() for x in (k, v)))[at]
+    slices = pick({k: split.get(k, 1) for k in found})
+    place = pick(base) + F.when(slices > 1, F.least(slices - 1, F.floor((hashed / 2.0**64 + 0.5) * slices).cast("int"))).otherwise(0) if split else pick(base)
+    firsts = {base[k]: (r["first"], None) for k, r in found.items() if k not in split}
+    if split:
+        hot = rows.where(at.isin(list(split))).groupBy(place.alias("at")).agg(F.min(low).alias("first"), F.min(hashed).alias("h"))
+        firsts |= {r["at"]: (r["first"], r["h"]) for r in hot.collect()}
+    filled = sorted(firsts)
+    own_first = lambda k: F.create_map(*(x for f in filled for x in (F.lit(f), F.lit(firsts[f][k]).cast("long"))))[c("at")]
+    leads = low == own_first(0)
+    if split:
+        leads &= F.coalesce(hashed == own_first(1), F.lit(True))
     before = F.create_map(*(F.lit(x) for k, p in zip(filled, [filled[-1], *filled[:-1]]) for x in (k, p)))
-    own = F.struct(F.col("at"), F.lit(False).alias("guest"))
-    guest = F.struct(before[F.col("at")].alias("at"), F.lit(True).alias("guest"))
-    dealt = rows.withColumn("at", at).withColumn("to", F.explode(F.when(low == first[F.col("at")], F.array(own, guest)).otherwise(F.array(own))))
-    return dealt.select("id", "text", "to.at", "to.guest").repartitionById(len(cuts) + 1, F.col("at")).sortWithinPartitions("at", "guest", F.asc_nulls_first("id"), F.asc_nulls_first("text")).select("id", "text", "guest")
+    own = F.struct(c("at"), F.lit(False).alias("guest"))
+    guest = F.struct(before[c("at")].alias("at"), F.lit(True).alias("guest"))
+    dealt = rows.withColumn("at", place).withColumn("to", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))))
+    return dealt.select("id", "text", "to.at", "to.guest").repartitionById(total, c("at")).sortWithinPartitions("at", "guest", F.asc_nulls_first("id"), hashed, F.asc_nulls_first("text")).select("id", "text", "guest")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, hi, lo, edited_fingerprint, near_edited, near_next): every document, with its edited text and the next one.
 
-    The next document is the one that follows by id (null ids first, equal ids by text), after the last
-    the first. hi and lo are the fingerprint's halves. Null texts count as empty.
+    The next document is the one that follows by id (null ids first, equal ids by the XXH64 of the text, signed, seed 42 and itself for a null one, then by
+    the text), after the last the first. hi and lo are the fingerprint's halves. Null texts count as empty.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

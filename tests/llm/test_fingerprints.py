@@ -1,15 +1,25 @@
 import hashlib
 
+import xxhash
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import fingerprints as P
 
 from .fixtures import documents, empty, prose, rows
 
 
+def order(r):
+    """Ids, nulls first, then the hash of the text and the text."""
+    i, text = r
+    h = 42 if text is None else xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return (i is not None, i or 0, h - (1 << 64) if h >= 1 << 63 else h, text is not None, text or "")
+
+
 def test_compare_matches_brute_force(spark):
     base = prose(20, 200).split()
     more = [(200 + 25 * k, " ".join([*base[:k], "other", *base[k + 1 :]]), "en", "n") for k in range(12)]
     found = sorted(P.compare(documents(spark, more)).collect(), key=str)
-    data = sorted(((r[0], r[1]) for r in [*rows(), *more]), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    data = sorted(((r[0], r[1]) for r in [*rows(), *more]), key=order)
     prints = [P.fingerprint(t) for _, t in data]
     want = []
     for k, (i, text) in enumerate(data):
@@ -40,3 +50,30 @@ def test_small_tables(spark):
     assert P.compare(empty(spark)).collect() == []
     (one,) = P.compare(documents(spark).where("doc_id = 1")).collect()
     assert one.near_next == 1.0
+
+
+def test_rows_of_one_id_are_dealt_to_many_tasks(spark):
+    """Half of the rows have no id and a quarter share one; tasks stay even, one row follows each, and nothing is lost."""
+    n, parts = 8000, 16
+    ids = F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 4 == 1, 70).otherwise(F.col("id"))
+    docs = spark.range(n).select(ids.alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    dealt = P.with_next(docs, "doc_id", "text", parts)
+    tasks = {}
+    for r in dealt.select(F.spark_partition_id().alias("p"), "id", "text", "guest").collect():  # in order within a task
+        tasks.setdefault(r.p, []).append(r)
+    sizes = [sum(not r.guest for r in t) for t in tasks.values()]
+    assert sum(sizes) == n and max(sizes) <= 2 * n // parts
+    assert all([r.guest for r in t] == [False] * (len(t) - 1) + [True] for t in tasks.values())
+    want = sorted(((r.doc_id, r.text) for r in docs.collect()), key=order)
+    got = sorted((((r.id, r.text), (s.id, s.text)) for t in tasks.values() for r, s in zip(t, t[1:])), key=lambda x: order(x[0]))
+    assert got == list(zip(want, [*want[1:], want[0]]))
+
+
+def test_the_least_and_largest_ids(spark):
+    for ids in ([-(1 << 63), None, (1 << 63) - 1], [5] * 40, [None] * 40, [1, 1, 2, 2, 3, 3] * 9, [(1 << 60) + 1] * 50 + [1 << 60, (1 << 60) + 2], []):
+        data = [(i, f"t{k % 50}") for k, i in enumerate(ids)]
+        got = P.compare(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", "n_chars", "edited_sha256").collect()
+        rows = sorted(data, key=order)
+        assert len(got) == len(rows)
+        want = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(rows)]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
