@@ -1,4 +1,4 @@
 """Queries over the driver tables, each with its SQL oracle where SQL can express it."""
 
-from . import causes, coherence, context, coupling, days, evaluation, forensics, live, money, more, peeling, reports, rest, serving, trace  # noqa: F401
+from . import archive_window, causes, coherence, context, coupling, days, evaluation, forensics, live, money, more, peeling, reports, rest, serving, trace  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
