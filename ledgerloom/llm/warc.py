@@ -159,15 +159,78 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
+def unchunked(body: bytes) -> bytes | None:
+    """The content of a body sent in chunks; None if it isn't made of chunks, as where they were taken out before."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,16}", size):
+            return None
+        n, at = int(size, 16), end + 2
+        if n == 0:
+            return b"".join(parts)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        parts.append(body[at : at + n])
+        at += n + 2
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, int | None]:
-    """(payload, its length as the HTTP head tells): what follows the HTTP head, where the block has one."""
+    """(payload, its length as the HTTP head tells): what follows the HTTP head, where the block has one, without the sizes of its chunks."""
     if not headers.get("content-type", "").startswith("application/http"):
         return block, None
     head, _, body = block.partition(b"\r\n\r\n")
-    told = _fields(head)[1].get("content-length", "")
+    http = _fields(head)[1]
+    if http.get("transfer-encoding", "").lower().endswith("chunked") and (whole := unchunked(body)) is not None:
+        return whole, None
+    told = http.get("content-length", "")
     return body, int(told) if told.isdigit() else None
 
 
+def record_places(read, start: int, size: int, span: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of an archive member at `start`, found by going through it; read(offset, size) gives bytes.
+
+    Records are gzip members of their own, or plain. No more than about `span` bytes are held.
+    """
+    held = (0, b"")
+
+    def get(at: int, n: int) -> bytes:
+        nonlocal held
+        n = max(0, min(n, size - at))
+        if not held[0] <= at <= at + n <= held[0] + len(held[1]):
+            held = (at, read(start + at, min(max(n, span), size - at)))
+        return held[1][at - held[0] : at - held[0] + n]
+
+    at = 0
+    while at < size:
+        if get(at, 2) == b"\x1f\x8b":
+            out, end, left = zlib.decompressobj(31), at, b""
+            while not out.eof:
+                left = get(end, 1 << 14)
+                end += len(left)
+                if not left:
+                    raise ValueError("an archive member ends within a record")
+                more = True
+                while more and not out.eof:
+                    more = len(out.decompress(left, 1 << 20)) == 1 << 20 or bool(out.unconsumed_tail)
+                    left = out.unconsumed_tail
+            end -= len(out.unused_data)
+        else:
+            head = get(at, 1 << 12)
+            while (cut := head.find(b"\r\n\r\n")) < 0 and len(head) < min(size - at, span):
+                head = get(at, 2 * len(head))
+            version, headers = _fields(head[: max(cut, 0)])
+            if not version.startswith("WARC/") or not headers.get("content-length", "").isdigit():
+                raise ValueError("no record where one should begin")
+            end = at + cut + 4 + int(headers["content-length"])
+            if end > size:
+                raise ValueError("an archive member ends within a record")
+            end += len(m[0]) if (m := re.match(rb"[\r\n]+", get(end, 64))) else 0
+        yield at, end - at
+        at = end
+
+
 def hex_digest(told: str | None) -> str | None:
     """A SHA-1 digest header, in hexadecimal or base 32, as bare lower-case hexadecimal; None for others."""
     name, _, value = (told or "").partition(":")
@@ -249,19 +312,27 @@ def entries(line: bytes) -> tuple[str, int, int] | None:
     return (parts[10], int(parts[9]), int(parts[8])) if len(parts) == 11 and parts[9].isdigit() and parts[8].isdigit() else None
 
 
+def is_archive(name: str) -> bool:
+    return name.startswith("archive/") and re.search(r"\.warc(\.gz)?$", name) is not None
+
+
 def is_index(name: str) -> bool:
     return name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", name) is not None
 
 
-def read(manifest: DataFrame, span: int = 1 << 20, task_bytes: int = 4 << 20) -> DataFrame:
+def read(manifest: DataFrame, span: int = 1 << 20, task_bytes: int = 4 << 20, unnamed: bool = False) -> DataFrame:
     """(id, record_id, url, date, record_type, payload_bytes, payload_digest, refers_to, payload) of every record that the packages' indexes name.
 
+    Archive members that no index names (archive/*.warc, .warc.gz), as in packages without one, are gone through for their records, each in
+    one task and in bounded memory; with `unnamed` so are those of which the indexes leave something out.
+    Bodies sent in chunks come without their chunks' sizes; a digest header may be over either form.
+
     manifest: (path) and, where they are known, bytes. Packages are first opened for their directory and
     indexes only; tasks then read stretches of about `span` bytes of neighbouring records, each in one range
     read. id and refers_to are numbers of records that write() made, else null. Payloads of responses are
     checked against their digest and length; a record's own digest header is taken for revisits, which
-    have no payload (their length is what the HTTP head tells). Compressed members that no index names
-    are left alone.
+    have no payload (their length is what the HTTP head tells). Compressed members of the package that are no archives
+    are left alone; a compressed archive or index is an error.
     """
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +343,24 @@ def read(manifest: DataFrame, span: int = 1 << 20, task_bytes: int = 4 << 20) ->
                     get = lambda at, n: file.read_at(n, at)
                     members = directory(get, file.size(), lambda name: name.startswith(("archive/", "indexes/")))
                     for name in members.packed:
-                        if is_index(name):
+                        if is_index(name) or is_archive(name):
                             raise ValueError(f"{name} is not stored plainly")
                     named = set()
                     for name in filter(is_index, list(members)):
                         data = get(*members[name])
                         data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                         named |= {e for e in map(entries, data.splitlines()) if e}
+                    named = {(name if name.startswith("archive/") else f"archive/{name}", offset, length) for name, offset, length in named}
+                    told: dict[str, int] = {}
+                    for name, _, length in named:
+                        told[name] = told.get(name, 0) + length
+                    for name in filter(is_archive, list(members)):
+                        at, size = members[name]
+                        if name not in told or unnamed and told[name] != size:
+                            named |= {(name, *place) for place in record_places(get, at, size, span)}
                 rows, held = [], []
                 for name, offset, length in sorted(named):
-                    at = members[name if name.startswith("archive/") else f"archive/{name}"][0] + offset
+                    at = members[name][0] + offset
                     if held and (at != held[0] + sum(held[1]) or sum(held[1]) >= span):
                         rows.append((uri, *held))
                         held = []
@@ -309,7 +388,8 @@ def read(manifest: DataFrame, span: int = 1 << 20, task_bytes: int = 4 << 20) ->
                         payload, size = None, told
                     else:
                         own, size = hashlib.sha1(payload).hexdigest(), len(payload)
-                        if digest not in (None, own) or kind == "response" and told not in (None, size):
+                        sent = block.partition(b"\r\n\r\n")[2]
+                        if digest not in (None, own) and not (len(sent) != size and digest == hashlib.sha1(sent).hexdigest()) or kind == "response" and told not in (None, size):
                             raise ValueError(f"a payload in {uri} is damaged")
                         digest = own
                     rows.append((number(h.get("warc-record-id")), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), kind, size, digest, number(h.get("warc-refers-to")), payload))

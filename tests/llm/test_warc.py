@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import io
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +124,32 @@ def test_packages_of_others_are_read_by_their_indexes(spark, tmp_path):
     assert found["http://a.example/1"].payload_digest == hashlib.sha1(b"hello").hexdigest() and found["http://a.example/1"].id is None
 
 
+def test_packages_without_an_index_and_chunked_bodies(spark, tmp_path):
+    """Gzip members and plain records are found by going through; chunks are taken out, whichever form the digest is of."""
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;x=y\r\nhello\r\n4\r\n you\r\n0\r\n\r\n"
+    over_content = gzip.decompress(foreign_record("response", "http://a.example/2", chunked)).decode()
+    own = base64.b32encode(hashlib.sha1(b"hello you").digest()).decode()
+    over_content = gzip.compress(re.sub("sha1:[A-Z2-7]+", f"sha1:{own}", over_content).encode())
+    bare = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nchunks were taken out"
+    noise = random.Random(1).randbytes(300_000)
+    packed = [foreign_record("response", "http://a.example/1", chunked), over_content, foreign_record("response", "http://a.example/3", bare), foreign_record("resource", "http://a.example/4", noise, http=False), foreign_record("resource", "http://a.example/5", b"", http=False)]
+    plain = [gzip.decompress(foreign_record("resource", f"http://b.example/{k}", bytes([65 + k]) * (k * 3000), http=False)) for k in range(4)]
+    data = package(warc.BIG, {"archive/a.warc.gz": b"".join(packed), "archive/b.warc": b"".join(plain), "logs/x": b"no archive"})
+    (tmp_path / "a.wacz").write_bytes(data)
+    manifest = spark.createDataFrame([(str(tmp_path / "a.wacz"),)], "path string")
+    for span in (100, 5000, 1 << 20):
+        got = {r.url: bytes(r.payload) for r in warc.read(manifest, span=span).collect()}
+        want = {"http://a.example/1": b"hello you", "http://a.example/2": b"hello you", "http://a.example/3": b"chunks were taken out", "http://a.example/4": noise, "http://a.example/5": b""}
+        assert got == want | {f"http://b.example/{k}": bytes([65 + k]) * (k * 3000) for k in range(4)}
+    # an index that names one record: the others of that member come only if asked for
+    line = f'k 2020 {{"filename": "a.warc.gz", "offset": 0, "length": {len(packed[0])}}}'.encode()
+    (tmp_path / "a.wacz").write_bytes(package(warc.BIG, {"archive/a.warc.gz": b"".join(packed), warc.INDEX: line}))
+    assert (warc.read(manifest).count(), warc.read(manifest, unnamed=True).count()) == (1, 5)
+    (tmp_path / "a.wacz").write_bytes(package(warc.BIG, {"archive/a.warc.gz": b"".join(packed)[:-3]}))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(manifest).collect()
+
+
 def test_damaged_payloads_are_refused(spark, tmp_path):
     record = foreign_record("response", "http://a.example/1", b"HTTP/1.1 200 OK\r\n\r\nhello")
     record = gzip.compress(gzip.decompress(record).replace(b"hello", b"jello"))
