@@ -15,19 +15,22 @@ def read_days(spark: SparkSession, path: str, today: str, span: str = "all", ret
 
 
 def write_days(df: DataFrame, path: str) -> None:
-    """Replaces the partitions of df's days and leaves the others: running it again gives the same table."""
+    """Replaces the partitions of df's days and leaves the others: running it again gives the same table.
+
+    Rows are rebalanced by day, so small days share a task and a day that is too large for one is split.
+    """
     spark = df.sparkSession
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        df.repartition("day").write.mode("overwrite").partitionBy("day").parquet(path)
+        df.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
 def with_addendum(day: DataFrame, proofs: DataFrame, key: list[str], column: str) -> DataFrame:
-    """day with `column` filled from proofs where it is unknown; known values stay."""
-    p = proofs.select(*key, F.col(column).alias("_p")).dropDuplicates(key)
+    """day with `column` filled from proofs where it is unknown; known values stay. Of several proofs of a key the smallest value counts, nulls don't."""
+    p = proofs.groupBy(*key).agg(F.min(column).alias("_p"))
     return day.join(p, key, "left").withColumn(column, F.coalesce(column, "_p")).drop("_p")
 
 

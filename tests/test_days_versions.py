@@ -142,3 +142,29 @@ def test_older_codecs_are_lifted(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(V.CODECS, "state", V.Codec(1, old))
     with pytest.raises(V.Unreadable):  # an older reader does not touch it
         V.commit(spark, root, {"s": ("state", spark.createDataFrame([], old))})
+
+
+def test_of_several_proofs_the_smallest_counts(spark):
+    from ledgerloom.sources.days import with_addendum
+
+    day = spark.createDataFrame([(1, None), (2, "known"), (3, None)], "ledger bigint, hash string")
+    proofs = spark.createDataFrame([(1, "c"), (1, None), (1, "b"), (2, "a"), (3, None)], "ledger bigint, hash string")
+    for order in (proofs, proofs.orderBy("hash")):
+        assert sorted(map(tuple, with_addendum(day, order, ["ledger"], "hash").collect())) == [(1, "b"), (2, "known"), (3, None)]
+
+
+def test_days_are_replaced_and_a_large_one_is_split(spark, tmp_path):
+    from ledgerloom.sources.days import write_days
+
+    path = str(tmp_path / "days")
+    rows = spark.range(200_000).selectExpr("CASE WHEN id % 10 = 0 THEN DATE'2024-01-02' ELSE DATE'2024-01-01' END AS day", "id", "sha2(cast(id AS string), 256) AS text")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        for _ in range(2):  # again gives the same table
+            write_days(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    write_days(rows.where("id = 10"), path)
+    back = spark.read.parquet(path)
+    assert {str(r.day): r["count"] for r in back.groupBy("day").count().collect()} == {"2024-01-01": 180_000, "2024-01-02": 1}
+    assert len(list((tmp_path / "days" / "day=2024-01-01").glob("*.parquet"))) > 1
