@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -47,31 +51,71 @@ def fresh_evidence(snapshots: DataFrame, recent: int = 21_600, strict: int = 3)
     return snapshots.where(age.between(0, recent)).withColumn("strict", F.col("sequence") <= strict).select("address", age.alias("age"), "strict")
 
 
-def replay(start: DataFrame, edges: DataFrame, by: str, most: int = 200, at_once: int = 6) -> DataFrame:
-    """Backward walks: from each start (by, address) to the sender of its earliest in-edge that was not visited yet, `most` hops at most.
+def _followed(most: int | None, at_once: int = 256):
+    """A group's walks: rows with a place are the senders of a tip in the order of their earliest edges, rows without one are starts."""
+    def walks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, starts = {}, []
+        for b in batches:
+            for tip, account, place in zip(*(b.column(c).to_pylist() for c in ("tip", "account", "place"))):
+                starts.append(tip) if place is None else ranked.setdefault(tip, []).append((place, account))
+        senders = {tip: [a for _, a in sorted(x)] for tip, x in ranked.items()}
+        for k in range(0, len(starts), at_once):
+            paths, truncated = [], []
+            for tip in starts[k : k + at_once]:
+                path, seen = [tip], {tip}
+                while (on := next((a for a in senders.get(path[-1], ()) if a not in seen), None)) is not None and (most is None or len(path) <= most):
+                    path.append(on)
+                    seen.add(on)
+                paths.append(path)
+                truncated.append(on is not None)
+            columns = [pa.array([key[0].as_py()] * len(paths), key[0].type), pa.array(starts[k : k + at_once], pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(truncated, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["by", "address", "path", "truncated"])
+
+    return walks
+
+
+def replay(start: DataFrame, edges: DataFrame, by: str, most: int | None = 200, at_once: int = 6, held: int = 2_000_000, dealt: int = 20_000) -> DataFrame:
+    """Backward walks: from each start (by, address) to the sender of its earliest in-edge that was not visited yet, `most` hops at most (None: to their ends).
 
     edges: (by, account, destination, ledger_seq, hash). Returns (by, address, path, hops, truncated);
     truncated walks could go on. A path of h hops shuts out h senders, so of a node's senders, each with its
-    earliest edge, only the first h + 1 are looked at. State is kept every `at_once` hops.
+    earliest edge, only the first most + 1 are looked at. The starts of a graph are dealt to tasks by about `dealt`,
+    which hold its pairs of sender and receiver; graphs of more than `held` pairs are walked by a join a hop, kept every `at_once` hops.
     """
-    earliest = edges.where("account <> destination").groupBy(by, F.col("destination").alias("tip"), "account").agg(F.min(F.struct("ledger_seq", "hash", "account")).alias("e"))
-    ranked = earliest.withColumn("place", F.row_number().over(Window.partitionBy(by, "tip").orderBy("e"))).where(F.col("place") <= most + 1)
-    step = kept(ranked.select(by, "tip", "place", "e"))
-    level, done = kept(start.select(by, "address", F.array("address").alias("path")).distinct()), None
-    for hop in range(most + 1):
+    earliest = edges.where("account <> destination").where(F.col(by).isNotNull()).groupBy(by, F.col("destination").alias("tip"), "account").agg(F.min(F.struct("ledger_seq", "hash", "account")).alias("e"))
+    ranked = earliest.withColumn("place", F.row_number().over(Window.partitionBy(by, "tip").orderBy("e")))
+    step = kept((ranked if most is None else ranked.where(F.col("place") <= most + 1)).select(by, "tip", "place", "e"))
+    starts = start.select(by, "address").distinct()
+    large = kept(step.groupBy(by).agg(F.count("*").alias("pairs")).where(F.col("pairs") > held).select(by))
+    small = starts.join(large, by, "left_anti")
+    parts = small.groupBy(F.col(by).alias("by")).agg(F.ceil(F.count("*") / dealt).cast("int").alias("parts"))
+    rows = small.join(parts, F.col(by).eqNullSafe(F.col("by"))).select("by", F.pmod(F.xxhash64("address"), "parts").cast("int").alias("part"), F.col("address").alias("tip"), F.lit(None).cast("string").alias("account"), F.lit(None).cast("int").alias("place"))
+    graph = step.join(parts, F.col(by) == F.col("by")).select("by", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tip", F.col("e.account").alias("account"), "place")
+    schema = f"by {start.schema[by].dataType.simpleString()}, address string, path array<string>, truncated boolean"
+    done = rows.unionByName(graph).groupBy("by", "part").applyInArrow(_followed(most), schema).withColumnRenamed("by", by)
+    if not large.isEmpty():
+        done = done.unionByName(_joined(starts.join(large, by, "left_semi"), step.join(large, by, "left_semi"), by, most, at_once))
+    return done.withColumn("hops", (F.size("path") - 1).cast("bigint"))
+
+
+def _joined(starts: DataFrame, step: DataFrame, by: str, most: int | None, at_once: int) -> DataFrame:
+    """The walks (by, address, path, truncated) by a join for each hop."""
+    level, done = kept(starts.select(by, "address", F.array("address").alias("path"))), None
+    for hop in count():
         on = level.withColumn("tip", F.element_at("path", -1)).join(step.where(F.col("place") <= hop + 1).drop("place"), [by, "tip"], "left")
         usable = F.when(~F.array_contains("path", F.col("e.account")), F.col("e"))
         on = on.groupBy(by, "address", "path").agg(F.min(usable).alias("e"))
         if hop % at_once == 0 or hop == most:
             on = kept(on)
-        ended = on.where("e IS NULL" if hop < most else "true").select(by, "address", "path", F.col("e").isNotNull().alias("truncated"))
+        ended = on.where("true" if hop == most else "e IS NULL").select(by, "address", "path", F.col("e").isNotNull().alias("truncated"))
         done = ended if done is None else done.unionByName(ended)
         level = on.where("e IS NOT NULL").select(by, "address", F.concat("path", F.array("e.account")).alias("path"))
         if hop % at_once == 0:
             done = kept(done)
             if level.isEmpty():
-                break
-    return done.withColumn("hops", (F.size("path") - 1).cast("bigint"))
+                return done
+        if hop == most:
+            return done
 
 
 def capped_nodes(nodes: DataFrame, edges: DataFrame, by: str, budget: int = 600, floor: int = 120) -> DataFrame:
@@ -84,8 +128,8 @@ def capped_nodes(nodes: DataFrame, edges: DataFrame, by: str, budget: int = 600,
     edges takes; where one place is left over, the heaviest edge with one end inside fills it.
     """
     nodes = nodes.withColumn("s", F.when(F.col("severity") == "malicious", 2).when(F.col("severity") == "suspect", 1).otherwise(0)).withColumn("r", F.coalesce(F.array_position(F.array(*map(F.lit, ("relay", "source", "collector", "drainer"))), F.col("role")).cast("int"), F.lit(0)))
-    count = nodes.groupBy(by).agg(F.count("*").alias("nodes"))
-    nodes = kept(nodes.join(count, by))
+    sizes = nodes.groupBy(by).agg(F.count("*").alias("nodes"))
+    nodes = kept(nodes.join(sizes, by))
     all_fit = nodes.where(F.col("nodes") <= budget).select(by, "address", F.lit("all").alias("phase"))
     large = nodes.where(F.col("nodes") > budget)
     rank = lambda *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))

@@ -231,10 +231,10 @@ def signers_fingerprint(spark, sf_dir):
         LATERAL (SELECT arg_min(hd.account, hd.e) AS a FROM hd WHERE hd.day = w.day AND hd.destination = path[len(path)] AND NOT list_contains(path, hd.account)) n WHERE more)
     SELECT day, address, array_to_string(path, '>') AS path, cast(len(path) - 1 AS bigint) AS hops, false AS truncated FROM w WHERE NOT more""")
 def replay_archive(spark, sf_dir):
-    """Every account's walk back through each archive of six hours; its walks end long before 200 hops."""
+    """Every account's walk back through each archive of six hours, to its end."""
     t = V.handoff(spark, sf_dir).withColumn("day", F.expr("t_ms DIV 21600000"))
     start = t.where("account <> destination").select("day", F.col("destination").alias("address")).distinct()
-    return W.replay(start, t, "day").withColumn("path", F.array_join("path", ">"))
+    return W.replay(start, t, "day", most=None).withColumn("path", F.array_join("path", ">"))
 
 
 @query("txn")

@@ -153,6 +153,16 @@ def test_replay_matches_a_walk(spark):
     assert V.replay(start, df, "g").count() == 30
 
 
+def test_replay_goes_to_the_end_of_a_long_walk(spark):
+    line = spark.range(320).select((F.col("id") % 2).alias("g"), F.concat(F.lit("n"), F.floor(F.col("id") / 2)).alias("account"), F.concat(F.lit("n"), F.floor(F.col("id") / 2) + 1).alias("destination"), F.col("id").alias("ledger_seq"), F.lit("h").alias("hash"))
+    line = line.where("g = 0 OR id < 20")
+    start = line.select("g", F.col("destination").alias("address"))
+    by_task = {(x.g, x.address): (tuple(x.path), x.hops, x.truncated) for x in V.replay(start, line, "g", None, dealt=7).collect()}
+    assert by_task == {(g, f"n{k}"): (tuple(f"n{j}" for j in range(k, -1, -1)), k, False) for g, last in ((0, 160), (1, 10)) for k in range(1, last + 1)}
+    short = line.where("id < 60")  # graph 0 by joins, graph 1 in tasks
+    assert {(x.g, x.address): (tuple(x.path), x.hops, x.truncated) for x in V.replay(short.select("g", F.col("destination").alias("address")), short, "g", None, held=15).collect()} == {k: v for k, v in by_task.items() if v[1] <= (30 if k[0] == 0 else 10)}
+
+
 def slow_capped(nodes, edges, budget, floor):
     if len(nodes) <= budget:
         return {n[0] for n in nodes}
