@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from . import validators as D
+from .iterate import kept
 from .serving import account_scores
 
 
-def absent_members(votes: DataFrame, members: DataFrame, need: int, most: int = 10_000) -> DataFrame:
+def absent_members(votes: DataFrame, members: DataFrame, need: int, width: int = 2_000) -> DataFrame:
     """(ledger, master, type) of every member without a vote: missed where the ledger has `need` member votes, else vote-not-observed.
 
-    Members are the validator list, which travels as one row; more than `most` of them are refused.
+    The validator list may have any length: it is cut by hash into stretches of about `width` members, and a ledger has a row for each.
     """
-    members = members.select("master").distinct()
-    if members.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} members")
-    listed = members.agg(F.collect_set("master").alias("members"))
-    by = votes.join(members, "master", "left_semi").groupBy("ledger").agg(F.collect_set("master").alias("there"))
-    all_ledgers = votes.select("ledger").distinct().join(by, "ledger", "left").withColumn("there", F.coalesce("there", F.array().cast("array<string>")))
-    kind = F.when(F.size("there") >= need, "missed").otherwise("vote-not-observed")
-    return all_ledgers.crossJoin(F.broadcast(listed)).select("ledger", F.explode(F.array_except("members", "there")).alias("master"), kind.alias("type"))
+    members = kept(members.select("master").where("master is not null").distinct())
+    stretches = max(1, -(-members.count() // width))
+    cut = F.pmod(F.xxhash64("master"), F.lit(stretches)).alias("stretch")
+    listed = members.groupBy(cut).agg(F.collect_set("master").alias("members"))
+    by = votes.join(members, "master", "left_semi").groupBy("ledger", cut).agg(F.collect_set("master").alias("there"))
+    voters = by.groupBy("ledger").agg(F.sum(F.size("there")).alias("n"))
+    none = F.array().cast("array<string>")
+    all_ledgers = votes.select("ledger").distinct().join(voters, "ledger", "left").withColumn("stretch", F.explode(F.sequence(F.lit(0), F.lit(stretches - 1)).cast("array<bigint>")))
+    held = all_ledgers.join(by, ["ledger", "stretch"], "left").join(listed, "stretch")
+    kind = F.when(F.coalesce("n", F.lit(0)) >= need, "missed").otherwise("vote-not-observed")
+    return held.select("ledger", F.explode(F.array_except("members", F.coalesce("there", none))).alias("master"), kind.alias("type"))
 
 
 def eligibility(tx: DataFrame, flags: DataFrame, least: int = 85) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import chains as C, entry_rules as E, graph as G, motifs as M, rules as R, timing as W, trace, validators as D, views as V
+from ledgerloom.operators import chains as C, entry_rules as E, graph as G, motifs as M, reports as P, rules as R, timing as W, trace, validators as D, views as V
 from ledgerloom.sources import ledger as L
 
 TX = "account string, destination string, amount_drops long, ledger_seq long, hash string, pair long, type string, tag long"
@@ -163,6 +163,15 @@ def test_replay_goes_to_the_end_of_a_long_walk(spark):
     assert {(x.g, x.address): (tuple(x.path), x.hops, x.truncated) for x in V.replay(short.select("g", F.col("destination").alias("address")), short, "g", None, held=15).collect()} == {k: v for k, v in by_task.items() if v[1] <= (30 if k[0] == 0 else 10)}
 
 
+def test_members_absent_from_a_long_list(spark):
+    masters = spark.range(10_200).select(F.concat(F.lit("V"), "id").alias("master"))
+    votes = masters.where("master <> 'V7'").select(F.lit(1).alias("ledger"), "master").unionByName(spark.createDataFrame([(2, "V7"), (2, "X"), (3, "X")], "ledger int, master string"))
+    absent = P.absent_members(votes, masters.unionByName(masters.limit(5)), 1)
+    assert absent.where("ledger = 1").collect() == [(1, "V7", "missed")]
+    assert sorted(tuple(r) for r in absent.groupBy("ledger", "type").count().collect()) == [(1, "missed", 1), (2, "missed", 10_199), (3, "vote-not-observed", 10_200)]
+    assert absent.distinct().count() == 20_400 and absent.where("ledger = 2 AND master IN ('V7', 'X')").isEmpty()
+
+
 def slow_capped(nodes, edges, budget, floor):
     if len(nodes) <= budget:
         return {n[0] for n in nodes}
