@@ -15,24 +15,29 @@ THREAT = "address string, risk string, reason string, honeypot string, first_see
 EVIDENCE = "address string, hash string, type string, t_ms bigint, honeypot string, dest_tag bigint, risk string"
 
 
-def branched(events: DataFrame, watched: DataFrame, own: DataFrame, most: int = 10_000) -> DataFrame:
+def branched(events: DataFrame, watched: DataFrame, own: DataFrame, most: int | None = None) -> DataFrame:
     """events with `branch`, and for those that make a threat its address, risk, reason and honeypot (null otherwise); works on streams too.
 
     A watched account's own act: to another watched one `internal`, to the operator's `operations`, an order `own-order` (suspect),
     else `compromised` (malicious). Another account's: `touch`, `trust` (it trusts a watched issuer), `mint` (in the name of one), `orderbook` (by an
     offer of one), malicious if a payment or a trust line; `unrelated`, `anonymous` without an account. Ahead of all: `unvalidated`, `unnamed` without
-    a hash. Watched lists over `most` are refused.
+    a hash. Watched lists may have any length; with `most`, longer ones are refused. Only a stream's plan takes the list's addresses along.
     """
-    names = {r[0]: r[1] for r in watched.where("address is not null").groupBy("address").agg(F.min("label")).limit(most + 1).collect()}
-    if len(names) > most:
+    if most is not None and watched.where("address is not null").select("address").distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} watched accounts")
     side = watched.where("address is not null").groupBy("address").agg(F.min("label").alias("label"))
     j = events
     for col in ("account", "destination", "limit_issuer", "issuer"):
         j = j.join(side.select(F.col("address").alias(col), F.col("label").alias(f"_{col}")), col, "left")
     j = j.join(own.select(F.col("address").alias("destination"), F.lit(True).alias("_own")).distinct(), "destination", "left")
-    hit = F.get(F.filter("touched", lambda a: F.array_contains(F.lit(list(names)).cast("array<string>"), a)), F.lit(0)) if names else F.lit(None).cast("string")
-    j = j.withColumn("_hit", hit).join(side.select(F.col("address").alias("_hit"), F.col("label").alias("_touched")), "_hit", "left")
+    if events.isStreaming:
+        names = [r[0] for r in side.select("address").collect()]
+        hit = F.get(F.filter("touched", lambda a: F.array_contains(F.lit(names).cast("array<string>"), a)), F.lit(0)) if names else F.lit(None).cast("string")
+        j = j.withColumn("_hit", hit).join(side.select(F.col("address").alias("_hit"), F.col("label").alias("_touched")), "_hit", "left")
+    else:  # each list of accounts is looked up once, however many events have it; events without one are spread
+        lists = events.where("touched is not null").select("touched").distinct().select("touched", F.posexplode("touched").alias("_at", "address"))
+        found = lists.join(side, "address").groupBy("touched").agg(F.min_by("label", "_at").alias("_touched"), F.min(F.lit(0).cast("bigint")).alias("_spread"))  # no constant, else it is no key
+        j = j.withColumn("_spread", F.when(F.col("touched").isNull(), F.xxhash64("hash", "account", "t_ms")).otherwise(0)).join(found, ["touched", "_spread"], "left")
     mine, has = F.col("_account").isNotNull(), lambda c: F.col(f"_{c}").isNotNull()
     branch = (
         F.when(~F.coalesce("validated", F.lit(False)), "unvalidated").when(F.col("hash").isNull(), "unnamed")

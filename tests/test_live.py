@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.streaming import live as L
 
@@ -45,6 +46,13 @@ def test_each_branch(spark, sides):
     assert L.branched(spark.createDataFrame([CASES[0][0]], EVENT), sides[0].limit(0), sides[1]).first().branch == "unrelated"
 
 
+def test_long_watchlist(spark, sides):
+    watched = spark.range(10_050).select(F.concat(F.lit("w"), "id").alias("address"), F.concat(F.lit("l"), "id").alias("label"))
+    rows = [("h1", True, "a", "w10049", "Payment", None, None, None, None, 1), ("h2", True, "o", None, "OfferCreate", None, None, ["x", None, "w10048", "w3"], None, 2), ("h3", True, "o", None, "OfferCreate", None, None, ["x"], None, 3), ("h4", True, "o", None, "OfferCreate", None, None, ["x", None, "w10048", "w3"], None, 4)]
+    got = {r.hash: (r.branch, r.honeypot) for r in L.branched(spark.createDataFrame(rows, EVENT), watched, sides[1]).collect()}
+    assert got == {"h1": ("touch", "l10049"), "h2": ("orderbook", "l10048"), "h3": ("unrelated", None), "h4": ("orderbook", "l10048")}
+
+
 def walk(events):
     """The threats after events in order, one after the other."""
     store, hashes = {}, set()
