@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.iterate import kept
 from ..sources import views as V
 from ..streaming import live as L
 from .registry import query
@@ -52,9 +53,10 @@ def live_branches(spark, sf_dir):
     SELECT address, CASE WHEN ar IS NOT NULL THEN 'malicious' ELSE 'suspect' END AS risk, coalesce(er, ar, fr) AS reason, coalesce(eh, ah, fh) AS honeypot, first_seen_ms, events FROM x""")
 def threat_upserts(spark, sf_dir):
     """Threats after two folds: what came early, then all of it again with what came later."""
-    events = L.branched(_events(spark, sf_dir), *_sides(spark, sf_dir)).where("address is not null")
+    events = kept(L.branched(_events(spark, sf_dir), *_sides(spark, sf_dir)).where("address is not null").select("address", "hash", "type", "t_ms", "honeypot", "dest_tag", "risk", "reason"))
     none = lambda schema: spark.createDataFrame([], schema)
     old, seen = L.folded(none(L.THREAT), none(L.EVIDENCE), events.where("t_ms < 103680000000"))
-    changed, _ = L.folded(old, seen, events)
+    old = kept(old)
+    changed = kept(L.folded(old, seen, events)[0])
     rest = old.join(changed.select("address"), "address", "left_anti")
     return changed.unionByName(rest)
