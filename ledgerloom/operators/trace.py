@@ -62,12 +62,16 @@ def signatures(shape: DataFrame, by: str, base: int = 60, least: int = 10, fan_d
 def sweeps(tx: DataFrame, least: int = 12, window: int = 12) -> DataFrame:
     """(account, ledger, dests): the first ledger at which an account has reached `least` distinct destinations within `window` ledgers.
 
-    Each contact is dealt to the ledgers whose window holds it, so a busy account spreads over many
-    groups instead of one growing set.
+    A destination counts from a contact on until the window has passed or the pair's next contact takes over, so the count is a
+    running sum of what begins and ends, over at most one row for an account and ledger; no contact is copied along its window.
     """
-    contact = tx.select("account", "destination", "ledger").distinct()
-    reach = contact.withColumn("at", F.explode(F.sequence(F.col("ledger"), F.col("ledger") + window)))
-    hit = reach.groupBy("account", "at").agg(F.countDistinct("destination").alias("dests")).where(F.col("dests") >= least)
+    contact = tx.select("account", "destination", "ledger").where("destination IS NOT NULL AND ledger IS NOT NULL").distinct()
+    following = F.lead("ledger").over(Window.partitionBy("account", "destination").orderBy("ledger"))
+    held = contact.select("account", "ledger", F.least(F.col("ledger") + window + 1, following).alias("until"))
+    turn = F.explode(F.array(F.struct(F.col("ledger").alias("at"), F.lit(1).alias("n")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("n"))))
+    turns = held.select("account", turn.alias("t")).groupBy("account", F.col("t.at").alias("at")).agg(F.sum("t.n").alias("n"))
+    dests = F.sum("n").over(Window.partitionBy("account").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    hit = turns.withColumn("dests", dests).where(F.col("dests") >= least)
     return hit.groupBy("account").agg(F.min(F.struct("at", "dests")).alias("x")).select("account", F.col("x.at").alias("ledger"), "x.dests")
 
 

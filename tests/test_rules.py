@@ -172,6 +172,19 @@ def test_members_absent_from_a_long_list(spark):
     assert absent.distinct().count() == 20_400 and absent.where("ledger = 2 AND master IN ('V7', 'X')").isEmpty()
 
 
+def test_sweeps_match_a_walk_and_copy_no_contact(spark):
+    r = random.Random(8)
+    tx = [(f"a{r.randrange(5)}", r.choice([None, *(f"d{k}" for k in range(9))]), r.choice([None, *range(60)])) for _ in range(160)]
+    df = spark.createDataFrame(tx, "account string, destination string, ledger long")
+    for least, window in ((2, 1), (4, 7), (6, 12), (9, 80)):
+        want = []
+        for a in {x[0] for x in tx}:
+            near = lambda at: len({d for b, d, n in tx if b == a and d and n is not None and n <= at <= n + window})  # noqa: B023, E731
+            want += [(a, at, near(at)) for at in range(160) if near(at) >= least][:1]
+        assert sorted(tuple(x) for x in trace.sweeps(df, least, window).collect()) == sorted(want)
+    assert "sequence(" not in trace.sweeps(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def slow_capped(nodes, edges, budget, floor):
     if len(nodes) <= budget:
         return {n[0] for n in nodes}
