@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .iterate import kept
 from .rules import drainer_sweep
 
 
@@ -49,7 +50,7 @@ def confirmed_sweeps(touched: DataFrame, tx: DataFrame, balances: DataFrame | No
     asked = touched.groupBy("address").agg(F.bool_or("created").alias("created"))
     ends = tx.select("hash", "ledger_seq", "account", "destination", "amount_drops").withColumn("address", F.explode(F.array_distinct(F.array("account", "destination"))))
     w = Window.partitionBy("address").orderBy(F.desc_nulls_last("ledger_seq"), F.desc("hash"))
-    recent = ends.join(asked, "address").withColumn("place", F.row_number().over(w)).where(F.col("place") <= newest)
+    recent = kept(ends.join(asked, "address").withColumn("place", F.row_number().over(w)).where(F.col("place") <= newest))  # read by the rule and by the shares
     named = recent.select("hash", "ledger_seq", "amount_drops", *(F.struct("address", F.col(c).alias("account")).alias(c) for c in ("account", "destination")))
     fresh = asked.select(F.struct("address", F.col("address").alias("account")).alias("account"), "created")
     rule = drainer_sweep(named, share, fresh=fresh, balances=balances).select(F.col("address.address").alias("address"), "severity").distinct()

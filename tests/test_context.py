@@ -38,6 +38,12 @@ def test_confirmed_sweep(spark):
     assert rows(X.confirmed_sweeps(touched, tx, newest=1)) == []  # the receipt is not among the newest
 
 
+def test_payments_of_sweeps_are_ranked_once(spark):
+    tx = spark.createDataFrame([("a", 1, "S", "V", 100), ("b", 2, "V", "T", 90)], TX)
+    got = X.confirmed_sweeps(spark.createDataFrame([("V", True)], "address string, created boolean"), tx)
+    assert rows(got) == [("V", 0.9, 90, "malicious")] and "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_watchlist_and_listed(spark):
     reg = spark.createDataFrame([("m1", "x", ["u"], 1), ("m2", "x", ["u", "v"], 3), ("m3", "", ["u"], 9), ("m4", None, ["u"], 9), ("m5", "y", ["w"], 9), ("m6", "z", None, 9), ("m7", "z", ["v"], None)], "master string, domain string, lists array<string>, last_seen long")
     assert [r[0] for r in X.watchlist(reg, ["u", "v"]).collect()] == ["m2", "m1", "m7"]
