@@ -3,18 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir (a temporary one only where it is unset)."""
+def _folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir (a temporary one only where it is unset)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir."""
+    _folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and kept there as a Parquet table: for many rows, as later steps read only the columns they need."""
+    path = f"{_folder(df)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 1 << 20) -> bool:
+    """Whether df, which should be a kept one, has at most `most` rows, so that it may be broadcast."""
+    return df.count() <= most
+
+
+def narrow(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, marked to be broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if small(df, most) else df
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) of nodes with an edge to another node; root is the smallest node of the component.
 
