@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from .iterate import stored
+
 
 def top_edges(edges: DataFrame, key: str, k: int = 50, anchors: int = 10) -> DataFrame:
     """Of each cluster its k edges: the first `anchors` in time of nodes with several edges, then the largest.
 
-    An anchor is the oldest edge of a node of degree two or more. Ranks are filtered windows by cluster,
-    which Spark limits before the shuffle.
+    An anchor is the oldest edge of a node of degree two or more; it is found by a minimum, which is combined before the
+    shuffle. Ranks are filtered windows by cluster, which Spark limits before the shuffle.
     """
-    ends = edges.select(key, "hash", "ledger_seq", F.explode(F.array("account", "destination")).alias("node"))
-    oldest = Window.partitionBy(key, "node").orderBy("ledger_seq", "hash")
-    anchor = ends.withColumn("rn", F.row_number().over(oldest)).withColumn("next", F.lead("hash").over(oldest)).where("rn = 1 AND next IS NOT NULL").select(key, "hash", "ledger_seq").distinct()
+    edges = stored(edges)  # read for the anchors and for the ranks
+    ends = edges.select(key, F.struct("ledger_seq", "hash").alias("at"), F.explode(F.array("account", "destination")).alias("node"))
+    anchor = ends.groupBy(key, "node").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n > 1").select(key, "at.hash", "at.ledger_seq").distinct()
     first = anchor.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("ledger_seq", "hash"))).where(F.col("rn") <= anchors).select(key, "hash", F.lit(0).alias("class"))
     ranked = edges.join(first, [key, "hash"], "left").withColumn("class", F.coalesce("class", F.lit(1)))
     w = Window.partitionBy(key).orderBy("class", F.desc("amount_drops"), "hash")

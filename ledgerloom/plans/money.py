@@ -306,6 +306,7 @@ def rule_rates(spark, sf_dir):
     SELECT * FROM r WHERE place <= 8""")
 def edge_topk(spark, sf_dir):
     e = _edges(spark, sf_dir).withColumn("cluster", F.col("account"))
+    e = e.select("cluster", "hash", "account", "destination", "amount_drops", "ledger_seq")
     return S.top_edges(e, "cluster", k=8, anchors=3).select("cluster", "hash", "amount_drops", "place")
 
 

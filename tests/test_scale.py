@@ -2,7 +2,7 @@
 
 import pytest
 
-from ledgerloom.operators import graph as G
+from ledgerloom.operators import graph as G, state as S
 
 EDGE = "hash string, account string, destination string, amount_drops long, ledger_seq long"
 
@@ -29,3 +29,11 @@ def test_flags_are_broadcast_up_to_a_number(spark, no_automatic_broadcast):
     assert plan(few).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan(few)
     assert plan(many).count("SortMergeJoin") == 2
     assert rows(few) == rows(many) and few.count() == sum(k % 7 != k % 5 and bool({k % 7, k % 5} & {1, 4}) for k in range(40))
+
+
+def test_second_edges_without_a_hash_make_anchors(spark):
+    e = spark.createDataFrame([("a", "x", "y", 1, 1), (None, "x", "z", 9, 2), ("b", "v", "w", 8, 3), ("b", "v", "w", 7, 3), ("c", "p", "q", 5, 4)], EDGE).selectExpr("'k' AS cluster", "*")
+    got = S.top_edges(e, "cluster", k=3, anchors=1)
+    assert "lead(" not in plan(got)  # a node's oldest edge is a minimum, no window over its edges
+    assert [(r.hash, r.amount_drops) for r in got.orderBy("place").collect()] == [("a", 1), (None, 9), ("b", 8)]
+    assert [(r.hash, r.amount_drops) for r in S.top_edges(e, "cluster", k=3, anchors=2).orderBy("place").collect()] == [("b", 8), ("b", 7), ("a", 1)]
