@@ -9,27 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .iterate import kept
+from .iterate import kept, small
 
 HOP = ["hash", "account", "destination", "amount_drops", "ledger_seq", "fee_drops", "to_tag", "from_tag"]
 
 
-def reached(edges: DataFrame, starts: DataFrame, src: str = "account", dst: str = "destination") -> DataFrame:
+def reached(edges: DataFrame, starts: DataFrame, src: str = "account", dst: str = "destination", most: int = 1 << 20) -> DataFrame:
     """(node, side): nodes that starts (node) reach (side `from`) and that reach starts (side `to`), starts included.
 
-    Both searches share their rounds, as many as the longest shortest way; a round joins the last round's nodes only.
+    Both searches share their rounds, as many as the longest shortest way; a round joins the last round's nodes only. Once these
+    are at most `most`, they are broadcast, so that neither the arcs nor the nodes seen are shuffled again in each of the rounds.
     """
+    key = ["node", "side"]
     pair = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
     arcs = kept(pair.select("node", "next", F.lit("from").alias("side")).unionByName(pair.select(F.col("next").alias("node"), F.col("node").alias("next"), F.lit("to").alias("side"))))
     front = kept(starts.select("node").distinct().select("node", F.explode(F.array(F.lit("from"), F.lit("to"))).alias("side")))
-    seen, rounds = front, 0
-    while True:
-        front = kept(front.join(arcs, ["node", "side"]).select(F.col("next").alias("node"), "side").distinct().join(seen, ["node", "side"], "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen, rounds = seen.unionByName(front), rounds + 1
+    seen, rounds, n = front, 0, front.count()
+    while n:
+        found = arcs.join(F.broadcast(front) if n <= most else front, key, "left_semi").select(F.col("next").alias("node"), "side").distinct()
+        known = seen
+        if n <= most:
+            found = kept(found)
+            if small(found, most):
+                known = F.broadcast(seen.join(F.broadcast(found), key, "left_semi"))
+        front = kept(found.join(known, key, "left_anti"))
+        seen, rounds, n = seen.unionByName(front), rounds + 1, front.count()
         if rounds % 8 == 0:  # one table instead of one for each round
             seen = kept(seen)
+    return seen
 
 
 def _median(values: Column) -> Column:
@@ -87,25 +94,34 @@ def _hop(way, ratio: Column, peel: Column) -> Column:
     return F.struct(*(way(c).alias(c) for c in HOP), ratio.cast("double").alias("ratio"), peel.cast("bigint").alias("peel_drops"))
 
 
-def _walked(first: DataFrame, step: DataFrame, ok, longest: int) -> DataFrame:
-    """Follows chains (path, hops, bridges, remainders) from their first hop while a step (node, in_drops, in_seq, way, peels) is allowed.
+def _walked(first: DataFrame, step: DataFrame, ok, enough: Column, longest: int, most: int = 1 << 20) -> DataFrame:
+    """Chains (path, hops, bridges, remainders) that are `enough`, from their first hop on while a step (node, in_drops, in_seq, way, peels) is allowed.
 
-    ok(classic ratio, ratio, step's peel) tells how a step counts: null for none, else the peel (0 in the classic channel).
+    ok(ratio, step's peel) tells how a step counts: null for none, else the peel (0 in the classic channel). Steps that count on no path
+    are left out first, chains that end before they are enough at once; up to `most` open chains pick their steps by a broadcast.
     """
     nothing = F.lit(None)
+    ratio = F.when(F.col("in_drops") > 0, F.col("way.amount_drops") / F.col("in_drops"))
+    peel = lambda peels: F.get(peels, F.lit(0))["amount_drops"]
+    step = kept(step.withColumn("ratio", ratio).where(ok(F.col("ratio"), peel("peels")).isNotNull()))
     level = kept(first.select(F.array("account", "destination").alias("path"), F.array(_hop(F.col, nothing, nothing)).alias("hops"), F.when(F.col("destination_rank").isNull(), F.array("destination")).otherwise(F.array().cast("array<string>")).alias("bridges"), F.lit(0).alias("remainders"), F.col("account_rank").alias("seed_rank")))
     columns, done = level.columns, None
     for _ in range(longest - 1):
-        j = level.join(step, F.element_at("path", -1) == F.col("node"), "left")
-        ratio = F.when(F.col("in_drops") > 0, F.col("way.amount_drops") / F.col("in_drops"))
-        peel = F.get(F.filter("peels", lambda p: ~F.array_contains("path", p["destination"])), F.lit(0))["amount_drops"]
-        j = j.withColumn("ratio", ratio).withColumn("channel", F.when(F.col("node").isNotNull() & ~F.array_contains("path", F.col("way.destination")), ok(F.col("ratio"), peel)))
-        ended = j.where("channel is null").select(columns)
-        done = ended if done is None else done.unionByName(ended)
-        remainder = F.col("channel") > 0
+        n = level.count()
+        if not n:
+            break
+        at = step.join(F.broadcast(level.select(F.element_at("path", -1).alias("node"))), "node", "left_semi") if n <= most else step
+        j = level.join(at, F.element_at("path", -1) == F.col("node"), "left")
+        peeled = peel(F.filter("peels", lambda p: ~F.array_contains("path", p["destination"])))
+        j = j.withColumn("channel", F.when(F.col("node").isNotNull() & ~F.array_contains("path", F.col("way.destination")), ok(F.col("ratio"), peeled)))
+        on, remainder = F.col("channel").isNotNull(), F.col("channel") > 0
         hop = _hop(lambda c: F.col(f"way.{c}"), F.col("ratio"), F.when(remainder, F.col("channel")))
         to = F.array("way.destination")
-        level = kept(j.where("channel is not null").select(F.concat("path", to).alias("path"), F.concat("hops", F.array(hop)).alias("hops"), F.concat("bridges", F.when(F.col("way.destination_rank").isNull(), to).otherwise(F.array().cast("array<string>"))).alias("bridges"), (F.col("remainders") + remainder.cast("int")).alias("remainders"), "seed_rank"))
+        after = {"path": F.concat("path", to), "hops": F.concat("hops", F.array(hop)), "bridges": F.when(F.col("way.destination_rank").isNull(), F.concat("bridges", to)).otherwise(F.col("bridges")), "remainders": F.col("remainders") + remainder.cast("int")}
+        both = kept(j.where(on | enough).select(*(F.when(on, x).otherwise(F.col(c)).alias(c) for c, x in after.items()), "seed_rank", on.alias("open")))
+        ended, level = both.where("NOT open").select(columns), both.where("open").select(columns)
+        done = ended if done is None else done.unionByName(ended)
+    level = level.where(enough)
     return level if done is None else done.unionByName(level)
 
 
@@ -143,7 +159,7 @@ def seeded_chains(tx: DataFrame, flags: DataFrame, low: float = 0.6, high: float
     key = F.struct(F.coalesce("ledger_seq", F.lit(-1)).alias("s"), F.coalesce("hash", F.lit("")).alias("h"), "destination", "amount_drops")
     small = small.groupBy("node", "destination").agg(F.min(key).alias("k")).withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("k"))).where(F.col("n") <= longest + 1)
     peels = small.groupBy("node").agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.struct(k["destination"].alias("destination"), k["amount_drops"].alias("amount_drops"))).alias("peels"))  # longest + 1 at most
-    step = kept(relay.join(peels, "node", "left"))
+    step = relay.join(peels, "node", "left")
 
     def ok(ratio: Column, peeled: Column) -> Column:
         enough = F.col("way.amount_drops") > dust
@@ -152,8 +168,7 @@ def seeded_chains(tx: DataFrame, flags: DataFrame, low: float = 0.6, high: float
     first = near.where((F.col("amount_drops") > dust) & F.col("account_rank").isNotNull())
     if seeds is not None:
         first = first.join(rank.orderBy("address").limit(seeds).select(F.col("address").alias("account")), "account", "left_semi")
-    walked = _walked(first, step, ok, longest).where(F.size("hops") >= F.when(F.col("remainders") > 0, rest_least).otherwise(least))
-    return _reported(walked, chains)
+    return _reported(_walked(first, step, ok, F.size("hops") >= F.when(F.col("remainders") > 0, rest_least).otherwise(least), longest), chains)
 
 
 def edge_chains(edges: DataFrame, flags: DataFrame, low: float = 0.6, high: float = 0.95, least: int = 3, dust: int = 100, gap: int = 900, window_ms: int = 86_400_000, longest: int = 8, degree: int = 4, hub: int = 20, seeds: int | None = None, chains: int | None = None) -> DataFrame:
@@ -163,13 +178,13 @@ def edge_chains(edges: DataFrame, flags: DataFrame, low: float = 0.6, high: floa
     """
     t, rank = _marked(edges, flags)
     relay = _relays(t, _busy(t, hub), degree)
-    step = kept(relay.withColumn("peels", F.array().cast("array<struct<destination:string,amount_drops:bigint>>")))
+    step = relay.withColumn("peels", F.array().cast("array<struct<destination:string,amount_drops:bigint>>"))
     apart = F.coalesce(F.abs(F.col("way.ledger_seq") - F.col("in_seq")) > gap, F.lit(False))
     ok = lambda ratio, _: F.when((F.col("way.amount_drops") > dust) & ratio.between(low, high) & ~apart, F.lit(0))
     first = t.where((F.col("amount_drops") > dust) & F.col("account_rank").isNotNull())
     if seeds is not None:
         first = first.join(rank.orderBy("address").limit(seeds).select(F.col("address").alias("account")), "account", "left_semi")
-    walked = _walked(first, step, ok, longest).where(F.size("hops") >= least)
+    walked = _walked(first, step, ok, F.size("hops") >= least, longest)
     if "close_ms" in edges.columns:
         at = edges.where("close_ms is not null").groupBy("hash").agg(F.min("close_ms").alias("at"))
         ends = walked.select(F.array_join("path", ",").alias("sig"), F.explode("hops").alias("h")).select("sig", F.col("h.hash").alias("hash")).join(at, "hash").groupBy("sig").agg((F.max("at") - F.min("at")).alias("span"))
@@ -187,9 +202,13 @@ def owned(chains: DataFrame, members: DataFrame) -> DataFrame:
     return chains.join(at, "signature")
 
 
-def fold_chains(known: DataFrame, edges: DataFrame, flags: DataFrame, members: DataFrame, most: int, **limits) -> DataFrame:
-    """State chains (owner, signature, hops) after a fold: those known and the ones found over all state edges, of each owner the first `most` by signature; a chain found again replaces its older form."""
-    found = owned(edge_chains(edges, flags, **limits), members).select("owner", "signature", "hops", F.lit(1).alias("age"))
-    both = known.select("owner", "signature", "hops", F.lit(0).alias("age")).unionByName(found)
+def folded(known: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """State chains (owner, signature, hops) after a fold of the found ones: of each owner the first `most` by signature; a chain found again replaces its older form."""
+    both = known.select("owner", "signature", "hops", F.lit(0).alias("age")).unionByName(found.select("owner", "signature", "hops", F.lit(1).alias("age")))
     last = both.groupBy("owner", "signature").agg(F.max_by("hops", "age").alias("hops"))
     return last.withColumn("_n", F.row_number().over(Window.partitionBy("owner").orderBy("signature"))).where(F.col("_n") <= most).drop("_n")
+
+
+def fold_chains(known: DataFrame, edges: DataFrame, flags: DataFrame, members: DataFrame, most: int, **limits) -> DataFrame:
+    """State chains after a fold of the ones found over all state edges."""
+    return folded(known, owned(edge_chains(edges, flags, **limits), members), most)

@@ -153,3 +153,27 @@ def test_limits_and_empty_tables(spark):
     assert len(some) <= 2 and {r.seed for r in some} <= set(sorted(flags)[:5])
     assert P.seeded_chains(t, f.limit(0)).collect() == [] and P.edge_chains(t.limit(0), f).collect() == []
     assert P.seeded_chains(t, f, degree=1).collect() == []
+
+
+def test_searches_and_walks_shuffle_or_broadcast_alike(spark):
+    e = spark.createDataFrame([(a, b) for a, b in [(0, 1), (1, 2), (2, 3), (3, 1), (5, 4), (4, 0), (7, 8)]] + [(k, k + 1) for k in range(20, 40)], "account long, destination long")
+    starts = spark.createDataFrame([(0,), (30,), (None,)], "node long")
+    few, many = (sorted(map(tuple, P.reached(e, starts, most=most).collect()), key=str) for most in (1 << 20, 0))
+    assert few == many and len(few) == len(set(few))
+    assert {n for n, side in few if side == "from"} == {None, 0, 1, 2, 3, *range(30, 41)} and {n for n, side in few if side == "to"} == {None, 0, 4, 5, *range(20, 31)}
+
+
+def test_walked_chains_are_kept_and_short_ones_left_out(spark):
+    tx, flags = graph(2)
+    t, f = frames(spark, tx, flags)
+    chains = P.edge_chains(t, f)
+    assert len(results(chains)) > 0 and "Join" not in str(P.edge_chains(t.drop("close_ms"), f)._jdf.queryExecution().optimizedPlan())  # no step is joined again
+    hop = [F.lit(None).cast("long").alias(c) for c in ("fee_drops", "to_tag", "from_tag")]
+    first = spark.createDataFrame([("a", "s", "x", 100, 1, None, 3), ("b", "s", "dead", 100, 1, None, 3)], "hash string, account string, destination string, amount_drops long, ledger_seq long, destination_rank long, account_rank long").select("*", *hop)
+    way = F.struct("hash", "account", "destination", "amount_drops", "ledger_seq", *hop, F.lit(None).cast("long").alias("destination_rank")).alias("way")
+    ways = spark.createDataFrame([("c", "x", "y", 80, 2), ("d", "y", "z", 64, 3), ("e", "z", "x", 51, 4)], "hash string, account string, destination string, amount_drops long, ledger_seq long")
+    step = ways.select(F.col("account").alias("node"), F.expr("amount_drops * 5 div 4").alias("in_drops"), F.lit(1).cast("long").alias("in_seq"), way, F.array().cast("array<struct<destination:string,amount_drops:bigint>>").alias("peels"))
+    ok = lambda ratio, peel: F.when(ratio.between(0.6, 0.95), F.lit(0))
+    for most in (0, 1 << 20):
+        assert [r.path for r in P._walked(first, step, ok, F.size("hops") >= 2, 8, most).collect()] == [["s", "x", "y", "z"]]
+        assert [r.path for r in P._walked(first, step, ok, F.size("hops") >= 2, 2, most).collect()] == [["s", "x", "y"]]
