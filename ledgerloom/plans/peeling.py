@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import peeling as P
+from ..operators.iterate import kept
 from ..sources import views as V
 from .registry import query
 
@@ -60,6 +61,6 @@ def state_chains(spark, sf_dir):
     """Chains over the edges of all clusters' state, folded into their owners, five each."""
     members = V.events(spark, sf_dir).select(F.concat(F.lit("C"), F.expr("(event_id DIV 50) % 7")).alias("cluster"), F.concat(F.lit("N"), "event_id").alias("address"))
     paid, flags = _paid(spark, sf_dir), _flags(spark, sf_dir)
-    found = P.owned(P.edge_chains(paid, flags), members)
-    known = found.select("owner", "signature", "hops").where("seed_rank = 3")  # as an older fold left them
-    return P.fold_chains(known, paid, flags, members, 5).withColumn("hops", F.array_join(F.transform("hops", lambda h: h["hash"]), ","))
+    found = kept(P.owned(P.edge_chains(paid, flags), members))  # once for both
+    known = found.where("seed_rank = 3").select("owner", "signature", "hops")  # as an older fold left them
+    return P.folded(known, found, 5).withColumn("hops", F.array_join(F.transform("hops", lambda h: h["hash"]), ","))
