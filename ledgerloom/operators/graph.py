@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import ROLES, SEVERITIES, epoch_label, name_of, rank_of
-from .iterate import components, kept, narrow
+from .iterate import components, kept, narrow, stored
 
 
 @dataclass(frozen=True)
@@ -93,6 +93,7 @@ def clusters(edges: DataFrame, hub: int = 20) -> DataFrame:
 
     Addresses that only reach the cluster through a hub stand alone, as in the hub cut.
     """
+    edges = stored(edges.select("account", "destination", "amount_drops", "ledger_seq", "from_rank", "to_rank"))  # read by each of the steps
     nodes = edges.select(F.explode(F.array("account", "destination")).alias("address")).distinct()
     member = nodes.join(components(hub_cut(edges, hub), "account", "destination").withColumnRenamed("node", "address"), "address", "left").withColumn("root", F.coalesce("root", "address"))
     size = member.groupBy("root").agg(F.count("*").alias("members"), F.min("address").alias("first_member"))
