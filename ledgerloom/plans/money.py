@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions.ranks import ROLES, SEVERITIES, rank_of
 from ..operators import graph as G, motifs as M, rules as R, state as S
 from ..operators.chains import flow_paths as flows
-from ..operators.iterate import components
+from ..operators.iterate import components, stored
 from ..sources import views as V
 from .registry import query
 
@@ -204,7 +204,7 @@ def self_transfer(spark, sf_dir):
     h AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ledger_seq, hash, amount_drops) AS n FROM o JOIN rec USING (account) WHERE amount_drops >= 0.9 * received)
     SELECT 'drainer-sweep' AS rule_id, CASE WHEN created THEN 'malicious' ELSE 'suspect' END AS severity, account AS address, cast(amount_drops AS varchar) AS note FROM h WHERE n = 1""")
 def drainer_sweep(spark, sf_dir):
-    t = V.txn(spark, sf_dir)
+    t = stored(V.txn(spark, sf_dir).select("hash", "account", "destination", "amount_drops", "ledger_seq"))  # read for receipts, payers, first ledgers and the payments
     return R.drainer_sweep(t, fresh=_first_seen(t).where("first_ledger >= 60").select(F.col("address").alias("account"), (F.col("first_ledger") >= 300).alias("created")))
 
 

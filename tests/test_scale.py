@@ -2,8 +2,11 @@
 
 import pytest
 
+import ledgerloom.plans as plans
 from ledgerloom.operators import graph as G, state as S
 
+from .conftest import DATA
+
 EDGE = "hash string, account string, destination string, amount_drops long, ledger_seq long"
 
 
@@ -37,3 +40,9 @@ def test_second_edges_without_a_hash_make_anchors(spark):
     assert "lead(" not in plan(got)  # a node's oldest edge is a minimum, no window over its edges
     assert [(r.hash, r.amount_drops) for r in got.orderBy("place").collect()] == [("a", 1), (None, 9), ("b", 8)]
     assert [(r.hash, r.amount_drops) for r in S.top_edges(e, "cluster", k=3, anchors=2).orderBy("place").collect()] == [("b", 8), ("b", 7), ("a", 1)]
+
+
+@pytest.mark.parametrize("name", ["clusters", "capped_nodes", "drainer_sweep"])
+def test_payments_are_joined_once(spark, name):
+    found = plans.QUERIES[name](spark, DATA)
+    assert "orders.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() + plan(found)  # no step joins line items with orders again
