@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .iterate import kept
+from .iterate import kept, narrow, stored
 
 
 def merge_views(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -51,59 +53,140 @@ def fresh_evidence(snapshots: DataFrame, recent: int = 21_600, strict: int = 3)
     return snapshots.where(age.between(0, recent)).withColumn("strict", F.col("sequence") <= strict).select("address", age.alias("age"), "strict")
 
 
-def _followed(most: int | None, at_once: int = 256):
-    """A group's walks: rows with a place are the senders of a tip in the order of their earliest edges, rows without one are starts."""
+def _turns(bound: list[int], senders: list[int], starts: list[int]) -> Iterator[tuple[int, Sequence[int]]]:
+    """The walks from all starts as turns of one line, ends first: (kept, nodes) cuts it back to its first `kept` nodes and adds nodes.
+
+    The line then is the walk from the last of them, which is a start or lies on a start's way. A walk is that from the node's
+    first sender and the node itself, unless the node is on that walk already: only such nodes, and one of each circle
+    of first senders, are walked hop by hop.
+    """
+    first = [senders[i] if i < k else -1 for i, k in zip(bound, bound[1:])]
+    reached, done, on_line = [0] * len(first), bytearray(len(first)), bytearray(len(first))
+    after, roots, line = {}, [], []
+    for turn, node in enumerate(starts, 1):
+        while not reached[node]:
+            reached[node] = turn
+            if first[node] < 0:
+                break
+            after.setdefault(first[node], []).append(node)
+            node = first[node]
+        if reached[node] == turn:  # nobody sends to it, or the way came back to it
+            roots.append(node)
+    while roots:
+        for x in line:
+            on_line[x] = 0
+        line = [roots.pop()]
+        on_line[line[0]] = done[line[0]] = 1
+        after_root = after.get(line[0], ())
+        while (on := next((x for x in senders[bound[line[-1]] : bound[line[-1] + 1]] if not on_line[x]), None)) is not None:
+            line.append(on)
+            on_line[on] = 1
+        line.reverse()
+        yield 0, line
+        todo = [(x, len(line)) for x in after_root]
+        while todo:
+            node, kept = todo.pop()
+            if done[node]:
+                continue
+            done[node] = 1
+            while len(line) > kept:
+                on_line[line.pop()] = 0
+            if on_line[node]:
+                roots.append(node)
+                continue
+            line.append(node)
+            on_line[node] = 1
+            yield kept, (node,)
+            todo += [(x, kept + 1) for x in after.get(node, ())]
+
+
+def _followed(most: int | None, joined: str | None, size: int = 32 << 20):
+    """A group's walks: rows with a place are the senders of a tip in the order of their earliest edges, rows without one are starts.
+
+    The line of walks is held as bytes, written from their ends to the left, so that a path is one copy; memory is the graph's, a line's and a batch's.
+    """
+    glue = (joined or "").encode()
+
+    def batch(by: pa.Scalar, address: pa.Array, data: bytearray, ends: list[int], words: list[np.ndarray], hops: list[int], truncated: list[bool]) -> pa.RecordBatch:
+        ints = lambda x: pa.py_buffer(np.asarray(x, np.int32))
+        if joined is None:
+            texts = pa.StringArray.from_buffers(ends[-1], ints(np.concatenate([[0], *words])), pa.py_buffer(data))
+            path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts)
+        else:
+            path = pa.StringArray.from_buffers(len(hops), ints(ends), pa.py_buffer(data))
+        return pa.RecordBatch.from_arrays([pa.repeat(by, len(hops)), address, path, pa.array(truncated, pa.bool_()), pa.array(hops, pa.int64())], ["by", "address", "path", "truncated", "hops"])
+
     def walks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, starts = {}, []
-        for b in batches:
-            for tip, account, place in zip(*(b.column(c).to_pylist() for c in ("tip", "account", "place"))):
-                starts.append(tip) if place is None else ranked.setdefault(tip, []).append((place, account))
-        senders = {tip: [a for _, a in sorted(x)] for tip, x in ranked.items()}
-        for k in range(0, len(starts), at_once):
-            paths, truncated = [], []
-            for tip in starts[k : k + at_once]:
-                path, seen = [tip], {tip}
-                while (on := next((a for a in senders.get(path[-1], ()) if a not in seen), None)) is not None and (most is None or len(path) <= most):
-                    path.append(on)
-                    seen.add(on)
-                paths.append(path)
-                truncated.append(on is not None)
-            columns = [pa.array([key[0].as_py()] * len(paths), key[0].type), pa.array(starts[k : k + at_once], pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(truncated, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["by", "address", "path", "truncated"])
+        rows = pa.Table.from_batches(list(batches))
+        names = pa.chunked_array([*rows["tip"].chunks, *rows["account"].chunks]).combine_chunks().dictionary_encode("encode")
+        codes, place = names.indices.to_numpy(), rows["place"].fill_null(0).to_numpy()
+        tip, account = codes[: len(rows)], codes[len(rows) :]
+        order = np.lexsort((place, tip))
+        order = order[place[order] > 0]
+        starts, labels = tip[place == 0].tolist(), [(x or "").encode() + glue for x in names.dictionary.to_pylist()]
+        bound, wanted = np.searchsorted(tip[order], np.arange(len(labels) + 1)).tolist(), bytearray(len(labels))
+        for x in starts:
+            wanted[x] = 1
+        line, begin = memoryview(bytearray(sum(map(len, labels)))), array("q", bytes(8 * (len(labels) + 1)))
+        begin[0], begins = len(line), np.frombuffer(begin, np.int64)
+        data, ends, words, hops, truncated, found = bytearray(), [0], [], [], [], []
+        for top, nodes in _turns(bound, account[order].tolist(), starts):
+            for node in nodes:
+                begin[top + 1] = begin[top] - len(labels[node])
+                line[begin[top + 1] : begin[top]] = labels[node]
+                top += 1
+            if not wanted[node]:
+                continue
+            last = 0 if most is None else max(0, top - 1 - most)
+            if joined is None:
+                words.append(begins[last:top][::-1] - begin[top] + len(data))
+            data += line[begin[top] : begin[last] - len(glue)]
+            ends.append(len(data) if joined is not None else ends[-1] + top - last)
+            found.append(node)
+            hops.append(top - 1 - last)
+            truncated.append(last > 0)
+            if max(len(data), 4 * ends[-1]) >= size:
+                yield batch(key[0], names.dictionary.take(pa.array(found)), data, ends, words, hops, truncated)
+                data, ends, words, hops, truncated, found = bytearray(), [0], [], [], [], []
+        if found:
+            yield batch(key[0], names.dictionary.take(pa.array(found)), data, ends, words, hops, truncated)
 
     return walks
 
 
-def replay(start: DataFrame, edges: DataFrame, by: str, most: int | None = 200, at_once: int = 6, held: int = 2_000_000, dealt: int = 20_000) -> DataFrame:
-    """Backward walks: from each start (by, address) to the sender of its earliest in-edge that was not visited yet, `most` hops at most (None: to their ends).
+def replay(start: DataFrame | None, edges: DataFrame, by: str, most: int | None = 200, at_once: int = 6, held: int = 2_000_000, dealt: int = 200_000, joined: str | None = None) -> DataFrame:
+    """Backward walks: from each start (by, address; None: every receiver) to the sender of its earliest in-edge that was not visited yet, `most` hops at most (None: to their ends).
 
-    edges: (by, account, destination, ledger_seq, hash). Returns (by, address, path, hops, truncated);
-    truncated walks could go on. A path of h hops shuts out h senders, so of a node's senders, each with its
+    edges: (by, account, destination, ledger_seq, hash). Returns (by, address, path, truncated, hops), the path as an array or, with `joined` between
+    its accounts, as a string; truncated walks could go on. A path of h hops shuts out h senders, so of a node's senders, each with its
     earliest edge, only the first most + 1 are looked at. The starts of a graph are dealt to tasks by about `dealt`,
     which hold its pairs of sender and receiver; graphs of more than `held` pairs are walked by a join a hop, kept every `at_once` hops.
     """
-    earliest = edges.where("account <> destination").where(F.col(by).isNotNull()).groupBy(by, F.col("destination").alias("tip"), "account").agg(F.min(F.struct("ledger_seq", "hash", "account")).alias("e"))
+    earliest = edges.where("account <> destination").groupBy(by, F.col("destination").alias("tip"), "account").agg(F.min(F.struct("ledger_seq", "hash", "account")).alias("e"))
     ranked = earliest.withColumn("place", F.row_number().over(Window.partitionBy(by, "tip").orderBy("e")))
-    step = kept((ranked if most is None else ranked.where(F.col("place") <= most + 1)).select(by, "tip", "place", "e"))
-    starts = start.select(by, "address").distinct()
-    large = kept(step.groupBy(by).agg(F.count("*").alias("pairs")).where(F.col("pairs") > held).select(by))
+    step = stored((ranked if most is None else ranked.where(F.col("place") <= most + 1)).select(by, "tip", "place", "account"))
+    starts = step.where("place = 1").select(by, F.col("tip").alias("address")) if start is None else start.select(by, "address").distinct()
+    large = kept(step.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("pairs")).where(F.col("pairs") > held).select(by))
     small = starts.join(large, by, "left_anti")
-    parts = small.groupBy(F.col(by).alias("by")).agg(F.ceil(F.count("*") / dealt).cast("int").alias("parts"))
+    parts = narrow(kept(small.groupBy(F.col(by).alias("by")).agg(F.ceil(F.count("*") / dealt).cast("int").alias("parts"))))
+    tasks = parts.agg(F.sum("parts")).first()[0] or 1
     rows = small.join(parts, F.col(by).eqNullSafe(F.col("by"))).select("by", F.pmod(F.xxhash64("address"), "parts").cast("int").alias("part"), F.col("address").alias("tip"), F.lit(None).cast("string").alias("account"), F.lit(None).cast("int").alias("place"))
-    graph = step.join(parts, F.col(by) == F.col("by")).select("by", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tip", F.col("e.account").alias("account"), "place")
-    schema = f"by {start.schema[by].dataType.simpleString()}, address string, path array<string>, truncated boolean"
-    done = rows.unionByName(graph).groupBy("by", "part").applyInArrow(_followed(most), schema).withColumnRenamed("by", by)
+    graph = step.join(parts, F.col(by) == F.col("by")).select("by", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tip", "account", "place")
+    schema = f"by {step.schema[by].dataType.simpleString()}, address string, path {'array<string>' if joined is None else 'string'}, truncated boolean, hops bigint"
+    dealt_out = rows.unionByName(graph).repartition(min(tasks, 4096), "by", "part")  # by their number: what they read is small beside what they return
+    done = dealt_out.groupBy("by", "part").applyInArrow(_followed(most, joined), schema).withColumnRenamed("by", by)
     if not large.isEmpty():
-        done = done.unionByName(_joined(starts.join(large, by, "left_semi"), step.join(large, by, "left_semi"), by, most, at_once))
-    return done.withColumn("hops", (F.size("path") - 1).cast("bigint"))
+        far = _joined(starts.join(large, by, "left_semi"), step.join(large, by, "left_semi"), by, most, at_once).withColumn("hops", (F.size("path") - 1).cast("bigint"))
+        done = done.unionByName(far if joined is None else far.withColumn("path", F.array_join("path", joined)))
+    return done
 
 
 def _joined(starts: DataFrame, step: DataFrame, by: str, most: int | None, at_once: int) -> DataFrame:
     """The walks (by, address, path, truncated) by a join for each hop."""
     level, done = kept(starts.select(by, "address", F.array("address").alias("path"))), None
     for hop in count():
-        on = level.withColumn("tip", F.element_at("path", -1)).join(step.where(F.col("place") <= hop + 1).drop("place"), [by, "tip"], "left")
-        usable = F.when(~F.array_contains("path", F.col("e.account")), F.col("e"))
+        on = level.withColumn("tip", F.element_at("path", -1)).join(step.where(F.col("place") <= hop + 1), [by, "tip"], "left")
+        usable = F.when(~F.array_contains("path", F.col("account")), F.struct("place", "account"))
         on = on.groupBy(by, "address", "path").agg(F.min(usable).alias("e"))
         if hop % at_once == 0 or hop == most:
             on = kept(on)

@@ -234,8 +234,7 @@ def signers_fingerprint(spark, sf_dir):
 def replay_archive(spark, sf_dir):
     """Every account's walk back through each archive of six hours, to its end."""
     t = V.handoff(spark, sf_dir).withColumn("day", F.expr("t_ms DIV 21600000"))
-    start = t.where("account <> destination").select("day", F.col("destination").alias("address")).distinct()
-    return W.replay(start, t, "day", most=None).withColumn("path", F.array_join("path", ">"))
+    return W.replay(None, t, "day", most=None, joined=">")
 
 
 @query("txn")

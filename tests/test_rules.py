@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,58 @@ def test_replay_goes_to_the_end_of_a_long_walk(spark):
     assert {(x.g, x.address): (tuple(x.path), x.hops, x.truncated) for x in V.replay(short.select("g", F.col("destination").alias("address")), short, "g", None, held=15).collect()} == {k: v for k, v in by_task.items() if v[1] <= (30 if k[0] == 0 else 10)}
 
 
+def test_replay_shares_the_ends_of_walks():
+    class Counted(list):
+        looked = 0
+
+        def __getitem__(self, i):
+            Counted.looked += isinstance(i, slice)
+            return super().__getitem__(i)
+
+    n = 1000  # 0 <- 1 <- 2 ..: every node's only sender is the one before it, and 0's is the last one
+    turns, line, walks = V._turns(list(range(n + 1)), Counted((k - 1) % n for k in range(n)), list(range(0, n, 3))), [], 0
+    for kept, nodes in turns:
+        line[kept:] = nodes
+        if walks < 3:
+            assert line[::-1] == [(line[-1] - k) % n for k in range(n)]
+        walks += 1
+    assert walks == n and Counted.looked == n * n  # a circle: each node lies on the walk from its sender
+    Counted.looked = 0
+    n = 3000
+    sizes = [len(nodes) + kept for kept, nodes in V._turns([0, *range(n)], Counted(range(n - 1)), list(range(n)))]
+    assert sorted(sizes) == list(range(1, n + 1)) and Counted.looked <= 2  # a line of 4.5 million hops
+
+
+def test_replay_of_all_receivers_as_text(spark):
+    r = random.Random(8)
+    edges = [(r.choice([0, 1, 2, None]), f"n{r.randrange(25)}", f"n{r.randrange(25)}", r.randrange(60), f"h{k}") for k in range(260)]
+    df = spark.createDataFrame(edges, "g long, account string, destination string, ledger_seq long, hash string")
+    for most in (None, 5):
+        found = {(x.g, x.address): (x.path, x.hops, x.truncated) for x in V.replay(None, df, "g", most, dealt=4, joined=" > ").collect()}
+        want = {}
+        for g, _, start, _, _ in (e for e in edges if e[1] != e[2]):
+            path, usable = [start], lambda path: sorted((s, h, a) for k, a, b, s, h in edges if g is not None and k == g and b == path[-1] and a not in path)
+            while (most is None or len(path) <= most) and usable(path):
+                path.append(usable(path)[0][2])
+            want[g, start] = (" > ".join(path), len(path) - 1, most is not None and len(path) > most and bool(usable(path)))
+        assert found == want
+    short = {(x.g, x.address): x.path for x in V.replay(None, df, "g", 5, held=20, joined=" > ").collect()}  # by joins
+    assert short == {k: v[0] for k, v in found.items()}
+
+
+def test_replay_batches_stay_small():
+    n = 300
+    rows = pa.RecordBatch.from_pydict({"tip": [f"n{k}" for k in range(1, n)] * 2, "account": [f"n{k - 1}" for k in range(1, n)] + [None] * (n - 1), "place": pa.array([1] * (n - 1) + [None] * (n - 1), pa.int32())})
+    for joined in (None, ">"):
+        found = list(V._followed(None, joined, size=10_000)((pa.scalar(7),), iter([rows])))
+        assert len(found) > 10 and max(x.nbytes for x in found) < 30_000
+        for x in found:
+            x.validate(full=True)
+        paths = {y["address"]: y["path"] for x in found for y in x.to_pylist()}
+        walk = lambda k: [f"n{j}" for j in range(k, -1, -1)]
+        assert paths == {f"n{k}": walk(k) if joined is None else ">".join(walk(k)) for k in range(1, n)}
+
+
 def test_members_absent_from_a_long_list(spark):
     masters = spark.range(10_200).select(F.concat(F.lit("V"), "id").alias("master"))
     votes = masters.where("master <> 'V7'").select(F.lit(1).alias("ledger"), "master").unionByName(spark.createDataFrame([(2, "V7"), (2, "X"), (3, "X")], "ledger int, master string"))
