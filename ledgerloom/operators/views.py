@@ -53,54 +53,63 @@ def fresh_evidence(snapshots: DataFrame, recent: int = 21_600, strict: int = 3)
     return snapshots.where(age.between(0, recent)).withColumn("strict", F.col("sequence") <= strict).select("address", age.alias("age"), "strict")
 
 
-def _turns(bound: list[int], senders: list[int], starts: list[int]) -> Iterator[tuple[int, Sequence[int]]]:
+def _turns(bound: list[int], senders: list[int], starts: list[int], most: int | None = None) -> Iterator[tuple[int, Sequence[int]]]:
     """The walks from all starts as turns of one line, ends first: (kept, nodes) cuts it back to its first `kept` nodes and adds nodes.
 
     The line then is the walk from the last of them, which is a start or lies on a start's way. A walk is that from the node's
     first sender and the node itself, unless the node is on that walk already: only such nodes, and one of each circle
-    of first senders, are walked hop by hop.
+    of first senders, are walked hop by hop, a hop further than `most`. Of each line the first most + 1 hops count.
     """
+    n = len(bound) - 1
     first = [senders[i] if i < k else -1 for i, k in zip(bound, bound[1:])]
-    reached, done, on_line = [0] * len(first), bytearray(len(first)), bytearray(len(first))
-    after, roots, line = {}, [], []
+    reached, height, done, on_line = [0] * n, [0] * n, bytearray(n), bytearray(n)
+    after, beside = [-1] * n, [-1] * n  # a node that goes to this one first, another that goes where this one goes
+    roots, line = [], []
     for turn, node in enumerate(starts, 1):
         while not reached[node]:
             reached[node] = turn
-            if first[node] < 0:
+            to = first[node]
+            if to < 0:
                 break
-            after.setdefault(first[node], []).append(node)
-            node = first[node]
+            beside[node], after[to] = after[to], node
+            node = to
         if reached[node] == turn:  # nobody sends to it, or the way came back to it
             roots.append(node)
     while roots:
         for x in line:
             on_line[x] = 0
-        line = [roots.pop()]
-        on_line[line[0]] = done[line[0]] = 1
-        after_root = after.get(line[0], ())
-        while (on := next((x for x in senders[bound[line[-1]] : bound[line[-1] + 1]] if not on_line[x]), None)) is not None:
+        root = roots.pop()
+        line = [root]
+        on_line[root] = done[root] = 1
+        while (most is None or len(line) <= most + 1) and (on := next((x for x in senders[bound[line[-1]] : bound[line[-1] + 1]] if not on_line[x]), None)) is not None:
             line.append(on)
             on_line[on] = 1
         line.reverse()
         yield 0, line
-        todo = [(x, len(line)) for x in after_root]
-        while todo:
-            node, kept = todo.pop()
+        height[root] = len(line)
+        todo, node = [], after[root]
+        while node >= 0 or todo:
+            if node < 0:
+                node = todo.pop()
+            if beside[node] >= 0:
+                todo.append(beside[node])
             if done[node]:
+                node = -1
                 continue
-            done[node] = 1
+            done[node], kept = 1, height[first[node]]
             while len(line) > kept:
                 on_line[line.pop()] = 0
             if on_line[node]:
                 roots.append(node)
+                node = -1
                 continue
             line.append(node)
-            on_line[node] = 1
+            on_line[node], height[node] = 1, kept + 1
             yield kept, (node,)
-            todo += [(x, kept + 1) for x in after.get(node, ())]
+            node = after[node]
 
 
-def _followed(most: int | None, joined: str | None, size: int = 32 << 20):
+def _followed(most: int | None, joined: str | None, size: int = 16 << 20):
     """A group's walks: rows with a place are the senders of a tip in the order of their earliest edges, rows without one are starts.
 
     The line of walks is held as bytes, written from their ends to the left, so that a path is one copy; memory is the graph's, a line's and a batch's.
@@ -130,7 +139,7 @@ def _followed(most: int | None, joined: str | None, size: int = 32 << 20):
         line, begin = memoryview(bytearray(sum(map(len, labels)))), array("q", bytes(8 * (len(labels) + 1)))
         begin[0], begins = len(line), np.frombuffer(begin, np.int64)
         data, ends, words, hops, truncated, found = bytearray(), [0], [], [], [], []
-        for top, nodes in _turns(bound, account[order].tolist(), starts):
+        for top, nodes in _turns(bound, account[order].tolist(), starts, most):
             for node in nodes:
                 begin[top + 1] = begin[top] - len(labels[node])
                 line[begin[top + 1] : begin[top]] = labels[node]
@@ -154,7 +163,7 @@ def _followed(most: int | None, joined: str | None, size: int = 32 << 20):
     return walks
 
 
-def replay(start: DataFrame | None, edges: DataFrame, by: str, most: int | None = 200, at_once: int = 6, held: int = 2_000_000, dealt: int = 200_000, joined: str | None = None) -> DataFrame:
+def replay(start: DataFrame | None, edges: DataFrame, by: str, most: int | None = 200, at_once: int = 6, held: int = 2_000_000, dealt: int = 500_000, joined: str | None = None) -> DataFrame:
     """Backward walks: from each start (by, address; None: every receiver) to the sender of its earliest in-edge that was not visited yet, `most` hops at most (None: to their ends).
 
     edges: (by, account, destination, ledger_seq, hash). Returns (by, address, path, truncated, hops), the path as an array or, with `joined` between
